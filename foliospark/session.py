@@ -16,3 +16,24 @@ def get_spark(master: str | None = None, app: str = "foliospark", **conf: str) -
         "spark.ui.enabled": "false",
     }
     return builder.config(map=settings | conf).getOrCreate()
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Send this package to the executors once per application, so that Python workers need no installation."""
+    context = spark.sparkContext
+    if context.applicationId not in _shipped:
+        import atexit
+        import shutil
+        import tempfile
+        from pathlib import Path
+
+        package = Path(__file__).resolve().parent
+        if package.is_dir():
+            folder = tempfile.mkdtemp()  # the driver serves the file from here as long as it runs
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+            context.addPyFile(shutil.make_archive(f"{folder}/foliospark_package", "zip", package.parent, package.name))
+        _shipped.add(context.applicationId)
+    return spark
