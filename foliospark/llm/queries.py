@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm import language, packing, quality
+from foliospark.llm import jaccard, language, packing, quality
 from foliospark.llm._rows import key_crc
 
 
@@ -19,6 +19,10 @@ def op1_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(table(spark, sf, "documents"))
 
 
+def op2_jaccard(spark: SparkSession, sf: str) -> DataFrame:
+    return jaccard.components_of(table(spark, sf, "documents"), k=4, percent=85)
+
+
 def op3_language(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
     rest = key_crc(F.col("doc_id")) % 4
@@ -37,6 +41,7 @@ def op8_quality(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_packing": (op1_packing, None),
+    "op2_jaccard": (op2_jaccard, None),
     "op3_language": (op3_language, None),
     "op8_quality": (op8_quality, None),
 }
