@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm import jaccard, language, packing, quality
+from foliospark.llm import jaccard, language, licenses, lines, packing, quality
 from foliospark.llm._rows import key_crc
 
 
@@ -31,6 +31,14 @@ def op3_language(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(rest == 2, F.lit(True)).alias("held_out"), "lang_pred", "score", "margin")
 
 
+def op4_licenses(spark: SparkSession, sf: str) -> DataFrame:
+    return licenses.scan(table(spark, sf, "documents")).drop("spans")
+
+
+def op5_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return lines.dedup(table(spark, sf, "documents")).select("doc_id", "n_lines", "n_removed", "text")
+
+
 def op8_quality(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text")
     rest = key_crc(F.col("doc_id")) % 5
@@ -43,6 +51,8 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op1_packing": (op1_packing, None),
     "op2_jaccard": (op2_jaccard, None),
     "op3_language": (op3_language, None),
+    "op4_licenses": (op4_licenses, None),
+    "op5_line_dedup": (op5_line_dedup, None),
     "op8_quality": (op8_quality, None),
 }
 
