@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm import jaccard, language, licenses, lines, packing, quality
+from foliospark.llm import forest, jaccard, language, licenses, lines, packing, quality, topk
 from foliospark.llm._rows import key_crc
 
 
@@ -47,6 +47,23 @@ def op8_quality(spark: SparkSession, sf: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= quality.THRESHOLD).cast("int"))
 
 
+def _pairs(found: DataFrame) -> DataFrame:
+    return found.select(F.col("query").alias("query_id"), "rank", F.col("id").alias("vec_id"), "score")
+
+
+def op9_exact_topk(spark: SparkSession, sf: str) -> DataFrame:
+    return _pairs(topk.search(table(spark, sf, "embeddings"), F.col("id") % 20 == 0, scale=64))
+
+
+def op10_forest(spark: SparkSession, sf: str) -> DataFrame:
+    return _pairs(forest.search(table(spark, sf, "embeddings"), F.col("id") % 20 == 0))
+
+
+_TOPK_SQL = """WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+ WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+ s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score FROM e q JOIN e c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0)
+ SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 20"""
+
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_packing": (op1_packing, None),
     "op2_jaccard": (op2_jaccard, None),
@@ -54,6 +71,8 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op4_licenses": (op4_licenses, None),
     "op5_line_dedup": (op5_line_dedup, None),
     "op8_quality": (op8_quality, None),
+    "op9_exact_topk": (op9_exact_topk, _TOPK_SQL),
+    "op10_forest": (op10_forest, None),
 }
 
 
