@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm import forest, jaccard, language, licenses, lines, packing, quality, topk
+from foliospark.llm import bpe, forest, jaccard, language, licenses, lines, packing, quality, topk
 from foliospark.llm._rows import key_crc
 
 
@@ -39,6 +39,16 @@ def op5_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return lines.dedup(table(spark, sf, "documents")).select("doc_id", "n_lines", "n_removed", "text")
 
 
+def op7_bpe(spark: SparkSession, sf: str, most: int = bpe.FREQUENT) -> DataFrame:
+    import public_tokenizers
+
+    ranks = bpe.load_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    encoded = bpe.encode(table(spark, sf, "documents").select("doc_id", "text"), ranks, public_tokenizers.PATTERN, most=most)
+    return encoded.select(
+        "doc_id", bpe.count(F.col("ids")).alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(bpe.decode(F.col("ids"), ranks), 256).alias("decoded_sha256")
+    )
+
+
 def op8_quality(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text")
     rest = key_crc(F.col("doc_id")) % 5
@@ -70,6 +80,7 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op3_language": (op3_language, None),
     "op4_licenses": (op4_licenses, None),
     "op5_line_dedup": (op5_line_dedup, None),
+    "op7_bpe": (op7_bpe, None),
     "op8_quality": (op8_quality, None),
     "op9_exact_topk": (op9_exact_topk, _TOPK_SQL),
     "op10_forest": (op10_forest, None),
