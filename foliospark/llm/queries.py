@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm import bpe, forest, jaccard, language, licenses, lines, packing, quality, topk
+from foliospark.llm import bpe, counts, forest, jaccard, language, licenses, lines, packing, quality, topk
 from foliospark.llm._rows import key_crc
 
 
@@ -39,6 +39,12 @@ def op5_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return lines.dedup(table(spark, sf, "documents")).select("doc_id", "n_lines", "n_removed", "text")
 
 
+def op6_token_counts(spark: SparkSession, sf: str) -> DataFrame:
+    import public_tokenizers
+
+    return counts.count_tokens(table(spark, sf, "documents"), counts.load_scores(public_tokenizers.path("piece_bpe_32k.model")))
+
+
 def op7_bpe(spark: SparkSession, sf: str, most: int = bpe.FREQUENT) -> DataFrame:
     import public_tokenizers
 
@@ -80,6 +86,7 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op3_language": (op3_language, None),
     "op4_licenses": (op4_licenses, None),
     "op5_line_dedup": (op5_line_dedup, None),
+    "op6_token_counts": (op6_token_counts, None),
     "op7_bpe": (op7_bpe, None),
     "op8_quality": (op8_quality, None),
     "op9_exact_topk": (op9_exact_topk, _TOPK_SQL),
