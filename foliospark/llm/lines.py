@@ -7,7 +7,9 @@ verified on the whole sets. A line goes when an earlier line, by key, then line
 whether or not that earlier line goes too.
 
 Rarity: the most frequent words, a bounded table, come last by their counts; all rarer words come before them by
-hash. Any fixed order is exact, and this one keeps frequent words out of prefixes.
+hash. Any fixed order is exact, and this one keeps frequent words out of prefixes. Words that occur once are posted
+only where a bounded bit map cannot tell them from others, as they cannot be shared. Sets and words go by 64-bit
+hashes, posted words by 32 bits of them, which the verification makes good.
 
 Lines without a word stay. Null text stays null. Rows equal in key and text count as one entry and get one result.
 A null key sorts first. Other columns pass through whatever their names. An empty table gives no rows.
@@ -18,11 +20,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.llm._native import BUCKETS, bit_test, constant_map, lookup
+from foliospark.llm._native import bit_test, constant_array
 from foliospark.llm._rows import fresh, saved
 
-#: So many of the most frequent words are told apart from the rest (a table of about 1 MB).
-FREQUENT = 1 << 15
+#: The most frequent words that are told apart from the rest, and the slots of their table (1 MB): of words that meet
+#: in a slot, the most frequent stays.
+FREQUENT, SLOTS = 1 << 15, 1 << 17
 #: Sets of fewer words match only their equals.
 LEAST = 4
 _TOP = 1 << 62
@@ -44,88 +47,97 @@ def _words(line: Column) -> Column:
     return F.array_distinct(F.transform(F.array_remove(words, ""), lambda w: F.xxhash64(w)))
 
 
-def _ordered(hashes: Column, ranks: Column) -> Column:
-    """The words' places in the global order, ascending: one number a word."""
-    return F.sort_array(F.transform(hashes, lambda h: F.coalesce(lookup(ranks, h.bitwiseAND(F.lit(BUCKETS - 1)), h) + _TOP, h.bitwiseAND(F.lit(_TOP - 1)))))
+def _counts(lines: DataFrame) -> DataFrame:
+    """(k, n): the hashes of words that two lines or more have, and in how many they stand."""
+    return saved(lines.select(F.explode(_words(F.col("line"))).alias("k")).groupBy("k").agg(F.count("*").alias("n")).where("n > 1"))
 
 
-def _ranks(lines: DataFrame) -> Column:
-    counts = lines.select(F.explode(_words(F.col("line"))).alias("k")).groupBy("k").agg(F.count("*").alias("n"))
-    top = counts.where("n > 1").orderBy(F.desc("n"), "k").limit(FREQUENT).collect()
-    return constant_map(((r["k"], len(top) - i) for i, r in enumerate(top)), ("bigint", "bigint"), lambda k: k & (BUCKETS - 1))
+def _frequent(counts: DataFrame) -> Column:
+    """A slot holds its word's hash with the word's rank (1 for the rarest of the table) folded in."""
+    slots: list[int | None] = [None] * SLOTS
+    top = counts.orderBy(F.desc("n"), "k").limit(FREQUENT).collect()
+    for i, r in enumerate(top):
+        if slots[r["k"] & (SLOTS - 1)] is None:
+            slots[r["k"] & (SLOTS - 1)] = r["k"] ^ (len(top) - i)
+    return constant_array(slots, "bigint")
 
 
-def _least_overlap(n: Column, m: Column) -> Column:
-    return F.ceil((n + m) * 4 / 9)
+def _sets(lines: DataFrame, frequent: Column) -> DataFrame:
+    """The lines that have words, with w, their words' places in the global order, ascending, and n, how many."""
+    rank = F.transform("h", lambda h: F.get(frequent, h.bitwiseAND(F.lit(SLOTS - 1)).cast("int")).bitwiseXOR(h))
+    placed = F.zip_with("h", rank, lambda h, r: F.when((r > 0) & (r < SLOTS), r + _TOP).otherwise(h.bitwiseAND(F.lit(_TOP - 1))))
+    rows = lines.withColumn("h", _words(F.col("line"))).drop("line").withColumn("n", F.size("h")).where("n > 0")
+    return rows.withColumn("w", F.sort_array(placed)).drop("h")
 
 
 def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, th, i): the lines to remove; th is xxhash64 of the text and i counts from 0."""
     lines = _split(docs, key, text)
-    ranks = _ranks(lines)
+    counts = _counts(lines)
+    frequent = _frequent(counts)
 
-    def sets(rows: DataFrame) -> DataFrame:
-        return rows.withColumn("w", _ordered(_words(F.col("line")), ranks)).drop("line").withColumn("n", F.size("w")).where("n > 0")
-
-    sketch = F.aggregate("w", F.lit(0).cast("bigint"), lambda a, w: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(w, F.lit(61)).cast("int"))))
-    prefix = F.slice("w", 1, F.col("n") - F.ceil(F.col("n") * 4 / 5).cast("int") + 1)
+    one = F.lit(1).cast("bigint")
+    sketch = F.aggregate("w", F.lit(0).cast("bigint"), lambda a, w: a.bitwiseXOR(F.call_function("shiftleft", one, F.pmod(w, F.lit(61)).cast("int"))))
+    prefix = F.transform(F.slice("w", 1, F.col("n") - F.ceil(F.col("n") * 4 / 5).cast("int") + 1), lambda w: _low(w))
     all_lines = saved(
-        sets(lines).select(
-            "key", "th", "i", "n", F.xxhash64("w").alias("s1"), F.xxhash64(F.lit(7), "w").alias("s2"),
-            F.when(F.col("n") >= LEAST, sketch).alias("sketch"), F.when(F.col("n") >= LEAST, prefix).alias("prefix"),
+        _sets(lines, frequent).select(
+            "key", "th", "i", F.xxhash64("w").alias("sid"), F.when(F.col("n") >= LEAST, F.struct("n", sketch.alias("sketch"), prefix.alias("prefix"))).alias("x")
         )
     )
 
-    # one entry per distinct set: its earliest line
-    place = F.struct("key", "i", "th")
-    firsts = all_lines.groupBy("n", "s1", "s2").agg(F.min(place).alias("at"), F.first("sketch").alias("sketch"), F.first("prefix").alias("prefix"))
-    firsts = saved(firsts.withColumn("id", F.monotonically_increasing_id()))
-
-    posted = firsts.where(F.col("n") >= LEAST).select("id", "n", "sketch", F.posexplode("prefix").alias("pos", "token"))
-    a = posted.select(*(F.col(c).alias(f"{c}_a") for c in ("id", "n", "sketch", "pos")), "token")
-    b = posted.select(*(F.col(c).alias(f"{c}_b") for c in ("id", "n", "sketch", "pos")), "token")
-    na, nb = F.col("n_a"), F.col("n_b")
-    least = _least_overlap(na, nb)
+    # distinct sets, posted under the words of their prefixes
+    shared = bit_test(counts.select(_low(F.col("k")).cast("bigint").alias("h")).unionByName(docs.sparkSession.range(SLOTS).select(F.col("id").alias("h"))), F.col("token").cast("bigint"), 23)
+    posted = all_lines.where("x is not null").groupBy("sid").agg(F.first("x").alias("x")).select("sid", "x.n", "x.sketch", F.posexplode("x.prefix").alias("pos", "token")).where(shared)
+    na, nb, pa, pb = (F.col(c) for c in ("a.n", "b.n", "a.pos", "b.pos"))
+    least = F.ceil((na + nb) * 4 / 9)
     near = (
-        (F.col("id_a") < F.col("id_b"))
+        (F.col("a.token") == F.col("b.token")) & (F.col("a.sid") < F.col("b.sid"))
         & (na * 5 >= nb * 4) & (nb * 5 >= na * 4)
-        & (F.least(na - F.col("pos_a"), nb - F.col("pos_b")) >= least)
-        & (F.bit_count(F.col("sketch_a").bitwiseXOR(F.col("sketch_b"))) <= na + nb - least * 2)
+        & (F.least(na - pa, nb - pb) >= least)
+        & (F.bit_count(F.col("a.sketch").bitwiseXOR(F.col("b.sketch"))) <= na + nb - least * 2)
     )
-    pairs = saved(a.join(b, "token").where(near).select("id_a", "id_b").distinct())
+    pairs = saved(posted.alias("a").join(posted.alias("b"), near).select(F.col("a.sid").alias("sid_a"), F.col("b.sid").alias("sid_b")).distinct())
 
-    # the whole sets of the lines in pairs, from the texts that have them
-    ids = pairs.select(F.col("id_a").alias("id")).union(pairs.select(F.col("id_b").alias("id"))).distinct()
-    wanted = saved(firsts.join(ids, "id").select("id", "at.key", "at.th", "at.i"))
-    has = bit_test(wanted.select(F.xxhash64("key", "th").alias("h")), F.xxhash64(F.col(key), F.xxhash64(F.col(text))))
+    # the whole sets of the lines in pairs, each read from its earliest place
+    place = F.struct("key", "i", "th")
+    ids = pairs.select(F.col("sid_a").alias("sid")).union(pairs.select(F.col("sid_b").alias("sid"))).distinct()
+    wanted = saved(all_lines.select("sid", "key", "th", "i").join(ids, "sid").groupBy("sid").agg(F.min(place).alias("at")))
+    has = bit_test(wanted.select(F.xxhash64("at.key", "at.th").alias("h")), F.xxhash64(F.col(key), F.xxhash64(F.col(text))))
     some = _split(docs.where(F.col(text).isNotNull() & has), key, text)
-    w = wanted.select(F.col("id"), F.col("key").alias("k2"), F.col("th").alias("th2"), F.col("i").alias("i2"))
+    w = wanted.select("sid", F.col("at.key").alias("k2"), F.col("at.th").alias("th2"), F.col("at.i").alias("i2"), "at")
     found = some.join(w, F.col("key").eqNullSafe(F.col("k2")) & (F.col("th") == F.col("th2")) & (F.col("i") == F.col("i2")))
-    found = saved(found.select("id", "key", "th", "i", "line").dropDuplicates(["id"]))
-    whole = saved(sets(found).select("id", F.struct("key", "i", "th").alias("at"), "w"))
-    both = pairs.join(whole.select(F.col("id").alias("id_a"), F.col("at").alias("at_a"), F.col("w").alias("w_a")), "id_a").join(
-        whole.select(F.col("id").alias("id_b"), F.col("at").alias("at_b"), F.col("w").alias("w_b")), "id_b"
-    )
-    shared = F.size(F.array_intersect("w_a", "w_b"))
-    linked = both.where(shared * 9 >= (F.size("w_a") + F.size("w_b")) * 4)
-    late = linked.select(F.when(F.col("at_a") < F.col("at_b"), F.col("id_b")).otherwise(F.col("id_a")).alias("id")).distinct().withColumn("near", F.lit(True))
-
-    verdict = firsts.join(late, "id", "left").select("n", "s1", "s2", F.col("at").alias("first"), F.coalesce("near", F.lit(False)).alias("near"))
-    gone = all_lines.join(verdict, ["n", "s1", "s2"]).where(F.col("near") | ~place.eqNullSafe(F.col("first")))
+    found = saved(found.select("sid", "at", "line").dropDuplicates(["sid"]))
+    whole = saved(_sets(found, frequent).select("sid", "at", "w"))
+    side = lambda s: whole.select(*(F.col(c).alias(f"{c}_{s}") for c in ("sid", "at", "w")))
+    both = pairs.join(side("a"), "sid_a").join(side("b"), "sid_b")
+    linked = both.where(F.size(F.array_intersect("w_a", "w_b")) * 9 >= (F.size("w_a") + F.size("w_b")) * 4)
+    late = linked.select(F.when(F.col("at_a") < F.col("at_b"), F.col("sid_b")).otherwise(F.col("sid_a")).alias("sid")).distinct().withColumn("late", F.lit(True))
+
+    # a late set goes with all its places, any other set with all but its first
+    narrow = all_lines.select("sid", "key", "th", "i")
+    first = narrow.groupBy("sid").agg(F.min(place).alias("first"), F.count("*").alias("n")).join(late, "sid", "left").where("n > 1 or late")
+    gone = narrow.join(first.select("sid", "first", "late"), "sid").where(F.col("late").isNotNull() | ~place.eqNullSafe(F.col("first")))
     return gone.select("key", "th", "i")
 
 
+def _low(word: Column) -> Column:
+    """The lowest 31 bits."""
+    return word.bitwiseAND(F.lit((1 << 31) - 1)).cast("int")
+
+
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows with near-duplicate lines gone from their text, and n_lines and n_removed added (numbered names where
     the rows have those already)."""
-    gone = removed_lines(docs, key, text).groupBy("key", "th").agg(F.collect_set("i").alias("gone"))
+    gone = saved(removed_lines(docs, key, text).groupBy("key", "th").agg(F.collect_set("i").alias("gone")))
     lists = gone.select(*(F.col(c).alias(f"_{c}") for c in gone.columns))
-    joined = docs.join(lists, F.col(key).eqNullSafe(F.col("_key")) & (F.xxhash64(F.col(text)) == F.col("_th")), "left")
     parts = F.split(F.col(text), "\n")
+    added = fresh(docs, "n_lines"), fresh(docs, "n_removed")
+
+    def result(rows: DataFrame, new: Column, n: Column) -> DataFrame:
+        return rows.select(*(new.alias(c) if c == text else F.col(c) for c in docs.columns), F.coalesce(F.size(parts), F.lit(0)).alias(added[0]), n.alias(added[1]))
+
+    # rows that surely lose nothing are not moved
+    has = F.coalesce(bit_test(gone.select(F.xxhash64("key", "th").alias("h")), F.xxhash64(F.col(key), F.xxhash64(F.col(text)))), F.lit(False)) & F.col(text).isNotNull()
+    joined = docs.where(has).join(lists, F.col(key).eqNullSafe(F.col("_key")) & (F.xxhash64(F.col(text)) == F.col("_th")), "left")
     kept = F.when(F.col("_gone").isNull(), F.col(text)).otherwise(F.array_join(F.filter(parts, lambda _, i: ~F.array_contains(F.col("_gone"), i)), "\n"))
-    same = [kept.alias(c) if c == text else F.col(c) for c in docs.columns]
-    return joined.select(
-        *same,
-        F.coalesce(F.size(parts), F.lit(0)).alias(fresh(docs, "n_lines")),
-        F.coalesce(F.size("_gone"), F.lit(0)).alias(fresh(docs, "n_removed")),
-    )
+    return result(docs.where(~has), F.col(text), F.lit(0)).unionByName(result(joined, kept, F.coalesce(F.size("_gone"), F.lit(0))))
