@@ -12,7 +12,7 @@ of at least t, they share at least o = ceil(t * max(n, m)) tokens, and then the
 m - ceil(t m) + l tokens in that order share at least l. So a query sees a block's member unless the counted overlap
 is under l, which here is one and a fiftieth of the smaller size that can still match.
 
-Null or blank text: size 0, linked with nothing, its own component. Null keys take part; a component is named by its
+Sets go by 64-bit hashes of 64-bit token hashes. Null or blank text: size 0, linked with nothing, its own component. Null keys take part; a component is named by its
 least non-null key. Repeated keys and rows are separate entries. An empty table gives no rows. Only key and text are
 read, so other columns cannot clash.
 """
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from foliospark.llm import _words as W
 from foliospark.llm._graph import components
-from foliospark.llm._rows import saved
+from foliospark.llm._rows import fresh, saved
 
 #: Shingles found twice within so many of a task's are counted as possibly common.
 COUNTED = 1 << 22
@@ -251,6 +251,7 @@ def _tokens(docs: DataFrame, roles: DataFrame, k: int) -> DataFrame:
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` without near-duplicates: of each component the row with the least key stays, once."""
     found = components_of(docs, key, text, k, percent)
-    stay = found.where(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("_stay")).distinct()
-    kept = docs.join(stay, F.col(key).eqNullSafe(F.col("_stay")), "left_semi")
-    return kept.withColumn("_text", F.xxhash64(text)).dropDuplicates([key, "_text"]).drop("_text")
+    mark, same = fresh(docs, "_stay"), fresh(docs, "_text")
+    stay = found.where(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias(mark)).distinct()
+    kept = docs.join(stay, F.col(key).eqNullSafe(F.col(mark)), "left_semi")
+    return kept.withColumn(same, F.xxhash64(text)).dropDuplicates([key, same]).drop(same)

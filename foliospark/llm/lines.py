@@ -129,7 +129,8 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     """The rows with near-duplicate lines gone from their text, and n_lines and n_removed added (numbered names where
     the rows have those already)."""
     gone = saved(removed_lines(docs, key, text).groupBy("key", "th").agg(F.collect_set("i").alias("gone")))
-    lists = gone.select(*(F.col(c).alias(f"_{c}") for c in gone.columns))
+    k2, th2, list2 = (fresh(docs, f"_{c}") for c in gone.columns)
+    lists = gone.toDF(k2, th2, list2)
     parts = F.split(F.col(text), "\n")
     added = fresh(docs, "n_lines"), fresh(docs, "n_removed")
 
@@ -138,6 +139,6 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
 
     # rows that surely lose nothing are not moved
     has = F.coalesce(bit_test(gone.select(F.xxhash64("key", "th").alias("h")), F.xxhash64(F.col(key), F.xxhash64(F.col(text)))), F.lit(False)) & F.col(text).isNotNull()
-    joined = docs.where(has).join(lists, F.col(key).eqNullSafe(F.col("_key")) & (F.xxhash64(F.col(text)) == F.col("_th")), "left")
-    kept = F.when(F.col("_gone").isNull(), F.col(text)).otherwise(F.array_join(F.filter(parts, lambda _, i: ~F.array_contains(F.col("_gone"), i)), "\n"))
-    return result(docs.where(~has), F.col(text), F.lit(0)).unionByName(result(joined, kept, F.coalesce(F.size("_gone"), F.lit(0))))
+    joined = docs.where(has).join(lists, F.col(key).eqNullSafe(F.col(k2)) & (F.xxhash64(F.col(text)) == F.col(th2)), "left")
+    kept = F.when(F.col(list2).isNull(), F.col(text)).otherwise(F.array_join(F.filter(parts, lambda _, i: ~F.array_contains(F.col(list2), i)), "\n"))
+    return result(docs.where(~has), F.col(text), F.lit(0)).unionByName(result(joined, kept, F.coalesce(F.size(F.col(list2)), F.lit(0))))
