@@ -90,7 +90,7 @@ def _common(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _prefixes(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """(key, n, cid, prefix) of each row; cid names the set."""
+    """(key, th, n, cid, prefix) of each row; cid names the set."""
     common, rank = _common(docs, k)
 
     def run(batches):
@@ -111,11 +111,11 @@ def _prefixes(docs: DataFrame, k: int, percent: int) -> DataFrame:
             offsets = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]).astype(np.int32)
             values = np.concatenate(prefixes).view(np.int64) if prefixes else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("key"), pa.array(sizes, pa.int64()), pa.array(cids, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))],
-                ["key", "n", "cid", "prefix"],
+                [batch.column("key"), batch.column("th"), pa.array(sizes, pa.int64()), pa.array(cids, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))],
+                ["key", "th", "n", "cid", "prefix"],
             )
 
-    return docs.mapInArrow(run, f"key {docs.schema['key'].dataType.simpleString()}, n long, cid long, prefix array<long>")
+    return docs.mapInArrow(run, f"key {docs.schema['key'].dataType.simpleString()}, th long, n long, cid long, prefix array<long>")
 
 
 def links_in(members: list[np.ndarray], queries: list[np.ndarray], percent: int, tile: int = 4096) -> np.ndarray:
@@ -160,8 +160,9 @@ def _forest(linked: np.ndarray, members: np.ndarray, queries: np.ndarray) -> tup
 
 
 def components_of(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
-    """Per row: key, n_shingles, component_id. Two rows link when 100 * intersection >= percent * union."""
-    docs = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    """Per row: key, n_shingles, component_id and text_hash, xxhash64 of the text. Two rows link when
+    100 * intersection >= percent * union."""
+    docs = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.xxhash64(text).alias("th"))
     rows = saved(_prefixes(docs, k, percent))
     classes = rows.where("n > 0").groupBy("cid").agg(F.min("key").alias("least"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
 
@@ -217,7 +218,7 @@ def components_of(docs: DataFrame, key: str = "doc_id", text: str = "text", k: i
     named = found.join(classes.select(F.col("cid").alias("node"), "least"), "node").withColumn("least", F.min("least").over(Window.partitionBy("root"))).select("node", F.col("least").alias("joined"))
     alone = classes.select("cid", "least").join(named, F.col("cid") == F.col("node"), "left").select(F.col("cid").alias("of"), F.coalesce("joined", "least").alias("component"))
     return rows.join(alone, (F.col("cid") == F.col("of")) & (F.col("n") > 0), "left").select(
-        F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "key").alias("component_id")
+        F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "key").alias("component_id"), F.col("th").alias("text_hash")
     )
 
 
@@ -249,9 +250,10 @@ def _tokens(docs: DataFrame, roles: DataFrame, k: int) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` without near-duplicates: of each component the row with the least key stays, once."""
+    """The rows of ``docs`` without near-duplicates: of each component the text with the least key stays, once. Rows
+    without a key stay, once a text, unless a row with a key is in their component."""
     found = components_of(docs, key, text, k, percent)
-    mark, same = fresh(docs, "_stay"), fresh(docs, "_text")
-    stay = found.where(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias(mark)).distinct()
-    kept = docs.join(stay, F.col(key).eqNullSafe(F.col(mark)), "left_semi")
-    return kept.withColumn(same, F.xxhash64(text)).dropDuplicates([key, same]).drop(same)
+    a, b, same = fresh(docs, "_stay"), fresh(docs, "_stay_text"), fresh(docs, "_text")
+    stay = found.where(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias(a), F.col("text_hash").alias(b)).distinct()
+    kept = docs.withColumn(same, F.xxhash64(text)).join(stay, F.col(key).eqNullSafe(F.col(a)) & (F.col(same) == F.col(b)), "left_semi")
+    return kept.dropDuplicates([key, same]).drop(same)

@@ -20,7 +20,7 @@ def op1_packing(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op2_jaccard(spark: SparkSession, sf: str) -> DataFrame:
-    return jaccard.components_of(table(spark, sf, "documents"), k=4, percent=85)
+    return jaccard.components_of(table(spark, sf, "documents"), k=4, percent=85).drop("text_hash")
 
 
 def op3_language(spark: SparkSession, sf: str) -> DataFrame:
