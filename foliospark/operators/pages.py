@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from foliospark.functions.html import Node, parse
+from foliospark.functions.html import OPAQUE, Node, parse
 
 _DATE = ("property", "dc:date")
 BOILERPLATE = frozenset("script style nav header footer".split())
@@ -130,7 +130,7 @@ def _debate(page: str | None, main: dict, container: dict) -> dict:
             if bold := p.first("b"):
                 labels.append({"label": bold.text().rstrip(":").lower(), "html": (page or "")[p.begin : p.end]})
         strings = [s for s in map(str.strip, content.strings()) if s]
-        blocks = [t for c in content.children if (t := c.strip() if isinstance(c, str) else c.text("\n"))]
+        blocks = [t for c in content.children if (t := c.strip() if isinstance(c, str) else "" if c.tag in OPAQUE else c.text("\n"))]
     return {
         "title": _text(head and head.first("h1")), "date": date and (date.attrs.get("content") or date.text()),
         "has_content": content is not None, "inner_html": inner, "labels": labels, "strings": strings, "blocks": blocks,

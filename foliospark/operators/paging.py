@@ -29,8 +29,9 @@ def total_pages(first_page: DataFrame, max_pages: int, html: str = "html", probe
     last = page_number(F.col("last_href"))
     numbered = F.array_max(F.transform("hrefs", page_number))
     full = F.coalesce(probed, F.lit(1)) if probed is not None else F.lit(1)
+    linked = F.coalesce(last, numbered)
     return p.select(
-        F.coalesce(F.least(last + 1, F.lit(max_pages)), F.least(numbered + 1, F.lit(max_pages)), F.when(F.col("document_rows") >= 1000, full), F.lit(1))
+        F.coalesce(F.when(linked.isNotNull(), F.least(linked + 1, F.lit(max_pages))), F.when(F.col("document_rows") >= 1000, full), F.lit(1))
         .cast("int")
         .alias("total_pages")
     )
