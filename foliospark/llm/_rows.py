@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,10 +24,9 @@ def key_crc(key: Column) -> Column:
     return F.crc32(key.cast("string").cast("binary"))
 
 
-def saved(df: DataFrame, spark: SparkSession | None = None) -> DataFrame:
-    """The rows written to the shared folder of spark.checkpoint.dir and read from there: lineage ends, and a lost
-    executor costs nothing. Only where that setting is missing, as in tests, is a local folder used."""
-    spark = spark or df.sparkSession
+def _shared_folder(spark: SparkSession) -> str:
+    """The application's checkpoint folder below spark.checkpoint.dir. Only where that setting is missing, as in tests,
+    is a local folder used."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -35,4 +37,27 @@ def saved(df: DataFrame, spark: SparkSession | None = None) -> DataFrame:
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             folder = tempfile.mkdtemp(prefix="checkpoints-")
         context.setCheckpointDir(folder)
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """The rows checkpointed in the shared folder: lineage ends, and a lost executor costs nothing. The files go when
+    nothing refers to them and spark.cleaner.referenceTracking.cleanCheckpoints is set."""
+    _shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """As ``saved``, for many rows: a compressed table in the shared folder, removed when the Python process ends."""
+    spark = df.sparkSession
+    path = f"{_shared_folder(spark)}/table-{uuid.uuid4()}"
+    df.write.parquet(path)
+    atexit.register(_remove, spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    context = spark.sparkContext
+    if context._jsc is not None:
+        where = context._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)

@@ -52,7 +52,7 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def slices(texts: pa.Array, limit: int = 1 << 21) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def slices(texts: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, last row + 1, bytes, row offsets in them): whole texts of about ``limit`` bytes together; a
     longer one comes alone. Null texts are empty."""
     if isinstance(texts, pa.ChunkedArray):

@@ -93,6 +93,29 @@ def frequent_words(docs: DataFrame, text: str, pattern: str, table: Column, most
     return top.select("word", fold(F.col("word").cast("binary"), table).alias("ids")).toArrow()
 
 
+def _cut(words: pa.Array, at: pa.Array, ids: pa.Array) -> pa.Array:
+    """Lists of words, each with its place in ``ids`` or null, to lists of runs."""
+    flat, offs = words.flatten(), words.offsets.to_numpy().astype(np.int64)
+    offs = offs - offs[0]
+    unknown = at.is_null().to_numpy(zero_copy_only=False)
+    lost = np.flatnonzero(unknown)
+    kept = ids.take(at.drop_null())
+    # a run ends before each unknown word and at the end of each row; the unknown word itself is left out of the runs
+    rows = len(offs) - 1
+    row_of_lost = np.searchsorted(offs, lost, "right") - 1
+    outer = np.concatenate([[0], np.cumsum(np.bincount(row_of_lost, minlength=rows) + 1)])
+    place = outer[row_of_lost] + np.arange(len(lost)) - np.searchsorted(lost, offs)[row_of_lost]
+    begins = np.empty(outer[-1], np.int64)
+    begins[outer[:-1]] = offs[:-1]
+    begins[place + 1] = lost + 1
+    before = np.concatenate([[0], np.cumsum(unknown)])
+    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([begins - before[begins], [len(kept)]]).astype(np.int32)), kept)
+    r_at = np.full(outer[-1], -1)
+    r_at[place] = lost
+    r = flat.cast(pa.binary()).take(pa.array(r_at, mask=r_at < 0))
+    return pa.ListArray.from_arrays(pa.array(outer.astype(np.int32)), pa.StructArray.from_arrays([pc.binary_join(lists, ","), r], names=["s", "r"]))
+
+
 def _runs(known: pa.Table, context):
     """Words to runs: the ids of known words as text, then the unknown word that ends the run, if one does."""
     shipped = context.broadcast((known.column("word").combine_chunks(), known.column("ids").combine_chunks()))
@@ -100,32 +123,15 @@ def _runs(known: pa.Table, context):
     @F.arrow_udf("array<struct<s:string,r:binary>>")
     def runs(words: pa.Array) -> pa.Array:
         table, ids = shipped.value
-        flat, offs = words.flatten(), words.offsets.to_numpy().astype(np.int64)
-        offs = offs - offs[0]
-        at = pc.index_in(flat, value_set=table)
-        lost = np.flatnonzero(at.is_null().to_numpy(zero_copy_only=False))
-        text = ids.take(at)
-        # a run ends before each unknown word and at the end of each row; the unknown word itself is left out of the runs
-        rows = len(offs) - 1
-        row_of_lost = np.searchsorted(offs, lost, "right") - 1
-        count = np.bincount(row_of_lost, minlength=rows) + 1
-        outer = np.concatenate([[0], np.cumsum(count)])
-        place = outer[row_of_lost] + np.arange(len(lost)) - np.searchsorted(lost, offs)[row_of_lost]
-        ends = np.empty(outer[-1], np.int64)
-        ends[outer[1:] - 1] = offs[1:]
-        ends[place] = lost
-        begins = np.empty_like(ends)
-        begins[outer[:-1]] = offs[:-1]
-        begins[place + 1] = lost + 1
-        # the runs' words in one list, unknown words dropped
-        kept = text.drop_null()
-        shift = np.concatenate([[0], np.cumsum(at.is_null().to_numpy(zero_copy_only=False))])
-        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([begins - shift[begins], [len(kept)]]).astype(np.int32)), kept)
-        s = pc.binary_join(lists, ",")
-        r_at = np.full(outer[-1], -1)
-        r_at[place] = lost
-        r = flat.cast(pa.binary()).take(pa.array(r_at, mask=r_at < 0))
-        return pa.ListArray.from_arrays(pa.array(outer.astype(np.int32)), pa.StructArray.from_arrays([s, r], names=["s", "r"]))
+        offs = words.offsets.to_numpy().astype(np.int64)
+        at = pc.index_in(words.flatten(), value_set=table)
+        out, first = [], 0
+        while first < len(words):  # rows of about a million words at a time
+            last = max(first + 1, int(np.searchsorted(offs, offs[first] + (1 << 20), "right")) - 1)
+            part = words.slice(first, min(last, len(words)) - first)
+            out.append(_cut(part, at.slice(offs[first] - offs[0], len(part.flatten())), ids))
+            first += len(part)
+        return pa.concat_arrays(out) if out else pa.array([], pa.list_(pa.struct([("s", pa.string()), ("r", pa.binary())])))
 
     return runs.asNondeterministic()
 

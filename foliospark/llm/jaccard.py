@@ -29,7 +29,7 @@ from foliospark.llm._graph import components
 from foliospark.llm._rows import fresh, saved
 
 #: Shingles found twice within so many of a task's are counted as possibly common.
-COUNTED = 1 << 22
+COUNTED = 1 << 21
 #: From this count on a shingle is common; so many at most, the most frequent first, reach the tasks (2 MB).
 COMMON, COMMON_MOST = 32, 1 << 17
 #: A block of a group has about so many documents and shingles at most, and its queries come in parts of that many.
@@ -231,10 +231,15 @@ def _tokens(docs: DataFrame, roles: DataFrame, k: int) -> DataFrame:
         bits[r["bucket"] * 4096 : (r["bucket"] + 1) * 4096] = np.frombuffer(bytes(r["bits"]), np.uint8)
     shipped = docs.sparkSession.sparkContext.broadcast(bits)
 
+    def told(cids: list, sets: list) -> pa.RecordBatch:
+        offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
+        values = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(cids, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], ["cid", "tokens"])
+
     def run(batches):
         wanted = shipped.value
         for batch in batches:
-            cids, sets = [], []
+            cids, sets, size = [], [], 0
             for _, s in _sets(batch.column(0), k):
                 if len(s):
                     cid = _key(s)
@@ -242,9 +247,12 @@ def _tokens(docs: DataFrame, roles: DataFrame, k: int) -> DataFrame:
                     if wanted[at >> 3] >> (at & 7) & 1:
                         cids.append(cid)
                         sets.append(s)
-            offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
-            values = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(cids, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], ["cid", "tokens"])
+                        size += len(s)
+                        if size >= COUNTED // 4:
+                            yield told(cids, sets)
+                            cids, sets, size = [], [], 0
+            if cids:
+                yield told(cids, sets)
 
     return docs.select("text").mapInArrow(run, "cid long, tokens array<long>")
 

@@ -6,10 +6,10 @@ more share a word there. Length, positional and bit-sketch filters are part of t
 verified on the whole sets. A line goes when an earlier line, by key, then line number, then text, matches it,
 whether or not that earlier line goes too.
 
-Rarity: the most frequent words, a bounded table, come last by their counts; all rarer words come before them by
-hash. Any fixed order is exact, and this one keeps frequent words out of prefixes. Words that occur once are posted
-only where a bounded bit map cannot tell them from others, as they cannot be shared. Sets and words go by 64-bit
-hashes, posted words by 32 bits of them, which the verification makes good.
+Rarity: words are ordered by how often they stand in the corpus, in classes of half a power of two, and within a
+class by hash; counts are kept by slots of the words' hashes, so that the tables are bounded. Any fixed order is
+exact, and this one keeps frequent words out of prefixes. A word whose slot was counted once cannot be shared and is
+not posted. Sets and words go by 64-bit hashes, posted words by 31 bits of them, which the verification makes good.
 
 Lines without a word stay. Null text stays null. Rows equal in key and text count as one entry and get one result.
 A null key sorts first. Other columns pass through whatever their names. An empty table gives no rows.
@@ -17,18 +17,18 @@ A null key sorts first. Other columns pass through whatever their names. An empt
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliospark.llm._native import bit_test, constant_array
-from foliospark.llm._rows import fresh, saved
+from foliospark.llm._rows import fresh, saved, stored
 
-#: The most frequent words that are told apart from the rest, and the slots of their table (1 MB): of words that meet
-#: in a slot, the most frequent stays.
-FREQUENT, SLOTS = 1 << 15, 1 << 17
+#: Bits of a word's hash that choose its slot: of the counts, and of the table of classes (1 MB).
+COUNT_BITS, CLASS_BITS = 23, 20
 #: Sets of fewer words match only their equals.
 LEAST = 4
-_TOP = 1 << 62
+_HASH = (1 << 56) - 1
 
 
 def _split(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -48,45 +48,44 @@ def _words(line: Column) -> Column:
 
 
 def _counts(lines: DataFrame) -> DataFrame:
-    """(k, n): the hashes of words that two lines or more have, and in how many they stand."""
-    return saved(lines.select(F.explode(_words(F.col("line"))).alias("k")).groupBy("k").agg(F.count("*").alias("n")).where("n > 1"))
+    """(slot, n): how often the words of each slot stand in lines, where more than once."""
+    slot = F.col("k").bitwiseAND(F.lit((1 << COUNT_BITS) - 1)).cast("int")
+    return saved(lines.select(F.explode(_words(F.col("line"))).alias("k")).groupBy(slot.alias("slot")).agg(F.count("*").alias("n")).where("n > 1"))
 
 
-def _frequent(counts: DataFrame) -> Column:
-    """A slot holds its word's hash with the word's rank (1 for the rarest of the table) folded in."""
-    slots: list[int | None] = [None] * SLOTS
-    top = counts.orderBy(F.desc("n"), "k").limit(FREQUENT).collect()
-    for i, r in enumerate(top):
-        if slots[r["k"] & (SLOTS - 1)] is None:
-            slots[r["k"] & (SLOTS - 1)] = r["k"] ^ (len(top) - i)
-    return constant_array(slots, "bigint")
+def _classes(counts: DataFrame) -> Column:
+    """The rarity class of the words of each slot, by the most frequent of the counts that fall in it."""
+    level = F.round(F.log2(F.max("n")) * 2).cast("int")
+    rows = counts.groupBy(F.col("slot").bitwiseAND(F.lit((1 << CLASS_BITS) - 1)).alias("slot")).agg(F.least(level, F.lit(120)).alias("level")).toArrow()
+    table = np.zeros(1 << CLASS_BITS, np.int64)
+    table[rows.column("slot").to_numpy()] = rows.column("level").to_numpy()
+    return constant_array(table.tolist(), "tinyint")
 
 
-def _sets(lines: DataFrame, frequent: Column) -> DataFrame:
+def _sets(lines: DataFrame, classes: Column) -> DataFrame:
     """The lines that have words, with w, their words' places in the global order, ascending, and n, how many."""
-    rank = F.transform("h", lambda h: F.get(frequent, h.bitwiseAND(F.lit(SLOTS - 1)).cast("int")).bitwiseXOR(h))
-    placed = F.zip_with("h", rank, lambda h, r: F.when((r > 0) & (r < SLOTS), r + _TOP).otherwise(h.bitwiseAND(F.lit(_TOP - 1))))
-    rows = lines.withColumn("h", _words(F.col("line"))).drop("line").withColumn("n", F.size("h")).where("n > 0")
-    return rows.withColumn("w", F.sort_array(placed)).drop("h")
+    level = lambda h: F.get(classes, h.bitwiseAND(F.lit((1 << CLASS_BITS) - 1)).cast("int")).cast("bigint")
+    place = F.transform(_words(F.col("line")), lambda h: F.shiftleft(level(h), 56).bitwiseOR(h.bitwiseAND(F.lit(_HASH))))
+    return lines.withColumn("w", F.sort_array(place)).drop("line").withColumn("n", F.size("w")).where("n > 0")
 
 
 def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, th, i): the lines to remove; th is xxhash64 of the text and i counts from 0."""
     lines = _split(docs, key, text)
     counts = _counts(lines)
-    frequent = _frequent(counts)
+    classes = _classes(counts)
 
     one = F.lit(1).cast("bigint")
     sketch = F.aggregate("w", F.lit(0).cast("bigint"), lambda a, w: a.bitwiseXOR(F.call_function("shiftleft", one, F.pmod(w, F.lit(61)).cast("int"))))
     prefix = F.transform(F.slice("w", 1, F.col("n") - F.ceil(F.col("n") * 4 / 5).cast("int") + 1), lambda w: _low(w))
-    all_lines = saved(
-        _sets(lines, frequent).select(
+    all_lines = stored(
+        _sets(lines, classes).select(
             "key", "th", "i", F.xxhash64("w").alias("sid"), F.when(F.col("n") >= LEAST, F.struct("n", sketch.alias("sketch"), prefix.alias("prefix"))).alias("x")
         )
     )
 
     # distinct sets, posted under the words of their prefixes
-    shared = bit_test(counts.select(_low(F.col("k")).cast("bigint").alias("h")).unionByName(docs.sparkSession.range(SLOTS).select(F.col("id").alias("h"))), F.col("token").cast("bigint"), 23)
+    shared = bit_test(counts.select(F.col("slot").cast("bigint").alias("h")), F.col("token").cast("bigint"), COUNT_BITS)
     posted = all_lines.where("x is not null").groupBy("sid").agg(F.first("x").alias("x")).select("sid", "x.n", "x.sketch", F.posexplode("x.prefix").alias("pos", "token")).where(shared)
     na, nb, pa, pb = (F.col(c) for c in ("a.n", "b.n", "a.pos", "b.pos"))
     least = F.ceil((na + nb) * 4 / 9)
@@ -107,7 +106,7 @@ def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     w = wanted.select("sid", F.col("at.key").alias("k2"), F.col("at.th").alias("th2"), F.col("at.i").alias("i2"), "at")
     found = some.join(w, F.col("key").eqNullSafe(F.col("k2")) & (F.col("th") == F.col("th2")) & (F.col("i") == F.col("i2")))
     found = saved(found.select("sid", "at", "line").dropDuplicates(["sid"]))
-    whole = saved(_sets(found, frequent).select("sid", "at", "w"))
+    whole = saved(_sets(found, classes).select("sid", "at", "w"))
     side = lambda s: whole.select(*(F.col(c).alias(f"{c}_{s}") for c in ("sid", "at", "w")))
     both = pairs.join(side("a"), "sid_a").join(side("b"), "sid_b")
     linked = both.where(F.size(F.array_intersect("w_a", "w_b")) * 9 >= (F.size("w_a") + F.size("w_b")) * 4)
