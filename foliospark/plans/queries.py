@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliospark.functions import classify, dates, text
-from foliospark.operators import enrich, extract, pages, paging, stats
+from foliospark.operators import enrich, extract, listing, pages, paging, stats
 from foliospark.sources import fetch
 
 TITLES = (
@@ -207,6 +207,59 @@ def extract_debate(spark, sf):
     return extract.debates(fetch.from_pages(_t(spark, sf, "pages")), main="article", container="article")
 
 
+def _order_pages(spark, sf):
+    """One listing page per order: a dated, linked title, and a related link on all but every fifth."""
+    date = F.concat(F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("T10:00:00+00:00"))
+    dated = F.when(F.col("o_orderkey") % 4 == 0, F.concat(F.lit('<h4>'), "o_orderstatus", F.lit("</h4>"))).otherwise(F.concat(F.lit('<span property="dc:date" content="'), date, F.lit('">x</span>')))
+    side = F.when(F.col("o_orderkey") % 5 == 0, "").otherwise(F.concat(F.lit('<div class="col-sm-4"><div class="label-above">Related</div><a href="/c/'), F.col("o_custkey").cast("string"), F.lit('">C &amp; '), "o_orderstatus", F.lit("</a></div>")))
+    html = F.concat(
+        F.lit('<html><nav><a href="/n">n</a></nav><div class="views row"><div class="col-sm-8 x">'), dated, F.lit('<div class="field-title"><p><a href="/o/'), F.col("o_orderkey").cast("string"),
+        F.lit('"> '), "o_orderpriority", F.lit(" </a></div></div>"), side, F.lit("</div></html>"),
+    )
+    return _t(spark, sf, "orders").select((F.col("o_orderkey") % 25 + 1).cast("int").alias("page"), html.alias("html"))
+
+
+def listing_documents(spark, sf):
+    return listing.documents(_order_pages(spark, sf), SITE)
+
+
+def listing_debates(spark, sf):
+    return listing.debates(_order_pages(spark, sf), SITE)
+
+
+def _document_fetches(spark, sf):
+    """Each document as a page: a title, an ISO date, its lines as paragraphs between boilerplate; every tenth lost."""
+    safe = F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    paragraphs = F.array_join(F.transform(F.split(safe, "\n"), lambda x: F.concat(F.lit("<p>"), x, F.lit("</p>"))), "\n")
+    html = F.concat(
+        F.lit('<div class="field-ds-doc-title"><h1>'), _title(), F.lit('</h1></div><span property="dc:date">March 5, 2020</span><h3><a>'), "source", F.lit('</a></h3><div class="field-docs-content"><nav><p>menu</p></nav>'),
+        paragraphs, F.lit('<script>var t="</p>";</script></div>'), F.when(F.col("doc_id") % 3 == 0, '<iframe src="//player.vimeo.com/1"></iframe>').otherwise(""),
+    )
+    lost = F.col("doc_id") % 10 == 9
+    return _t(spark, sf, "documents").select(
+        F.col("doc_id").cast("string").alias("url"), F.when(lost, 500).otherwise(200).alias("status"), F.lit(None).cast("string").alias("error"), html.alias("html"), F.lit(None).cast("timestamp").alias("fetched_at")
+    )
+
+
+def detail_documents(spark, sf):
+    return extract.documents(_document_fetches(spark, sf))
+
+
+def _debate_fetches(spark, sf):
+    n, r = _t(spark, sf, "nation"), _t(spark, sf, "region")
+    html = F.concat(
+        F.lit('<div class="col-sm-8"><h1>'), "n_name", F.lit(' debate</h1><span property="dc:date" content="2020-03-05T00:00:00">x</span></div><div class="field-docs-content"><p><b>Moderators:</b> '), "r_name",
+        F.lit(';</p><p><b>Participants:</b> '), "n_name", F.lit("; second one.<br/>third</p><p>One <i>two</i><br>three</p></div>"),
+    )
+    pages_df = n.join(r, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").cast("string").alias("url"), html.alias("html"))
+    return fetch.from_pages(pages_df)
+
+
+def detail_debates(spark, sf):
+    d = extract.debates(_debate_fetches(spark, sf))
+    return d.withColumns({c: F.to_json(c) for c in ("Participants_List", "Moderators_List")})
+
+
 _NAV = "regexp_extract_all(html, '<a[^>]*href=\"([^\"]*)\"', 1)"
 _SHOWN = """CASE CAST(o_orderkey % 7 AS INT) WHEN 0 THEN strftime(o_orderdate, '%B %-d, %Y') WHEN 1 THEN strftime(o_orderdate, '%-m/%-d/%Y') WHEN 2 THEN strftime(o_orderdate, '%Y-%m-%d')
  WHEN 3 THEN strftime(o_orderdate, '%-d %B %Y') WHEN 4 THEN strftime(o_orderdate, '%Y-%m-%d') || 'T00:00:00Z' WHEN 5 THEN ' Fall 2024' ELSE strftime(o_orderdate, '%Y-%m-%d') || 'T00:00:00+00:00' END"""
@@ -291,6 +344,35 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
         extract_title,
         """SELECT url, replace(replace(replace(replace(replace(trim(regexp_extract(html, '(?s)<h1[^>]*>(.*?)</h1>', 1)), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&') AS "Document_Title",
  'Success' AS "Extraction_Status" FROM pages""",
+    ),
+    "listing_documents": (
+        listing_documents,
+        f"""SELECT CASE WHEN o_orderkey % 4 = 0 THEN o_orderstatus ELSE strftime(o_orderdate, '%B %d, %Y') END AS "Date", o_orderpriority AS "Title", '{SITE}/o/' || o_orderkey AS "Document_Link",
+ CASE WHEN o_orderkey % 5 = 0 THEN 'No Category' ELSE 'C & ' || o_orderstatus END AS "Related_Category", CASE WHEN o_orderkey % 5 = 0 THEN 'No Link' ELSE '{SITE}/c/' || o_custkey END AS "Related_Link",
+ CAST(o_orderkey % 25 + 1 AS INT) AS "Page", CAST(o_orderkey % 25 AS INT) AS "URL_Page_Index" FROM orders""",
+    ),
+    "listing_debates": (
+        listing_debates,
+        f"""SELECT CASE WHEN o_orderkey % 4 = 0 THEN '' ELSE strftime(o_orderdate, '%B %d, %Y') END AS "Date", o_orderpriority AS "Title", '{SITE}/o/' || o_orderkey AS "Debate_Link",
+ 'C & ' || o_orderstatus AS "Related_Category", '{SITE}/c/' || o_custkey AS "Related_Link" FROM orders WHERE o_orderkey % 5 <> 0""",
+    ),
+    "detail_documents": (
+        detail_documents,
+        f"""WITH t AS (SELECT doc_id, source, {_TITLE_SQL} AS title, doc_id % 10 <> 9 AS ok, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(13))), lambda x: x <> '') AS p FROM documents)
+ SELECT CAST(doc_id AS VARCHAR) AS url, CASE WHEN ok THEN title ELSE '' END AS "Document_Title", CASE WHEN ok THEN '2020-03-05T00:00:00' ELSE '' END AS "Document_Date",
+ CASE WHEN ok THEN array_to_string(p, '\\n\\n') ELSE '' END AS "Document_Content", CASE WHEN ok THEN source ELSE '' END AS "Speaker", '' AS "Speaker_Title",
+ CASE WHEN ok THEN {_TYPE_SQL} ELSE '' END AS "Document_Type",
+ CASE WHEN ok THEN coalesce(nullif(regexp_extract(title, 'in ([A-Z][a-z]+)', 1), ''), nullif(regexp_extract(title, 'at the ([A-Z][a-z]+)', 1), ''), '') ELSE '' END AS "Location",
+ ok AND doc_id % 3 = 0 AS "Video_Available", CASE WHEN ok THEN CAST(len(regexp_extract_all(array_to_string(p, ' '), '\\S+')) AS BIGINT) ELSE 0 END AS "Word_Count",
+ CASE WHEN ok THEN 'Success' ELSE 'Network Error' END AS "Extraction_Status" FROM t""",
+    ),
+    "detail_debates": (
+        detail_debates,
+        """SELECT CAST(n_nationkey AS VARCHAR) AS "URL", n_name || ' debate' AS "Extracted_Title", '2020-03-05T00:00:00' AS "Extracted_Date", '["' || n_name || '","second one","third"]' AS "Participants_List",
+ n_name || '; second one; third' AS "Participants", '["' || r_name || '"]' AS "Moderators_List", r_name AS "Moderators",
+ 'Moderators:' || chr(10) || r_name || ';' || chr(10) || 'Participants:' || chr(10) || n_name || '; second one.' || chr(10) || 'third' || chr(10) || 'One' || chr(10) || 'two' || chr(10) || 'three' AS "Debate_Content_Text",
+ '<p><b>Moderators:</b> ' || r_name || ';</p><p><b>Participants:</b> ' || n_name || '; second one.<br/>third</p><p>One <i>two</i><br>three</p>' AS "Debate_Content_HTML"
+ FROM nation JOIN region ON n_regionkey = r_regionkey""",
     ),
     "extract_document": (extract_document, None),
     "extract_debate": (extract_debate, None),
