@@ -24,6 +24,20 @@ def key_crc(key: Column) -> Column:
     return F.crc32(key.cast("string").cast("binary"))
 
 
+def most_frequent(counted: DataFrame, count: str, bound: int) -> DataFrame:
+    """The rows with the greatest counts, no more than ``bound`` and all or none of an eighth of a power of two. Only a
+    histogram of those is gathered; ``counted`` is read twice."""
+    level = F.floor(F.log2(count) * 8)
+    steps = sorted(map(tuple, counted.where(F.col(count) > 0).groupBy(level.alias("level")).agg(F.count("*").alias("rows")).collect()), reverse=True)
+    least, total = None, 0
+    for step, rows in steps:
+        total += rows
+        if total > bound:
+            break
+        least = step
+    return counted.where((F.col(count) > 0) & (level >= least) if least is not None else F.lit(False))
+
+
 def _shared_folder(spark: SparkSession) -> str:
     """The application's checkpoint folder below spark.checkpoint.dir. Only where that setting is missing, as in tests,
     is a local folder used."""

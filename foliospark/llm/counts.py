@@ -21,10 +21,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliospark.llm import _words as W
-from foliospark.llm._rows import saved
+from foliospark.llm._rows import most_frequent, saved, stored
 
-#: So many words of a task are counted together, and so many of the most frequent words reach all tasks (3 MB).
-COUNTED, FREQUENT = 1 << 22, 1 << 18
+#: So many words of a task are counted together, and so many of the most frequent words reach all tasks (16 MB).
+COUNTED, FREQUENT = 1 << 22, 1 << 20
 MARK = "▁"
 #: A score counts this much for each unit, which leaves room below it for the number of tokens.
 _SCALE = 1 << 20
@@ -74,7 +74,7 @@ class Walk:
 
 
 def distinct_words(docs: DataFrame, text: str) -> DataFrame:
-    """(h, word, n) of all words; h is a 64-bit hash."""
+    """(word, n) of all words."""
 
     def count(batches):
         known: dict[str, list] = {"h": [], "w": [], "n": []}
@@ -85,7 +85,7 @@ def distinct_words(docs: DataFrame, text: str) -> DataFrame:
             n = np.zeros(len(h), np.int64)
             np.add.at(n, np.searchsorted(h, np.concatenate(known["h"])), np.concatenate(known["n"]))
             words = pa.chunked_array(known["w"]).take(pa.array(first)).combine_chunks()
-            return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), words, pa.array(n)], ["h", "word", "n"])
+            return pa.RecordBatch.from_arrays([words, pa.array(n)], ["word", "n"])
 
         for batch in batches:
             for _, _, data, offs in W.slices(batch.column(0)):
@@ -107,19 +107,21 @@ def distinct_words(docs: DataFrame, text: str) -> DataFrame:
         if size:
             yield told()
 
-    found = docs.select(text).mapInArrow(count, "h long, word string, n long")
-    return found.groupBy("h").agg(F.first("word").alias("word"), F.sum("n").alias("n"))
+    return docs.select(text).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def word_tokens(words: DataFrame, scores: dict[str, int]) -> DataFrame:
-    """(h, n, tokens) of distinct words, walked in ranges of their order."""
+    """(h, n, tokens) of distinct words, walked in ranges of their order; h is a word's 64-bit hash."""
     shipped = words.sparkSession.sparkContext.broadcast(scores)
 
     def walk(batches):
         state = Walk(shipped.value)
         for batch in batches:
-            tokens = [state.tokens(MARK + w) for w in batch.column("word").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("h"), batch.column("n"), pa.array(tokens, pa.int64())], ["h", "n", "tokens"])
+            words = batch.column("word")
+            h = [W.hashes(data, offs[:-1], offs[1:], W._BYTE) for _, _, data, offs in W.slices(words)]
+            tokens = [state.tokens(MARK + w) for w in words.to_pylist()]
+            hashes = np.concatenate(h).view(np.int64) if h else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(hashes), batch.column("n"), pa.array(tokens, pa.int64())], ["h", "n", "tokens"])
 
     parts = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return words.repartitionByRange(parts, "word").sortWithinPartitions("word").mapInArrow(walk, "h long, n long, tokens long")
@@ -128,8 +130,8 @@ def word_tokens(words: DataFrame, scores: dict[str, int]) -> DataFrame:
 def count_tokens(docs: DataFrame, scores: dict[str, int], key: str = "doc_id", text: str = "text", frequent: int = FREQUENT) -> DataFrame:
     """Per row: key, n_words, n_tokens."""
     docs = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    known = saved(word_tokens(distinct_words(docs, "text"), scores))
-    top = known.orderBy(F.desc("n"), "h").limit(frequent).select("h", "tokens").toArrow()
+    known = stored(word_tokens(distinct_words(docs, "text"), scores))
+    top = most_frequent(known, "n", frequent).select("h", "tokens").toArrow()
     h = top.column("h").to_numpy().view(np.uint64)
     order = np.argsort(h)
     shipped = docs.sparkSession.sparkContext.broadcast((h[order], top.column("tokens").to_numpy()[order]))

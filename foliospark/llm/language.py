@@ -5,7 +5,7 @@ mark). A document's own order is compared with each profile by out-of-place dist
 document's most frequent n-grams of how far the ranks lie apart, an n-gram that a profile lacks counting the
 profile's length.
 
-Null text or text without a letter: 'und', score 0. Ties go to the language that sorts first. Nothing to learn
+Learned are up to a thousand languages. Null text or text without a letter: 'und', score 0. Ties go to the language that sorts first. Nothing to learn
 from: 'und' for all. Rows are never dropped or merged; other columns pass through whatever their names.
 """
 
