@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliospark.llm._native import BUCKETS, constant_map, lookup
-from foliospark.llm._rows import fresh, saved
+from foliospark.llm._rows import fresh, most_frequent, stored
 
 #: So many of the most frequent words, of so many bytes at most, are folded once: under 100 MB with their ids.
 FREQUENT, LONGEST = 1 << 20, 40
@@ -89,7 +89,8 @@ def fold(word: Column, table: Column) -> Column:
 def frequent_words(docs: DataFrame, text: str, pattern: str, table: Column, most: int = FREQUENT) -> pa.Table:
     """(word, ids) of the most frequent words of all texts."""
     words = docs.select(F.explode(split_words(F.col(text), pattern)).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-    top = saved(words.where((F.col("n") > 1) & (F.octet_length("word") <= LONGEST)).orderBy(F.desc("n"), "word").limit(most).select("word").repartition(docs.sparkSession.sparkContext.defaultParallelism))
+    counted = stored(words.where((F.col("n") > 1) & (F.octet_length("word") <= LONGEST)))
+    top = most_frequent(counted, "n", most).select("word").repartition(docs.sparkSession.sparkContext.defaultParallelism)
     return top.select("word", fold(F.col("word").cast("binary"), table).alias("ids")).toArrow()
 
 
