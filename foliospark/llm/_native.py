@@ -25,11 +25,6 @@ def constant_map(pairs: Iterable[tuple], kinds: tuple[str, str], place: Callable
     return F.from_json(F.lit(text), f"array<struct<k:array<{kinds[0]}>,v:array<{kinds[1]}>>>")
 
 
-def constant_array(values: list, kind: str) -> Column:
-    """A bounded list as a constant."""
-    return F.from_json(F.lit(json.dumps(values, separators=(",", ":"))), f"array<{kind}>")
-
-
 def lookup(table: Column, bucket: Column, key: Column) -> Column:
     """The value of ``key`` in its bucket (from 0), null if it is not there. The bucket is bound once, as the table
     stands in the plan wherever it is named."""

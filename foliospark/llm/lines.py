@@ -18,10 +18,10 @@ A null key sorts first. Other columns pass through whatever their names. An empt
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliospark.llm._native import bit_test, constant_array
+from foliospark.llm._native import bit_test
 from foliospark.llm._rows import fresh, saved, stored
 
 #: Bits of a word's hash that choose its slot: of the counts, and of the table of classes (1 MB).
@@ -57,14 +57,15 @@ def _classes(counts: DataFrame) -> Column:
     """The rarity class of the words of each slot, by the most frequent of the counts that fall in it."""
     level = F.round(F.log2(F.max("n")) * 2).cast("int")
     rows = counts.groupBy(F.col("slot").bitwiseAND(F.lit((1 << CLASS_BITS) - 1)).alias("slot")).agg(F.least(level, F.lit(120)).alias("level")).toArrow()
-    table = np.zeros(1 << CLASS_BITS, np.int64)
+    table = np.zeros(1 << CLASS_BITS, np.uint8)
     table[rows.column("slot").to_numpy()] = rows.column("level").to_numpy()
-    return constant_array(table.tolist(), "tinyint")
+    return F.lit(bytearray(table.tobytes()))
 
 
 def _sets(lines: DataFrame, classes: Column) -> DataFrame:
     """The lines that have words, with w, their words' places in the global order, ascending, and n, how many."""
-    level = lambda h: F.get(classes, h.bitwiseAND(F.lit((1 << CLASS_BITS) - 1)).cast("int")).cast("bigint")
+    byte = lambda h: F.substring(classes, h.bitwiseAND(F.lit((1 << CLASS_BITS) - 1)).cast("int") + 1, F.lit(1))
+    level = lambda h: F.ascii(byte(h).cast("string")).cast("bigint")
     place = F.transform(_words(F.col("line")), lambda h: F.shiftleft(level(h), 56).bitwiseOR(h.bitwiseAND(F.lit(_HASH))))
     return lines.withColumn("w", F.sort_array(place)).drop("line").withColumn("n", F.size("w")).where("n > 0")
 
@@ -95,22 +96,20 @@ def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
         & (F.least(na - pa, nb - pb) >= least)
         & (F.bit_count(F.col("a.sketch").bitwiseXOR(F.col("b.sketch"))) <= na + nb - least * 2)
     )
-    pairs = saved(posted.alias("a").join(posted.alias("b"), near).select(F.col("a.sid").alias("sid_a"), F.col("b.sid").alias("sid_b")).distinct())
+    pairs = stored(posted.alias("a").join(posted.alias("b"), near).select(F.col("a.sid").alias("sid_a"), F.col("b.sid").alias("sid_b")).distinct())
 
     # the whole sets of the lines in pairs, each read from its earliest place
     place = F.struct("key", "i", "th")
     ids = pairs.select(F.col("sid_a").alias("sid")).union(pairs.select(F.col("sid_b").alias("sid"))).distinct()
     wanted = saved(all_lines.select("sid", "key", "th", "i").join(ids, "sid").groupBy("sid").agg(F.min(place).alias("at")))
     has = bit_test(wanted.select(F.xxhash64("at.key", "at.th").alias("h")), F.xxhash64(F.col(key), F.xxhash64(F.col(text))))
-    some = _split(docs.where(F.col(text).isNotNull() & has), key, text)
-    w = wanted.select("sid", F.col("at.key").alias("k2"), F.col("at.th").alias("th2"), F.col("at.i").alias("i2"), "at")
+    here = bit_test(wanted.select(F.xxhash64("at.key", "at.th", "at.i").alias("h")), F.xxhash64("key", "th", "i"))
+    some = _split(docs.where(F.col(text).isNotNull() & has), key, text).where(here)
+    w = wanted.select("sid", F.col("at.key").alias("k2"), F.col("at.th").alias("th2"), F.col("at.i").alias("i2"))
     found = some.join(w, F.col("key").eqNullSafe(F.col("k2")) & (F.col("th") == F.col("th2")) & (F.col("i") == F.col("i2")))
-    found = saved(found.select("sid", "at", "line").dropDuplicates(["sid"]))
-    whole = saved(_sets(found, classes).select("sid", "at", "w"))
-    side = lambda s: whole.select(*(F.col(c).alias(f"{c}_{s}") for c in ("sid", "at", "w")))
-    both = pairs.join(side("a"), "sid_a").join(side("b"), "sid_b")
-    linked = both.where(F.size(F.array_intersect("w_a", "w_b")) * 9 >= (F.size("w_a") + F.size("w_b")) * 4)
-    late = linked.select(F.when(F.col("at_a") < F.col("at_b"), F.col("sid_b")).otherwise(F.col("sid_a")).alias("sid")).distinct().withColumn("late", F.lit(True))
+    found = stored(found.select("sid", "line").dropDuplicates(["sid"]))
+    whole = stored(_sets(found, classes).select("sid", "w"))
+    late = _late(pairs, wanted, whole).withColumn("late", F.lit(True))
 
     # a late set goes with all its places, any other set with all but its first
     narrow = all_lines.select("sid", "key", "th", "i")
@@ -119,6 +118,25 @@ def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     return gone.select("key", "th", "i")
 
 
+def _late(pairs: DataFrame, wanted: DataFrame, whole: DataFrame) -> DataFrame:
+    """(sid) of the sets that match a set with an earlier first place. One match is enough, so a set is held against
+    its earliest candidate, then the next few, and against all the rest only if none of those matched."""
+    at = lambda s: wanted.select(F.col("sid").alias(f"sid_{s}"), F.col("at").alias(f"at_{s}"))
+    both = pairs.join(at("a"), "sid_a").join(at("b"), "sid_b")
+    first = F.col("at_a") < F.col("at_b")
+    ordered = both.select(*(F.when(first, F.col(f"{c}_{x}")).otherwise(F.col(f"{c}_{y}")).alias(n) for c, x, y, n in (("sid", "b", "a", "sid"), ("sid", "a", "b", "early"), ("at", "a", "b", "early_at"))))
+    ranked = stored(ordered.withColumn("turn", F.row_number().over(Window.partitionBy("sid").orderBy("early_at"))).select("sid", "early", "turn"))
+    late = None
+    for low, high in ((1, 1), (2, 4), (5, 1 << 30)):
+        turn = ranked.where(F.col("turn").between(low, high))
+        if late is not None:
+            turn = turn.join(late, "sid", "left_anti")
+        held = turn.join(whole.select(F.col("sid").alias("early"), F.col("w").alias("w_early")), "early").join(whole, "sid")
+        found = held.where(F.size(F.array_intersect("w", "w_early")) * 9 >= (F.size("w") + F.size("w_early")) * 4).select("sid").distinct()
+        late = saved(found if late is None else late.union(found))
+    return late
+
+
 def _low(word: Column) -> Column:
     """The lowest 31 bits."""
     return word.bitwiseAND(F.lit((1 << 31) - 1)).cast("int")
