@@ -18,7 +18,7 @@ A null key sorts first. Other columns pass through whatever their names. An empt
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliospark.llm._native import bit_test
@@ -98,18 +98,22 @@ def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     )
     pairs = stored(posted.alias("a").join(posted.alias("b"), near).select(F.col("a.sid").alias("sid_a"), F.col("b.sid").alias("sid_b")).distinct())
 
-    # the whole sets of the lines in pairs, each read from its earliest place
+    # the whole sets of the lines in pairs, each read from its earliest place; o numbers them in the order of places
     place = F.struct("key", "i", "th")
     ids = pairs.select(F.col("sid_a").alias("sid")).union(pairs.select(F.col("sid_b").alias("sid"))).distinct()
     wanted = saved(all_lines.select("sid", "key", "th", "i").join(ids, "sid").groupBy("sid").agg(F.min(place).alias("at")))
+    wanted = saved(wanted.repartitionByRange("at").sortWithinPartitions("at").withColumn("o", F.monotonically_increasing_id()))
     has = bit_test(wanted.select(F.xxhash64("at.key", "at.th").alias("h")), F.xxhash64(F.col(key), F.xxhash64(F.col(text))))
     here = bit_test(wanted.select(F.xxhash64("at.key", "at.th", "at.i").alias("h")), F.xxhash64("key", "th", "i"))
     some = _split(docs.where(F.col(text).isNotNull() & has), key, text).where(here)
-    w = wanted.select("sid", F.col("at.key").alias("k2"), F.col("at.th").alias("th2"), F.col("at.i").alias("i2"))
+    w = wanted.select("o", F.col("at.key").alias("k2"), F.col("at.th").alias("th2"), F.col("at.i").alias("i2"))
     found = some.join(w, F.col("key").eqNullSafe(F.col("k2")) & (F.col("th") == F.col("th2")) & (F.col("i") == F.col("i2")))
-    found = stored(found.select("sid", "line").dropDuplicates(["sid"]))
-    whole = stored(_sets(found, classes).select("sid", "w"))
-    late = _late(pairs, wanted, whole).withColumn("late", F.lit(True))
+    found = stored(found.select("o", "line").dropDuplicates(["o"]))
+    whole = stored(_sets(found, classes).select("o", "w"))
+    number = lambda s: wanted.select(F.col("sid").alias(f"sid_{s}"), F.col("o").alias(f"o_{s}"))
+    numbered = pairs.join(number("a"), "sid_a").join(number("b"), "sid_b")
+    late = _late(numbered.select(F.greatest("o_a", "o_b").alias("late"), F.least("o_a", "o_b").alias("early")), whole)
+    late = late.join(wanted.select("sid", F.col("o").alias("late")), "late").select("sid", F.lit(True).alias("late"))
 
     # a late set goes with all its places, any other set with all but its first
     narrow = all_lines.select("sid", "key", "th", "i")
@@ -118,23 +122,19 @@ def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     return gone.select("key", "th", "i")
 
 
-def _late(pairs: DataFrame, wanted: DataFrame, whole: DataFrame) -> DataFrame:
-    """(sid) of the sets that match a set with an earlier first place. One match is enough, so a set is held against
-    its earliest candidate, then the next few, and against all the rest only if none of those matched."""
-    at = lambda s: wanted.select(F.col("sid").alias(f"sid_{s}"), F.col("at").alias(f"at_{s}"))
-    both = pairs.join(at("a"), "sid_a").join(at("b"), "sid_b")
-    first = F.col("at_a") < F.col("at_b")
-    ordered = both.select(*(F.when(first, F.col(f"{c}_{x}")).otherwise(F.col(f"{c}_{y}")).alias(n) for c, x, y, n in (("sid", "b", "a", "sid"), ("sid", "a", "b", "early"), ("at", "a", "b", "early_at"))))
-    ranked = stored(ordered.withColumn("turn", F.row_number().over(Window.partitionBy("sid").orderBy("early_at"))).select("sid", "early", "turn"))
-    late = None
-    for low, high in ((1, 1), (2, 4), (5, 1 << 30)):
-        turn = ranked.where(F.col("turn").between(low, high))
-        if late is not None:
-            turn = turn.join(late, "sid", "left_anti")
-        held = turn.join(whole.select(F.col("sid").alias("early"), F.col("w").alias("w_early")), "early").join(whole, "sid")
-        found = held.where(F.size(F.array_intersect("w", "w_early")) * 9 >= (F.size("w") + F.size("w_early")) * 4).select("sid").distinct()
-        late = saved(found if late is None else late.union(found))
-    return late
+def _late(pairs: DataFrame, whole: DataFrame) -> DataFrame:
+    """(late) of the numbered sets that match an earlier one. One match is enough, so a set is held against its earliest
+    candidate, and against all of them only if that one does not match."""
+    pairs = stored(pairs)
+
+    def matched(turn: DataFrame) -> DataFrame:
+        side = whole.select(F.col("o"), F.col("w"))
+        held = turn.join(side.alias("e"), F.col("early") == F.col("e.o")).select("late", F.col("e.w").alias("w_early")).join(side.alias("l"), F.col("late") == F.col("l.o"))
+        shared = F.size(F.array_intersect("w_early", "l.w"))
+        return held.where(shared * 9 >= (F.size("w_early") + F.size("l.w")) * 4).select("late").distinct()
+
+    first = saved(matched(pairs.groupBy("late").agg(F.min("early").alias("early"))))
+    return first.union(saved(matched(pairs.join(first, "late", "left_anti"))))
 
 
 def _low(word: Column) -> Column:
