@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import atexit
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,18 +56,32 @@ def _shared_folder(spark: SparkSession) -> str:
     return context._jsc.sc().getCheckpointDir().get()
 
 
+@contextmanager
+def _tidied(df: DataFrame) -> Iterator[DataFrame]:
+    """The same rows, whose shuffle files go as soon as they are written, rather than when the driver next collects garbage."""
+    conf, name = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(name)
+    conf.set(name, "true")
+    try:
+        yield df.select("*")
+    finally:
+        conf.set(name, before)
+
+
 def saved(df: DataFrame) -> DataFrame:
     """The rows checkpointed in the shared folder: lineage ends, and a lost executor costs nothing. The files go when
     nothing refers to them and spark.cleaner.referenceTracking.cleanCheckpoints is set."""
     _shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    with _tidied(df) as rows:
+        return rows.checkpoint(eager=True)
 
 
 def stored(df: DataFrame) -> DataFrame:
     """As ``saved``, for many rows: a compressed table in the shared folder, removed when the Python process ends."""
     spark = df.sparkSession
     path = f"{_shared_folder(spark)}/table-{uuid.uuid4()}"
-    df.write.parquet(path)
+    with _tidied(df) as rows:
+        rows.write.parquet(path)
     atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
