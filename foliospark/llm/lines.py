@@ -9,7 +9,8 @@ whether or not that earlier line goes too.
 Rarity: words are ordered by how often they stand in the corpus, in classes of half a power of two, and within a
 class by hash; counts are kept by slots of the words' hashes, so that the tables are bounded. Any fixed order is
 exact, and this one keeps frequent words out of prefixes. A word whose slot was counted once cannot be shared and is
-not posted. Sets and words go by 64-bit hashes, posted words by 31 bits of them, which the verification makes good.
+not posted. Sets, words and places go by 64-bit hashes, posted words by 31 bits of
+them, which the verification makes good.
 
 Lines without a word stay. Null text stays null. Rows equal in key and text count as one entry and get one result.
 A null key sorts first. Other columns pass through whatever their names. An empty table gives no rows.
@@ -37,20 +38,25 @@ def _split(docs: DataFrame, key: str, text: str) -> DataFrame:
     return rows.select("key", "th", F.posexplode(F.split("text", "\n")).alias("i", "line"))
 
 
-def _words(line: Column) -> Column:
-    """Distinct hashes of a line's words."""
+def _parts(line: Column) -> Column:
+    """What lies between the blanks of a line, lower-case; empty parts too."""
     low = F.lower(line)
     other = F.lit(False)
     for blank in "\t\r\x0b\x0c":
         other = other | line.contains(blank)
-    words = F.when(other, F.split(low, r"[\s]+")).otherwise(F.split(low, " "))  # one plain space needs no pattern
-    return F.array_distinct(F.transform(F.array_remove(words, ""), lambda w: F.xxhash64(w)))
+    return F.when(other, F.split(low, r"[\s]+")).otherwise(F.split(low, " "))  # one plain space needs no pattern
+
+
+def _words(line: Column) -> Column:
+    """Distinct hashes of a line's words."""
+    return F.array_distinct(F.transform(F.array_remove(_parts(line), ""), lambda w: F.xxhash64(w)))
 
 
 def _counts(lines: DataFrame) -> DataFrame:
     """(slot, n): how often the words of each slot stand in lines, where more than once."""
+    words = lines.select(F.explode(_parts(F.col("line"))).alias("word")).where("word != ''").select(F.xxhash64("word").alias("k"))
     slot = F.col("k").bitwiseAND(F.lit((1 << COUNT_BITS) - 1)).cast("int")
-    return saved(lines.select(F.explode(_words(F.col("line"))).alias("k")).groupBy(slot.alias("slot")).agg(F.count("*").alias("n")).where("n > 1"))
+    return saved(words.groupBy(slot.alias("slot")).agg(F.count("*").alias("n")).where("n > 1"))
 
 
 def _classes(counts: DataFrame) -> Column:
@@ -67,7 +73,8 @@ def _sets(lines: DataFrame, classes: Column) -> DataFrame:
     byte = lambda h: F.substring(classes, h.bitwiseAND(F.lit((1 << CLASS_BITS) - 1)).cast("int") + 1, F.lit(1))
     level = lambda h: F.ascii(byte(h).cast("string")).cast("bigint")
     place = F.transform(_words(F.col("line")), lambda h: F.shiftleft(level(h), 56).bitwiseOR(h.bitwiseAND(F.lit(_HASH))))
-    return lines.withColumn("w", F.sort_array(place)).drop("line").withColumn("n", F.size("w")).where("n > 0")
+    some = F.col("line").rlike(r"[^\s]")  # a condition on w would be pushed below it and build every set twice
+    return lines.where(some).withColumn("w", F.sort_array(place)).drop("line").withColumn("n", F.size("w"))
 
 
 def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -104,11 +111,10 @@ def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     wanted = saved(all_lines.select("sid", "key", "th", "i").join(ids, "sid").groupBy("sid").agg(F.min(place).alias("at")))
     wanted = saved(wanted.repartitionByRange("at").sortWithinPartitions("at").withColumn("o", F.monotonically_increasing_id()))
     has = bit_test(wanted.select(F.xxhash64("at.key", "at.th").alias("h")), F.xxhash64(F.col(key), F.xxhash64(F.col(text))))
-    here = bit_test(wanted.select(F.xxhash64("at.key", "at.th", "at.i").alias("h")), F.xxhash64("key", "th", "i"))
-    some = _split(docs.where(F.col(text).isNotNull() & has), key, text).where(here)
-    w = wanted.select("o", F.col("at.key").alias("k2"), F.col("at.th").alias("th2"), F.col("at.i").alias("i2"))
-    found = some.join(w, F.col("key").eqNullSafe(F.col("k2")) & (F.col("th") == F.col("th2")) & (F.col("i") == F.col("i2")))
-    found = stored(found.select("o", "line").dropDuplicates(["o"]))
+    spot = wanted.select(F.xxhash64("at.key", "at.th", "at.i").alias("spot"), "o")
+    some = _split(docs.where(F.col(text).isNotNull() & has), key, text).select(F.xxhash64("key", "th", "i").alias("spot"), "line")
+    some = some.where(bit_test(spot.select(F.col("spot").alias("h")), F.col("spot")))
+    found = stored(some.groupBy("spot").agg(F.min("line").alias("line")).join(spot, "spot").select("o", "line"))
     whole = stored(_sets(found, classes).select("o", "w"))
     number = lambda s: wanted.select(F.col("sid").alias(f"sid_{s}"), F.col("o").alias(f"o_{s}"))
     numbered = pairs.join(number("a"), "sid_a").join(number("b"), "sid_b")
