@@ -27,6 +27,16 @@ PROFILE, OWN = 400, 300
 #: At most about so many documents a language are learned from, chosen by a hash of their text.
 LEARN_DOCUMENTS = 2_000
 UNKNOWN = "und"
+#: Floors come from so many learning documents a language at most, each cut to 4, 8, 16 ... characters. A floor needs
+#: so many pieces of one length class.
+FLOOR_DOCUMENTS, FLOOR_PIECES, LONGEST_PIECE = 1_000, 50, 1 << 12
+#: Floors are this quantile of the pieces' scores and margins. Texts from elsewhere than the learning documents, though of
+#: the same language, score less than those: a text under its floor passes with these shares of the two floors.
+FLOOR_QUANTILE, SCORE_SHARE, MARGIN_SHARE = 0.005, 0.5, 0.25
+#: Texts with this length class or less tell too little for a margin.
+SHORT = 5
+#: The floor where too few pieces tell a better one.
+LEAST_FLOOR = 0.1
 #: Stands for a word's end; no code point is so large.
 _END = 0x1FFFFF
 
@@ -63,15 +73,20 @@ def ranked(text: str, top: int) -> np.ndarray:
     return found[np.argsort(-counts, kind="stable")[:top]]
 
 
-def learn(rows: DataFrame, text: str = "text", lang: str = "lang", documents: int = LEARN_DOCUMENTS, size: int = PROFILE) -> dict[str, np.ndarray]:
-    """language -> its n-grams by rank, from rows whose text and language are not null. The bound on documents
-    makes this a bounded sample of each language; there may be any number of rows."""
+def _sample(rows: DataFrame, text: str, lang: str, documents: int) -> DataFrame:
+    """(text, lang) of about so many documents a language at most."""
     rows = rows.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where("text is not null and lang is not null")
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(1_000).collect()}
     if not counts:
-        return {}
+        return rows
     share = F.create_map(*(F.lit(x) for k, n in counts.items() for x in (k, min(1.0, documents / n))))
-    chosen = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < F.try_element_at(share, F.col("lang")) * (1 << 20))
+    return rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < F.try_element_at(share, F.col("lang")) * (1 << 20))
+
+
+def learn(rows: DataFrame, text: str = "text", lang: str = "lang", documents: int = LEARN_DOCUMENTS, size: int = PROFILE) -> dict[str, np.ndarray]:
+    """language -> its n-grams by rank, from rows whose text and language are not null. The bound on documents
+    makes this a bounded sample of each language; there may be any number of rows."""
+    chosen = _sample(rows, text, lang, documents)
 
     def count(batches):
         for batch in batches:
@@ -115,6 +130,64 @@ class _Profiles:
         return self.names[best], float(1 - distance[best]), float(rest.min() - distance[best]) if len(rest) else 1.0
 
 
+def length_class(text: str) -> int:
+    """Bits of the number of letters."""
+    codes = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
+    return int(_letters()[codes].sum()).bit_length()
+
+
+def floors(rows: DataFrame, profiles: dict[str, np.ndarray], text: str = "text", lang: str = "lang", own: int = OWN, size: int = PROFILE) -> dict[str, list[tuple[float, float]]]:
+    """language -> (score, margin) floors of each length class, longer texts' at the end. Pieces of learning
+    documents stand for texts of every length; a class with few pieces takes the floors of the class below, and the
+    classes before the first with enough ``LEAST_FLOOR`` alone."""
+    if not profiles:
+        return {}
+    chosen = _sample(rows, text, lang, FLOOR_DOCUMENTS)
+    table = _Profiles(profiles, size)
+
+    def score(batches):
+        for batch in batches:
+            out = []
+            for name, t in zip(batch["lang"], batch["text"], strict=True):
+                n = 4
+                while n <= LONGEST_PIECE and n < 2 * len(t):
+                    piece = t[:n]
+                    if (c := length_class(piece)) > 0:
+                        out.append((name, c, *table.nearest(piece, own)[1:]))
+                    n *= 2
+            yield pd.DataFrame(out, columns=["lang", "class", "score", "margin"])
+
+    scores = chosen.mapInPandas(score, "lang string, class int, score double, margin double").groupBy("lang", "class")
+    low = (F.expr(f"percentile({c}, {FLOOR_QUANTILE})").alias(c) for c in ("score", "margin"))
+    found = scores.agg(F.count("*").alias("n"), *low).where(F.col("n") >= FLOOR_PIECES).collect()
+    told = {(r["lang"], r["class"]): (r["score"], r["margin"]) for r in found}
+    out = {}
+    for name in profiles:
+        out[name] = [(LEAST_FLOOR, 0.0)]
+        for c in range(1, LONGEST_PIECE.bit_length() + 1):
+            out[name].append(told.get((name, c), out[name][-1]))
+    return out
+
+
+def resembles(profiles: dict[str, np.ndarray], least: dict[str, list[tuple[float, float]]], text: Column, own: int = OWN, size: int = PROFILE) -> Column:
+    """Whether each text reaches the floors of its nearest language and length."""
+    table = _Profiles(profiles, size) if profiles else None
+
+    def passes(t: str) -> bool:
+        name, score, margin = table.nearest(t, own)
+        if name == UNKNOWN:
+            return False
+        c = length_class(t)
+        low, apart = least[name][min(c, len(least[name]) - 1)]
+        return score >= low or (score >= SCORE_SHARE * low and (c <= SHORT or margin >= MARGIN_SHARE * apart))
+
+    @F.arrow_udf("boolean")
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array([table is not None and t.is_valid and passes(t.as_py()) for t in texts], pa.bool_())
+
+    return run.asNondeterministic()(text)
+
+
 RESULT = "struct<lang_pred:string,score:double,margin:double>"
 
 

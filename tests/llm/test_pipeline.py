@@ -1,3 +1,6 @@
+import base64
+import random
+
 import corpus_pipeline
 from foliospark.llm import _graph, packing
 from foliospark.llm._rows import saved
@@ -32,3 +35,25 @@ def test_components_of_a_long_chain(spark):
     edges = spark.range(200).selectExpr("id + 1 as a", "id as b").union(spark.range(5).selectExpr("1000 + id * 2 as a", "1001 as b"))
     got = {r.node: r.root for r in _graph.components(edges).collect()}
     assert all(got[i] == 0 for i in range(1, 201)) and got[1008] == 1000
+
+
+def test_language_stage_drops_junk_and_keeps_short_clean_texts(spark):
+    r = random.Random(3)
+    word = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(3, 9)))
+    polish = "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa. "
+    italian = "Tutti gli esseri umani nascono liberi ed eguali in dignità e diritti. Essi sono dotati di ragione e di coscienza e devono agire gli uni verso gli altri in spirito di fratellanza. "
+    bad = [" ".join(word() for _ in range(400)), base64.b64encode(r.randbytes(3000)).decode(), r.randbytes(1500).hex(), r.randbytes(1500).hex(" "), polish, polish * 4, italian]
+    good = [
+        "All human beings are born free and equal in dignity and rights.",
+        "The weather is fine today.",
+        "Das Wetter ist heute schön.",
+        "Tous les êtres humains naissent libres et égaux en dignité et en droits.",
+        "El tiempo es bueno hoy.",
+        "We will meet at the station after the concert and walk home together.",
+    ]
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    known = table.count()
+    added = spark.createDataFrame([(10_000_000 + i, t, None) for i, t in enumerate(bad + good)], "doc_id long, text string, lang string")
+    got = corpus_pipeline.identify_language(spark, table.unionByName(added), "").collect()
+    assert sorted(r.text for r in got if r.doc_id >= 10_000_000) == sorted(good)
+    assert len(got) - len(good) >= 0.999 * known
