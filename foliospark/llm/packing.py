@@ -19,9 +19,6 @@ from foliospark.llm._rows import saved
 BUCKETS = 16
 #: Padded tokens in a batch.
 BUDGET = 32_768
-#: The histogram that reaches the driver has at most so many lengths; beyond it, lengths are rounded up to a
-#: multiple, and the boundaries are optimal among those multiples.
-HISTOGRAM = 1 << 16
 #: Documents numbered together in one task.
 SHARD = 2_048
 
@@ -64,12 +61,15 @@ def boundaries(lengths: np.ndarray, counts: np.ndarray, k: int) -> list[int]:
     return sorted(set(out))
 
 
-def histogram(lengths: DataFrame, column: str, bound: int = HISTOGRAM) -> tuple[np.ndarray, np.ndarray]:
-    """(lengths, counts) with at most ``bound`` entries."""
-    top = lengths.agg(F.max(column)).first()[0] or 0
-    step = max(1, -(-(top + 1) // bound))
-    rounded = F.ceil(F.col(column) / F.lit(step)).cast("bigint") * step
-    rows = sorted(map(tuple, lengths.groupBy(rounded.alias("n")).agg(F.count("*").alias("c")).collect()))
+def histogram(lengths: DataFrame, column: str, bound: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(lengths, counts) of all distinct lengths; m of them need m * m / 2 words, so there are about 100,000 in 30 GB.
+    With a bound, lengths are rounded up to a multiple so that there are about so many entries."""
+    n = F.col(column)
+    if bound is not None:
+        top = lengths.agg(F.max(column)).first()[0] or 0
+        step = max(1, -(-(top + 1) // bound))
+        n = F.ceil(n / F.lit(step)).cast("bigint") * step
+    rows = sorted(map(tuple, lengths.groupBy(n.alias("n")).agg(F.count("*").alias("c")).collect()))
     return np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64)
 
 

@@ -1,9 +1,11 @@
+from collections import Counter
 from itertools import combinations
 
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from foliospark.llm import packing
 from tests.llm.data import SF, docs, empty
@@ -54,3 +56,13 @@ def test_wide_histogram_is_rounded_up(spark):
     lengths = spark.range(1000).selectExpr("id * 7 as n")
     values, counts = packing.histogram(lengths, "n", bound=100)
     assert len(values) <= 101 and counts.sum() == 1000 and values[-1] >= 999 * 7
+
+
+def test_one_long_document_leaves_the_bounds_of_others_exact(spark):
+    rows = spark.range(900).selectExpr("id as doc_id", "if(id = 0, 1000000, 1 + id % 30) as n")
+    got = packing.pack(rows, text="doc_id", length=F.col("n"), buckets=4, budget=64).collect()
+    check(got, 900, 64)
+    lengths, counts = zip(*sorted(Counter(r.n_tokens for r in got).items()), strict=True)
+    ups = sorted({r.padded_to for r in got})
+    best = min(padding(lengths, counts, [*c, lengths[-1]]) for c in combinations(lengths, 3))
+    assert padding(lengths, counts, ups) == best and set(ups) <= set(lengths)
