@@ -199,9 +199,6 @@ def components_of(docs: DataFrame, key: str = "doc_id", text: str = "text", k: i
 
     def verify(group: pa.Table) -> pa.Table:
         ids = group.column("cid").to_numpy()
-        _, first = np.unique(ids, return_index=True)
-        group = group.take(pa.array(first))
-        ids = ids[first]
         tokens = group.column("tokens").combine_chunks()
         values, offs = tokens.values.to_numpy(), tokens.offsets.to_numpy()
         sets = [values[offs[i] : offs[i + 1]] for i in range(len(ids))]
@@ -223,7 +220,8 @@ def components_of(docs: DataFrame, key: str = "doc_id", text: str = "text", k: i
 
 
 def _tokens(docs: DataFrame, roles: DataFrame, k: int) -> DataFrame:
-    """(cid, tokens) of the classes in ``roles``, found again from the texts by way of a bounded bit map."""
+    """(cid, tokens) of each class in ``roles``, once, found again from the texts by way of a bounded bit map. Copies go
+    within tasks, and then where a class's rows meet, before anything is joined."""
     bit = F.pmod("cid", F.lit(1 << MAP_BITS))
     packed = roles.select(F.floor(bit / 32768).alias("bucket"), F.pmod(bit, F.lit(32768)).alias("bit")).groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits"))
     bits = np.zeros(1 << (MAP_BITS - 3), np.uint8)
@@ -237,14 +235,15 @@ def _tokens(docs: DataFrame, roles: DataFrame, k: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(cids, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], ["cid", "tokens"])
 
     def run(batches):
-        wanted = shipped.value
+        wanted, seen = shipped.value, set()
         for batch in batches:
             cids, sets, size = [], [], 0
             for _, s in _sets(batch.column(0), k):
                 if len(s):
                     cid = _key(s)
                     at = cid % (1 << MAP_BITS)
-                    if wanted[at >> 3] >> (at & 7) & 1:
+                    if wanted[at >> 3] >> (at & 7) & 1 and cid not in seen:
+                        seen.add(cid)
                         cids.append(cid)
                         sets.append(s)
                         size += len(s)
@@ -254,7 +253,10 @@ def _tokens(docs: DataFrame, roles: DataFrame, k: int) -> DataFrame:
             if cids:
                 yield told(cids, sets)
 
-    return docs.select("text").mapInArrow(run, "cid long, tokens array<long>")
+    told_once = docs.select("text").mapInArrow(run, "cid long, tokens array<long>")
+    # the join with roles needs this exchange and order as well; an aggregate would sort the sets twice
+    earlier = F.lag("cid").over(Window.partitionBy("cid").orderBy("cid"))
+    return told_once.withColumn("earlier", earlier).where("earlier is null").drop("earlier")
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:

@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from foliospark.llm import jaccard
 from tests.llm.data import SF, docs, empty, least_linked
@@ -64,3 +65,13 @@ def test_keep_one(spark):
 def test_empty(spark):
     assert jaccard.components_of(empty(spark)).collect() == []
     assert jaccard.keep_one(empty(spark)).collect() == []
+
+
+def test_copies_of_an_opened_class_are_read_once(spark):
+    base = [f"w{i}" for i in range(60)]
+    texts = [" ".join(base)] * 300 + [" ".join(base[:-1] + ["other"])] * 2 + [" ".join(reversed(base))]
+    table = spark.createDataFrame(list(enumerate(texts)), "key long, text string").repartition(4)
+    named = jaccard._prefixes(table.withColumn("th", F.xxhash64("text")), 4, 85).select("cid").distinct()
+    got = jaccard._tokens(table, named, 4).collect()
+    assert len(got) == len({r.cid for r in got}) == 3
+    check(spark, table.withColumnRenamed("key", "doc_id"), 4, 85)
