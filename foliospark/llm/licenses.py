@@ -1,9 +1,9 @@
 """License scans by diagonal voting, in DataFrame functions only.
 
 Every rolling pair of words of a text is joined by its hash, then its words, with the positions of the same pair in
-license templates. A hit votes for the diagonal text position minus template position. A phrase stands where all of
-its pairs vote for one diagonal; a longer template is found where neighbouring diagonals, merged, hold enough of its
-pairs within a span of about its length, so that words may be changed, added or left out.
+license templates. A hit votes for the diagonal text position minus template position. A phrase or template stands
+where all of its pairs vote for one diagonal; a changed template is found where neighbouring other diagonals, merged,
+hold enough of its distinct pairs within a window of about its length, so that words may be changed, added or left out.
 
 Words are runs of a-z, 0-9 and non-ASCII characters after lower-casing A-Z. Null or empty text: no words, no labels,
 score 0, null places. Rows equal in key and text get one result each; null keys take part. Only the key and the text
@@ -105,21 +105,47 @@ def spans(docs: DataFrame, key: str = "doc_id", text: str = "text", phrases=PHRA
     grams = rows.select("key", "th", "w", F.posexplode("w").alias("pos", "a")).select("key", "th", "pos", "a", F.get("w", F.col("pos") + 1).alias("b"))
     hits = grams.withColumn("h", F.xxhash64("a", "b")).join(F.broadcast(pairs), "h").where("a = ta and b = tb")
     votes = hits.select("key", "th", "template", (F.col("pos") - F.col("tpos")).alias("diagonal"), "pos", "tpos").repartition("key", "th").distinct()
-    lines = votes.groupBy("key", "th", "template", "diagonal").agg(F.count("*").alias("votes"), F.min("pos").alias("lo"), (F.max("pos") + 2).alias("hi"))
+    lines = votes.groupBy("key", "th", "template", "diagonal").agg(F.count("*").alias("votes"), F.collect_list("pos").alias("at"))
     lines = lines.join(F.broadcast(known), "template")
 
-    places = lines.where("phrase and votes = pairs").select("key", "th", "label", "phrase", F.col("diagonal").alias("start"), (F.col("diagonal") + F.col("length")).alias("stop"), F.lit(1.0).alias("coverage"))
+    whole = F.col("votes") == F.col("pairs")
+    places = lines.where(whole).select("key", "th", "label", "phrase", F.col("diagonal").alias("start"), (F.col("diagonal") + F.col("length")).alias("stop"), F.lit(1.0).alias("coverage"))
 
-    order = Window.partitionBy("key", "th", "template").orderBy("diagonal")
+    one = ("key", "th", "template")
+    order = Window.partitionBy(*one).orderBy("diagonal")
     opens = (F.col("diagonal") - F.lag("diagonal").over(order) > GAP).cast("int")
-    merged = (
-        lines.where("not phrase").withColumn("opens", F.coalesce(opens, F.lit(0)))
-        .withColumn("run", F.sum("opens").over(order))
-        .groupBy("key", "th", "template", "run", "label", "phrase", "length", "pairs")
-        .agg(F.sum("votes").alias("votes"), F.min("lo").alias("start"), F.max("hi").alias("stop"))
-        .withColumn("coverage", F.least(F.lit(1.0), F.col("votes") / F.col("pairs")))
+    enough = lambda n: n / F.col("pairs") >= F.when(F.col("pairs") <= SHORT, 1.0).otherwise(COVERAGE)
+    runs = lines.where(~F.col("phrase") & ~whole).withColumn("opens", F.coalesce(opens, F.lit(0))).withColumn("run", F.sum("opens").over(order))
+    runs = runs.withColumn("all", F.sum("votes").over(Window.partitionBy(*one, "run"))).where(enough(F.col("all")))
+
+    # a run is cut into tiles: a tile has the windows that start in its first half template, and all that they reach
+    width, step = F.floor(F.col("length") * STRETCH + GAP), F.greatest(F.lit(1), F.floor(F.col("length") / 2))
+    hits = runs.withColumn("pos", F.explode("at")).withColumn("width", width).withColumn("step", step)
+    first = F.greatest(F.lit(0), F.floor((F.col("pos") - F.col("step") - F.col("width")) / F.col("step")) + 1)
+    hits = hits.withColumn("tile", F.explode(F.sequence(first, F.floor(F.col("pos") / F.col("step")))))
+    tpos = lambda hs: F.array_distinct(F.transform(hs, lambda h: h["tpos"]))
+    tiles = (
+        hits.groupBy(*one, "run", "tile", "label", "phrase", "pairs", "width", "step")
+        .agg(F.collect_list(F.struct("pos", (F.col("pos") - F.col("diagonal")).alias("tpos"))).alias("hits"))
+        .where(enough(F.size(tpos(F.col("hits")))))
     )
-    found = merged.where((F.col("coverage") >= F.when(F.col("pairs") <= SHORT, 1.0).otherwise(COVERAGE)) & (F.col("stop") - F.col("start") <= STRETCH * F.col("length") + GAP))
+
+    def window(start: Column) -> Column:
+        inside = F.filter("hits", lambda h: (h["pos"] >= start) & (h["pos"] + 2 - start <= F.col("width")))
+        stop = F.array_max(F.transform(inside, lambda h: h["pos"])) + 2
+        return F.struct(F.size(tpos(inside)).alias("n"), (start - stop).alias("tight"), (-start).alias("before"))
+
+    starts = F.filter(F.array_distinct(F.transform("hits", lambda h: h["pos"])), lambda p: p < (F.col("tile") + 1) * F.col("step"))
+    best = tiles.withColumn("best", F.array_max(F.transform(starts, window))).where(enough(F.col("best.n")))
+    spots = best.select(*one, "run", "label", "phrase", (-F.col("best.before")).alias("start"), (-F.col("best.before") - F.col("best.tight")).alias("stop"), (F.col("best.n") / F.col("pairs")).alias("coverage"))
+
+    # of windows that overlap their neighbours in a run the better one stays
+    near = Window.partitionBy(*one, "run").orderBy("start", "stop")
+    rank = F.struct(F.col("coverage"), -F.col("start"))
+    past, next_ = F.lag(F.struct("stop", rank.alias("rank"))).over(near), F.lead(F.struct("start", rank.alias("rank"))).over(near)
+    found = spots.distinct().withColumn("past", past).withColumn("next", next_).withColumn("rank", rank)
+    worse = ((F.col("past.stop") > F.col("start")) & (F.col("past.rank") > F.col("rank"))) | ((F.col("next.start") < F.col("stop")) & (F.col("next.rank") > F.col("rank")))
+    found = found.where(~F.coalesce(worse, F.lit(False)))
     return places.unionByName(found.select(*places.columns))
 
 

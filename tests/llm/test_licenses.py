@@ -57,3 +57,21 @@ def test_places_and_changed_templates(spark):
 
 def test_empty(spark):
     assert licenses.scan(empty(spark)).collect() == []
+
+
+def test_repeated_templates_are_found_and_repeated_pairs_are_not(spark):
+    isc = next(t for t, label in licenses.TEMPLATES if label == "isc")
+    changed = " ".join("altered" if i == 12 else w for i, w in enumerate(isc.split()))
+    texts = [
+        (1, " ".join(f"Song{i} All rights reserved." for i in range(9))),
+        (2, "All rights reserved. " * 4),
+        (3, "Licensed under CC BY 4.0. CC BY 4.0. CC BY 4.0. CC BY 4.0."),
+        (4, "all rights, and all rights"),
+        (5, " ".join([changed] * 3)),
+    ]
+    got = {r.doc_id: r for r in check(spark.createDataFrame(texts, "doc_id long, text string"))}
+    assert got[1].labels == got[2].labels == "all-rights-reserved" and got[1].score == 1
+    assert len(got[1].spans) == 9 and len(got[2].spans) == 4
+    assert got[3].labels == "cc-by" and any(x.start == 0 and x.stop == 6 for x in got[3].spans)
+    assert got[4].labels == "" and got[4].score == 0
+    assert got[5].labels == "isc" and 0.7 <= got[5].score < 1 and [x.start for x in got[5].spans] == [0, len(isc.split()), 2 * len(isc.split())]
