@@ -26,13 +26,14 @@ from foliospark.llm._rows import most_frequent, saved, stored
 #: So many words of a task are counted together, and so many of the most frequent words reach all tasks (16 MB).
 COUNTED, FREQUENT = 1 << 22, 1 << 20
 MARK = "▁"
-#: A score counts this much for each unit, which leaves room below it for the number of tokens.
-_SCALE = 1 << 20
+#: A score counts this much for each unit, which leaves room below it for the number of tokens: a text has under 2**31
+#: bytes, and no token is shorter than one.
+_SCALE = 1 << 32
 
 
 def load_scores(path: str) -> dict[str, int]:
     """piece -> score of a piece model: its pieces are listed by falling frequency, and a piece at place i is taken
-    to be as likely as Zipf's law has it, 1 / (i + 2.7). Scores are whole, in 2**20ths less one a token."""
+    to be as likely as Zipf's law has it, 1 / (i + 2.7). Scores are whole, in 2**32ths less one a token."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)

@@ -49,3 +49,8 @@ def test_odd_rows(spark):
 
 def test_empty(spark):
     assert counts.count_tokens(empty(spark), SCORES).collect() == []
+
+
+def test_a_word_of_more_than_a_million_tokens():
+    n = (1 << 20) + 5
+    assert counts.Walk({"a": counts.score(0)}).tokens("a" * n) == n
