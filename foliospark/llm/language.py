@@ -5,7 +5,7 @@ mark). A document's own order is compared with each profile by out-of-place dist
 document's most frequent n-grams of how far the ranks lie apart, an n-gram that a profile lacks counting the
 profile's length.
 
-Learned are up to a thousand languages. Null text or text without a letter: 'und', score 0. Ties go to the language that sorts first. Nothing to learn
+Learned are all languages with a text, from distinct texts; more than a thousand are an error. Null text or text without a letter: 'und', score 0. Ties go to the language that sorts first. Nothing to learn
 from: 'und' for all. Rows are never dropped or merged; other columns pass through whatever their names.
 """
 
@@ -24,8 +24,8 @@ from foliospark.llm._rows import fresh
 
 #: n-grams in a profile, and of a document.
 PROFILE, OWN = 400, 300
-#: At most about so many documents a language are learned from, chosen by a hash of their text.
-LEARN_DOCUMENTS = 2_000
+#: At most about so many distinct texts a language are learned from, chosen by their hash; more languages are an error.
+LEARN_DOCUMENTS, LANGUAGES = 2_000, 1_000
 UNKNOWN = "und"
 #: Floors come from so many learning documents a language at most, each cut to 4, 8, 16 ... characters. A floor needs
 #: so many pieces of one length class.
@@ -74,13 +74,17 @@ def ranked(text: str, top: int) -> np.ndarray:
 
 
 def _sample(rows: DataFrame, text: str, lang: str, documents: int) -> DataFrame:
-    """(text, lang) of about so many documents a language at most."""
+    """(text, lang) of about so many distinct texts a language at most; all of a language with fewer."""
     rows = rows.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where("text is not null and lang is not null")
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(1_000).collect()}
-    if not counts:
+    h = F.xxhash64("text")
+    found = rows.select("lang", h.alias("h")).distinct().groupBy("lang").agg(F.count("*").alias("n")).limit(LANGUAGES + 1).collect()
+    if len(found) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages to learn")
+    if not found:
         return rows
-    share = F.create_map(*(F.lit(x) for k, n in counts.items() for x in (k, min(1.0, documents / n))))
-    return rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < F.try_element_at(share, F.col("lang")) * (1 << 20))
+    share = F.create_map(*(F.lit(x) for r in found for x in (r["lang"], min(1.0, documents / r["n"]))))
+    chosen = rows.where(F.pmod(h, F.lit(1 << 40)) < F.try_element_at(share, F.col("lang")) * (1 << 40))
+    return chosen.dropDuplicates(["lang", "text"])
 
 
 def learn(rows: DataFrame, text: str = "text", lang: str = "lang", documents: int = LEARN_DOCUMENTS, size: int = PROFILE) -> dict[str, np.ndarray]:

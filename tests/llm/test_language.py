@@ -1,6 +1,7 @@
 import unicodedata
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from foliospark.llm import language, queries
@@ -63,3 +64,14 @@ def test_odd_rows(spark):
 def test_nothing_to_learn_and_nothing_to_read(spark):
     assert {r.lang_pred for r in language.identify(docs(spark), language.learn(empty(spark))).collect()} == {"und"}
     assert language.identify(empty(spark), {}).collect() == []
+
+
+def test_every_language_with_a_text_is_learned_and_copies_count_once(spark, monkeypatch):
+    few = [(f"text of {chr(97 + i)}", f"l{i}") for i in range(12) for _ in range(40)]
+    copies = [("the same text", "hot")] * 400 + [(f"other {chr(97 + i)}", "hot") for i in range(8)]
+    table = spark.createDataFrame(few + copies, "text string, lang string").repartition(3)
+    assert set(language.learn(table, documents=20)) == {f"l{i}" for i in range(12)} | {"hot"}
+    assert language._sample(table.where("lang = 'hot'"), "text", "lang", 20).count() == 9
+    monkeypatch.setattr(language, "LANGUAGES", 12)
+    with pytest.raises(ValueError):
+        language.learn(table)
