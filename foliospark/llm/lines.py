@@ -6,11 +6,15 @@ more share a word there. Length, positional and bit-sketch filters are part of t
 verified on the whole sets. A line goes when an earlier line, by key, then line number, then text, matches it,
 whether or not that earlier line goes too.
 
+One earlier match is enough, so the sets under a word that many share are never paired with each other: in rounds,
+those still without a match are held against the first set of each such word, then its first ``ROUNDS``, and only
+those that match none of them against the rest. A set that has found a match stops asking and stays as a witness. Words
+with ``SHARED`` sets or fewer are joined plainly, which makes at most that many pairs for each of their postings.
+
 Rarity: words are ordered by how often they stand in the corpus, in classes of half a power of two, and within a
 class by hash; counts are kept by slots of the words' hashes, so that the tables are bounded. Any fixed order is
-exact, and this one keeps frequent words out of prefixes. A word whose slot was counted once cannot be shared and is
-not posted. Sets, words and places go by 64-bit hashes, posted words by 31 bits of
-them, which the verification makes good.
+exact, and this one keeps frequent words out of prefixes. Sets, words and places go by 64-bit hashes, posted words by
+31 bits of them, which the verification makes good.
 
 Lines without a word stay. Null text stays null. Rows equal in key and text count as one entry and get one result.
 A null key sorts first. Other columns pass through whatever their names. An empty table gives no rows.
@@ -18,8 +22,10 @@ A null key sorts first. Other columns pass through whatever their names. An empt
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliospark.llm._native import bit_test
@@ -29,7 +35,11 @@ from foliospark.llm._rows import fresh, saved, stored
 COUNT_BITS, CLASS_BITS = 23, 20
 #: Sets of fewer words match only their equals.
 LEAST = 4
+#: A posted word with more sets than this is joined in rounds: against so many of its first sets, then against all.
+SHARED, ROUNDS = 32, (1, 16, 256)
 _HASH = (1 << 56) - 1
+#: Single bytes whose crc32 have rising first seven bits: a class's byte is turned into its number by one function.
+_LEVELS = bytes({zlib.crc32(bytes([b])) >> 25: b for b in range(256)}[k] for k in sorted({zlib.crc32(bytes([b])) >> 25 for b in range(256)}))
 
 
 def _split(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -56,70 +66,48 @@ def _counts(lines: DataFrame) -> DataFrame:
     """(slot, n): how often the words of each slot stand in lines, where more than once."""
     words = lines.select(F.explode(_parts(F.col("line"))).alias("word")).where("word != ''").select(F.xxhash64("word").alias("k"))
     slot = F.col("k").bitwiseAND(F.lit((1 << COUNT_BITS) - 1)).cast("int")
-    return saved(words.groupBy(slot.alias("slot")).agg(F.count("*").alias("n")).where("n > 1"))
+    return words.groupBy(slot.alias("slot")).agg(F.count("*").alias("n")).where("n > 1")
 
 
 def _classes(counts: DataFrame) -> Column:
-    """The rarity class of the words of each slot, by the most frequent of the counts that fall in it."""
+    """The rarity class of the words of each slot, as a byte, by the most frequent of the counts that fall in it."""
     level = F.round(F.log2(F.max("n")) * 2).cast("int")
-    rows = counts.groupBy(F.col("slot").bitwiseAND(F.lit((1 << CLASS_BITS) - 1)).alias("slot")).agg(F.least(level, F.lit(120)).alias("level")).toArrow()
-    table = np.zeros(1 << CLASS_BITS, np.uint8)
-    table[rows.column("slot").to_numpy()] = rows.column("level").to_numpy()
+    rows = counts.groupBy(F.col("slot").bitwiseAND(F.lit((1 << CLASS_BITS) - 1)).alias("slot")).agg(F.least(level, F.lit(len(_LEVELS) - 1)).alias("level")).toArrow()
+    table = np.full(1 << CLASS_BITS, _LEVELS[0], np.uint8)
+    table[rows.column("slot").to_numpy()] = np.frombuffer(_LEVELS, np.uint8)[rows.column("level").to_numpy()]
     return F.lit(bytearray(table.tobytes()))
 
 
 def _sets(lines: DataFrame, classes: Column) -> DataFrame:
     """The lines that have words, with w, their words' places in the global order, ascending, and n, how many."""
     byte = lambda h: F.substring(classes, h.bitwiseAND(F.lit((1 << CLASS_BITS) - 1)).cast("int") + 1, F.lit(1))
-    level = lambda h: F.ascii(byte(h).cast("string")).cast("bigint")
-    place = F.transform(_words(F.col("line")), lambda h: F.shiftleft(level(h), 56).bitwiseOR(h.bitwiseAND(F.lit(_HASH))))
-    some = F.col("line").rlike(r"[^\s]")  # a condition on w would be pushed below it and build every set twice
-    return lines.where(some).withColumn("w", F.sort_array(place)).drop("line").withColumn("n", F.size("w"))
+    place = F.transform(_words(F.col("line")), lambda h: (F.crc32(byte(h)) * F.lit(1 << 31)).bitwiseXOR(h.bitwiseAND(F.lit(_HASH))))
+    return _with_words(lines).withColumn("w", F.sort_array(place)).drop("line").withColumn("n", F.size("w"))
+
+
+def _with_words(lines: DataFrame) -> DataFrame:
+    return lines.where(F.col("line").rlike(r"[^\s]"))  # a condition on the set would be pushed below it and build it twice
 
 
 def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, th, i): the lines to remove; th is xxhash64 of the text and i counts from 0."""
     lines = _split(docs, key, text)
-    counts = _counts(lines)
-    classes = _classes(counts)
+    classes = _classes(_counts(lines))
 
     one = F.lit(1).cast("bigint")
     sketch = F.aggregate("w", F.lit(0).cast("bigint"), lambda a, w: a.bitwiseXOR(F.call_function("shiftleft", one, F.pmod(w, F.lit(61)).cast("int"))))
     prefix = F.transform(F.slice("w", 1, F.col("n") - F.ceil(F.col("n") * 4 / 5).cast("int") + 1), lambda w: _low(w))
-    all_lines = stored(
+    all_lines = saved(
         _sets(lines, classes).select(
             "key", "th", "i", F.xxhash64("w").alias("sid"), F.when(F.col("n") >= LEAST, F.struct("n", sketch.alias("sketch"), prefix.alias("prefix"))).alias("x")
         )
     )
 
-    # distinct sets, posted under the words of their prefixes
-    shared = bit_test(counts.select(F.col("slot").cast("bigint").alias("h")), F.col("token").cast("bigint"), COUNT_BITS)
-    posted = all_lines.where("x is not null").groupBy("sid").agg(F.first("x").alias("x")).select("sid", "x.n", "x.sketch", F.posexplode("x.prefix").alias("pos", "token")).where(shared)
-    na, nb, pa, pb = (F.col(c) for c in ("a.n", "b.n", "a.pos", "b.pos"))
-    least = F.ceil((na + nb) * 4 / 9)
-    near = (
-        (F.col("a.token") == F.col("b.token")) & (F.col("a.sid") < F.col("b.sid"))
-        & (na * 5 >= nb * 4) & (nb * 5 >= na * 4)
-        & (F.least(na - pa, nb - pb) >= least)
-        & (F.bit_count(F.col("a.sketch").bitwiseXOR(F.col("b.sketch"))) <= na + nb - least * 2)
-    )
-    pairs = stored(posted.alias("a").join(posted.alias("b"), near).select(F.col("a.sid").alias("sid_a"), F.col("b.sid").alias("sid_b")).distinct())
-
-    # the whole sets of the lines in pairs, each read from its earliest place; o numbers them in the order of places
+    # distinct sets, each at its earliest place; o numbers them in the order of places
     place = F.struct("key", "i", "th")
-    ids = pairs.select(F.col("sid_a").alias("sid")).union(pairs.select(F.col("sid_b").alias("sid"))).distinct()
-    wanted = saved(all_lines.select("sid", "key", "th", "i").join(ids, "sid").groupBy("sid").agg(F.min(place).alias("at")))
-    wanted = saved(wanted.repartitionByRange("at").sortWithinPartitions("at").withColumn("o", F.monotonically_increasing_id()))
-    has = bit_test(wanted.select(F.xxhash64("at.key", "at.th").alias("h")), F.xxhash64(F.col(key), F.xxhash64(F.col(text))))
-    spot = wanted.select(F.xxhash64("at.key", "at.th", "at.i").alias("spot"), "o")
-    some = _split(docs.where(F.col(text).isNotNull() & has), key, text).select(F.xxhash64("key", "th", "i").alias("spot"), "line")
-    some = some.where(bit_test(spot.select(F.col("spot").alias("h")), F.col("spot")))
-    found = stored(some.groupBy("spot").agg(F.min("line").alias("line")).join(spot, "spot").select("o", "line"))
-    whole = stored(_sets(found, classes).select("o", "w"))
-    number = lambda s: wanted.select(F.col("sid").alias(f"sid_{s}"), F.col("o").alias(f"o_{s}"))
-    numbered = pairs.join(number("a"), "sid_a").join(number("b"), "sid_b")
-    late = _late(numbered.select(F.greatest("o_a", "o_b").alias("late"), F.least("o_a", "o_b").alias("early")), whole)
-    late = late.join(wanted.select("sid", F.col("o").alias("late")), "late").select("sid", F.lit(True).alias("late"))
+    sets = all_lines.where("x is not null").groupBy("sid").agg(F.min(place).alias("at"), F.first("x").alias("x"))
+    sets = saved(sets.select("sid", "at", "x.*").repartitionByRange("at").sortWithinPartitions("at").withColumn("o", F.monotonically_increasing_id()))
+    late = _late(sets, docs, key, text).join(sets.select("sid", "o"), "o").select("sid", F.lit(True).alias("late"))
 
     # a late set goes with all its places, any other set with all but its first
     narrow = all_lines.select("sid", "key", "th", "i")
@@ -128,19 +116,70 @@ def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     return gone.select("key", "th", "i")
 
 
-def _late(pairs: DataFrame, whole: DataFrame) -> DataFrame:
-    """(late) of the numbered sets that match an earlier one. One match is enough, so a set is held against its earliest
-    candidate, and against all of them only if that one does not match."""
-    pairs = stored(pairs)
+def _late(sets: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(o) of the sets that match an earlier one."""
+    posted = sets.select("o", "n", "sketch", F.posexplode("prefix").alias("pos", "token"))
+    counted = posted.groupBy("token").agg(F.count("*").alias("sets")).where(F.col("sets") > SHARED)
+    hot = saved(counted.select("token"))
+    late = _late_under_hot(saved(posted.join(hot, "token")), sets, docs, key, text)
+
+    cold = posted.join(hot, "token", "left_anti").join(late.withColumn("found", F.lit(True)), "o", "left").select(*posted.columns, F.col("found").isNull().alias("asks"))
+    pairs = stored(_near(cold.alias("l"), cold.alias("e"), F.col("l.asks")))
+    ids = pairs.select(F.col("late").alias("o")).union(pairs.select("early")).distinct()
+    return late.unionByName(_matched(pairs, _whole(sets.join(ids, "o"), docs, key, text)))
+
+
+def _late_under_hot(posted: DataFrame, sets: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(o) of the sets that match an earlier one under the same widely shared word."""
+    if posted.isEmpty():
+        return posted.select("o")
+    whole = _whole(sets.join(posted.select("o").distinct(), "o"), docs, key, text)
+    late, seen = posted.select("o").where(F.lit(False)), 0
+    rank = F.row_number().over(Window.partitionBy("token").orderBy("o"))
+    for upto in (*ROUNDS, None):
+        asks = posted.join(late, "o", "left_anti")
+        witnesses = posted if upto is None else posted.withColumn("rank", rank).where(F.col("rank") <= upto).where(F.col("rank") > seen)
+        late = saved(late.unionByName(_matched(stored(_near(asks.alias("l"), witnesses.alias("e"), F.lit(True))), whole)))
+        seen = upto
+    return late
+
+
+def _near(late: DataFrame, early: DataFrame, asks: Column) -> DataFrame:
+    """(late, early) of postings ``l`` and ``e`` that may match by length, position and sketch."""
+    n, m, p, q = (F.col(c) for c in ("l.n", "e.n", "l.pos", "e.pos"))
+    least = F.ceil((n + m) * 4 / 9)
+    near = (
+        (F.col("l.token") == F.col("e.token")) & (F.col("l.o") > F.col("e.o")) & asks
+        & (n * 5 >= m * 4) & (m * 5 >= n * 4)
+        & (F.least(n - p, m - q) >= least)
+        & (F.bit_count(F.col("l.sketch").bitwiseXOR(F.col("e.sketch"))) <= n + m - least * 2)
+    )
+    return late.join(early, near).select(F.col("l.o").alias("late"), F.col("e.o").alias("early")).distinct()
+
+
+def _whole(wanted: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(o, w): the words' hashes of the wanted sets (o, at), read from their places in the texts."""
+    wanted = saved(wanted.select("o", "at"))
+    has = bit_test(wanted.select(F.xxhash64("at.key", "at.th").alias("h")), F.xxhash64(F.col(key), F.xxhash64(F.col(text))))
+    spot = wanted.select(F.xxhash64("at.key", "at.th", "at.i").alias("spot"), "o")
+    some = _split(docs.where(F.col(text).isNotNull() & has), key, text).select(F.xxhash64("key", "th", "i").alias("spot"), "line")
+    some = some.where(bit_test(spot.select(F.col("spot").alias("h")), F.col("spot")))
+    found = some.groupBy("spot").agg(F.min("line").alias("line")).join(spot, "spot")
+    return saved(_with_words(found).select("o", _words(F.col("line")).alias("w")))
+
+
+def _matched(pairs: DataFrame, whole: DataFrame) -> DataFrame:
+    """(o) of the later sets of pairs that match. A set is held against its earliest candidate, and against all of them
+    only if that one does not match."""
 
     def matched(turn: DataFrame) -> DataFrame:
         side = whole.select(F.col("o"), F.col("w"))
         held = turn.join(side.alias("e"), F.col("early") == F.col("e.o")).select("late", F.col("e.w").alias("w_early")).join(side.alias("l"), F.col("late") == F.col("l.o"))
         shared = F.size(F.array_intersect("w_early", "l.w"))
-        return held.where(shared * 9 >= (F.size("w_early") + F.size("l.w")) * 4).select("late").distinct()
+        return held.where(shared * 9 >= (F.size("w_early") + F.size("l.w")) * 4).select(F.col("late").alias("o")).distinct()
 
     first = saved(matched(pairs.groupBy("late").agg(F.min("early").alias("early"))))
-    return first.union(saved(matched(pairs.join(first, "late", "left_anti"))))
+    return first.union(saved(matched(pairs.join(first.select(F.col("o").alias("late")), "late", "left_anti"))))
 
 
 def _low(word: Column) -> Column:

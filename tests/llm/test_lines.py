@@ -42,3 +42,25 @@ def test_variants_around_the_threshold(spark):
 
 def test_empty(spark):
     assert lines.dedup(empty(spark)).collect() == []
+
+
+def test_a_large_group_of_near_lines_makes_few_pairs(spark, monkeypatch):
+    r = random.Random(4)
+    base = [f"t{i}" for i in range(40)]
+    far = [f"s{i}" for i in range(30)]
+    texts = []
+    for i in range(400):
+        near = [w if r.random() > 0.03 else f"u{r.randrange(10**6)}" for w in base]
+        half = [w if r.random() > 0.12 else f"v{r.randrange(10**6)}" for w in far]  # hardly any two of these match
+        texts.append((i, " ".join(near) + "\n" + " ".join(half)))
+    made, near_ = [], lines._near
+
+    def counted(*args):
+        out = near_(*args)
+        made.append(out.count())
+        return out
+
+    monkeypatch.setattr(lines, "_near", counted)
+    check(spark.createDataFrame(texts, "doc_id long, text string").repartition(4))
+    assert made and made[0] <= 8 * 800  # the first round; 400 near lines have 79,800 pairs
+    assert sum(made) < 0.5 * 79_800
