@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import uuid
+import weakref
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -77,13 +78,30 @@ def saved(df: DataFrame) -> DataFrame:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """As ``saved``, for many rows: a compressed table in the shared folder, removed when the Python process ends."""
+    """As ``saved``, for many flat rows: a compressed table in the shared folder, removed by ``discard`` or when the Python
+    process ends."""
     spark = df.sparkSession
     path = f"{_shared_folder(spark)}/table-{uuid.uuid4()}"
     with _tidied(df) as rows:
         rows.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _tables[id(out)] = path
+    weakref.finalize(out, _tables.pop, id(out), None)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    return out
+
+
+_tables: dict[int, str] = {}
+
+
+def discard(table: DataFrame) -> None:
+    """Remove a table that ``stored`` gave, once all that is read from it has been saved."""
+    _remove(table.sparkSession, _tables[id(table)])
+
+
+def small(df: DataFrame, most: int = 1 << 18) -> DataFrame:
+    """The saved rows, marked to be broadcast if they are no more than so many; for rows of a few numbers."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
 def _remove(spark: SparkSession, path: str) -> None:

@@ -29,14 +29,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliospark.llm._native import bit_test
-from foliospark.llm._rows import fresh, saved, stored
+from foliospark.llm._rows import discard, fresh, saved, small, stored
 
 #: Bits of a word's hash that choose its slot: of the counts, and of the table of classes (1 MB).
-COUNT_BITS, CLASS_BITS = 23, 20
+COUNT_BITS, CLASS_BITS = 21, 20
 #: Sets of fewer words match only their equals.
 LEAST = 4
 #: A posted word with more sets than this is joined in rounds: against so many of its first sets, then against all.
-SHARED, ROUNDS = 32, (1, 16, 256)
+SHARED, ROUNDS = 256, (1, 32)
 _HASH = (1 << 56) - 1
 #: Single bytes whose crc32 have rising first seven bits: a class's byte is turned into its number by one function.
 _LEVELS = bytes({zlib.crc32(bytes([b])) >> 25: b for b in range(256)}[k] for k in sorted({zlib.crc32(bytes([b])) >> 25 for b in range(256)}))
@@ -118,29 +118,36 @@ def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
 
 def _late(sets: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
     """(o) of the sets that match an earlier one."""
-    posted = sets.select("o", "n", "sketch", F.posexplode("prefix").alias("pos", "token"))
-    counted = posted.groupBy("token").agg(F.count("*").alias("sets")).where(F.col("sets") > SHARED)
-    hot = saved(counted.select("token"))
-    late = _late_under_hot(saved(posted.join(hot, "token")), sets, docs, key, text)
-
-    cold = posted.join(hot, "token", "left_anti").join(late.withColumn("found", F.lit(True)), "o", "left").select(*posted.columns, F.col("found").isNull().alias("asks"))
+    hot = saved(_posted(sets).groupBy("token").agg(F.count("*").alias("sets")).where(F.col("sets") > SHARED).select("token"))
+    hot = small(hot)
+    late = _late_under(hot, sets, docs, key, text)
+    cold = _posted(sets.join(small(late.withColumn("found", F.lit(True))), "o", "left").withColumn("asks", F.col("found").isNull()), "asks").join(hot, "token", "left_anti")
     pairs = stored(_near(cold.alias("l"), cold.alias("e"), F.col("l.asks")))
-    ids = pairs.select(F.col("late").alias("o")).union(pairs.select("early")).distinct()
-    return late.unionByName(_matched(pairs, _whole(sets.join(ids, "o"), docs, key, text)))
+    late = late.unionByName(_matched(pairs, sets, docs, key, text))
+    discard(pairs)
+    return late
 
 
-def _late_under_hot(posted: DataFrame, sets: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(o) of the sets that match an earlier one under the same widely shared word."""
-    if posted.isEmpty():
-        return posted.select("o")
-    whole = _whole(sets.join(posted.select("o").distinct(), "o"), docs, key, text)
-    late, seen = posted.select("o").where(F.lit(False)), 0
+def _posted(sets: DataFrame, *more: str) -> DataFrame:
+    return sets.select("o", "n", "sketch", *more, F.posexplode("prefix").alias("pos", "token"))
+
+
+def _late_under(hot: DataFrame, sets: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(o) of the sets that match an earlier one under the same of the ``hot`` words."""
+    late, seen = saved(sets.select("o").where(F.lit(False))), 0
+    if hot.isEmpty():
+        return late
+    posted = stored(_posted(sets).join(hot, "token"))
     rank = F.row_number().over(Window.partitionBy("token").orderBy("o"))
     for upto in (*ROUNDS, None):
-        asks = posted.join(late, "o", "left_anti")
+        asks = posted.join(small(late), "o", "left_anti")
         witnesses = posted if upto is None else posted.withColumn("rank", rank).where(F.col("rank") <= upto).where(F.col("rank") > seen)
-        late = saved(late.unionByName(_matched(stored(_near(asks.alias("l"), witnesses.alias("e"), F.lit(True))), whole)))
+        pairs = stored(_near(asks.alias("l"), witnesses.alias("e"), F.lit(True)))
+        if not pairs.isEmpty():
+            late = saved(late.unionByName(_matched(pairs, sets, docs, key, text)))
+        discard(pairs)
         seen = upto
+    discard(posted)
     return late
 
 
@@ -168,9 +175,11 @@ def _whole(wanted: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame
     return saved(_with_words(found).select("o", _words(F.col("line")).alias("w")))
 
 
-def _matched(pairs: DataFrame, whole: DataFrame) -> DataFrame:
+def _matched(pairs: DataFrame, sets: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
     """(o) of the later sets of pairs that match. A set is held against its earliest candidate, and against all of them
     only if that one does not match."""
+    ids = pairs.select(F.col("late").alias("o")).union(pairs.select("early")).distinct()
+    whole = _whole(sets.join(ids, "o"), docs, key, text)
 
     def matched(turn: DataFrame) -> DataFrame:
         side = whole.select(F.col("o"), F.col("w"))
