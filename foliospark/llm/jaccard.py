@@ -7,6 +7,11 @@ union bounds its overlap with every member, so only blocks that reach the bound
 counted by matrix products. Each opened block returns a spanning forest of its links, and the links' connected
 components are the result.
 
+Order of work. Each block is opened for its own members first, and its links are contracted. One member of each
+component with links then stands for it in a smaller matrix of its own, which joins the blocks of a large group of
+near copies. Only classes that are still in different components are then held against each other's blocks, the one
+in the smaller component asking. So a group of copies is never paired with all blocks of its own.
+
 The bound. Tokens have one global order, common ones last. If two sets of n and m tokens have a Jaccard similarity
 of at least t, they share at least o = ceil(t * max(n, m)) tokens, and then the first n - ceil(t n) + l and
 m - ceil(t m) + l tokens in that order share at least l. So a query sees a block's member unless the counted overlap
@@ -167,33 +172,76 @@ def components_of(docs: DataFrame, key: str = "doc_id", text: str = "text", k: i
     classes = rows.where("n > 0").groupBy("cid").agg(F.min("key").alias("least"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
 
     # tokens of prefixes that at least two classes have
-    one = Window.partitionBy("token")
     postings = classes.select("cid", "n", F.explode("prefix").alias("token"))
-    shared = postings.withColumn("df", F.count("*").over(one)).where("df > 1").select("token", "cid", "n")
-    grouped = saved(shared.withColumn("gkey", F.min("token").over(Window.partitionBy("cid"))))
-    member = grouped.groupBy("cid").agg(F.first("gkey").alias("gkey"), F.first("n").alias("n"))
+    often = postings.groupBy("token").agg(F.count("*").alias("df")).where("df > 1").select("token")
+    grouped = saved(postings.join(often, "token"))
+
+    # first the pairs inside each block, then the blocks' components by one member each, then what is left between them
+    placed = _placed(grouped)
+    many = placed.groupBy("block").agg(F.count("*").alias("members")).where("members > 1").select("block")
+    found = components(_links(placed.join(many, "block").select(F.col("cid").alias("query"), "block", F.col("n").alias("size")), placed, docs, k, percent))
+    roots = found.where("node = root").select(F.col("node").alias("cid"))
+    heads = saved(grouped.join(roots, "cid"))
+    placed_heads = _placed(heads)
+    found = components(_joined(found, _links(_opened(heads, _ranked(placed_heads, None), percent), placed_heads, docs, k, percent)))
+    asks = _opened(grouped, _ranked(placed, found), percent).join(placed.select(F.col("cid").alias("query"), F.col("block").alias("home")), "query").where("block != home").drop("home")
+    found = components(_joined(found, _links(asks, placed, docs, k, percent)))
+
+    least = found.join(classes.select(F.col("cid").alias("node"), "least"), "node").groupBy("root").agg(F.min("least").alias("joined"))
+    named = found.join(least, "root").select("node", "joined")
+    alone = classes.select("cid", "least").join(named, F.col("cid") == F.col("node"), "left").select(F.col("cid").alias("of"), F.coalesce("joined", "least").alias("component"))
+    return rows.join(alone, (F.col("cid") == F.col("of")) & (F.col("n") > 0), "left").select(
+        F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "key").alias("component_id"), F.col("th").alias("text_hash")
+    )
+
+
+def _placed(grouped: DataFrame) -> DataFrame:
+    """(cid, n, block) of each class of (token, cid, n): its group is its least token, cut into blocks."""
+    member = grouped.groupBy("cid").agg(F.min("token").alias("gkey"), F.first("n").alias("n"))
     blocks = member.groupBy("gkey").agg(F.ceil(F.greatest(F.count("*") / BLOCK_DOCUMENTS, F.sum("n") / BLOCK_TOKENS)).alias("blocks"))
     block = F.pmod(F.xxhash64("cid", F.lit(1)), F.col("blocks"))
-    placed = saved(member.join(blocks, "gkey").select("cid", "n", F.xxhash64("gkey", block).alias("block")))
-
-    # the token-group matrix, and each query's overlap with the blocks whose sizes it can match
-    cells = grouped.join(placed.select("cid", "block"), "cid")
-    matrix = cells.groupBy("token", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    hits = grouped.select("token", F.col("cid").alias("query"), F.col("n").alias("size")).join(matrix, "token")
-    hits = hits.where((F.col("low") * percent <= F.col("size") * 100) & (F.col("size") * percent <= F.col("high") * 100))
+    return saved(member.join(blocks, "gkey").select("cid", "n", F.xxhash64("gkey", block).alias("block")))
+
+
+def _ranked(placed: DataFrame, found: DataFrame | None) -> DataFrame:
+    """(cid, block, rank): a larger component has a higher rank, and classes of one component have the same."""
+    low = lambda root: F.xxhash64(root, F.lit(3)).bitwiseAND(F.lit((1 << 56) - 1))
+    if found is None:
+        return placed.select("cid", "block", low("cid").alias("rank"))
+    sizes = found.groupBy("root").agg(F.count("*").alias("size"))
+    rank = F.shiftleft(F.floor(F.log2("size")).cast("bigint"), 56).bitwiseOR(low("root"))
+    named = found.join(sizes, "root").select(F.col("node").alias("cid"), rank.alias("rank"))
+    return placed.select("cid", "block").join(named, "cid", "left").withColumn("rank", F.coalesce("rank", low("cid")))
+
+
+def _opened(grouped: DataFrame, ranked: DataFrame, percent: int) -> DataFrame:
+    """(query, block, size): the blocks each class must open. The token-group matrix holds, for every token, the blocks
+    that have it and the sizes and ranks of their sets there. Of two components the one of lower rank asks, so a large
+    component is never held against itself, nor asks every small one."""
+    cells = grouped.join(ranked, "cid")
+    mixed = cells.groupBy("token").agg(F.max("rank").alias("top"), F.min("rank").alias("low")).where("top != low").select("token", "top")
+    cells = saved(cells.join(mixed, "token"))
+    matrix = cells.groupBy("token", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("rank").alias("best"))
+    hits = cells.where("rank < top").select("token", F.col("cid").alias("query"), F.col("n").alias("size"), "rank").join(matrix, "token")
+    hits = hits.where((F.col("best") > F.col("rank")) & (F.col("low") * percent <= F.col("size") * 100) & (F.col("size") * percent <= F.col("high") * 100))
     need = F.floor(F.col("size") * percent / 5000) + 1
-    bounded = hits.groupBy("query", "block").agg(F.count("*").alias("overlap"), F.first("size").alias("size")).where(F.col("overlap") >= need)
-    home = placed.select(F.col("cid").alias("query"), F.col("block").alias("home"))
-    sizes = placed.groupBy("block").agg(F.count("*").alias("members"))
-    open_ = saved(
-        bounded.join(home, "query").join(sizes, "block").where("home != block or members > 1").select("query", "block", "size", (F.col("home") == F.col("block")).alias("own"))
-    )
+    return hits.groupBy("query", "block").agg(F.count("*").alias("overlap"), F.first("size").alias("size")).where(F.col("overlap") >= need).select("query", "block", "size")
+
+
+def _joined(found: DataFrame, links: DataFrame) -> DataFrame:
+    return found.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(links)
+
 
+def _links(asks: DataFrame, placed: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """(a, b): a spanning forest of the exact links between each query and the members of the block it opens."""
+    asks = saved(asks)
+    if asks.isEmpty():
+        return asks.select(F.col("query").alias("a"), F.col("block").alias("b"))
     # queries of a block come in parts; its members go to every part
-    parts = open_.groupBy("block").agg(F.ceil(F.greatest(F.count("*") / PART_DOCUMENTS, F.sum("size") / PART_TOKENS)).cast("int").alias("parts"))
-    asks = open_.join(parts, "block").select(F.col("query").alias("cid"), "block", F.pmod(F.xxhash64("query", F.lit(2)), "parts").cast("int").alias("part"), F.lit(True).alias("asks"), F.lit(False).alias("is_member"))
+    parts = asks.groupBy("block").agg(F.ceil(F.greatest(F.count("*") / PART_DOCUMENTS, F.sum("size") / PART_TOKENS)).cast("int").alias("parts"))
+    queries = asks.join(parts, "block").select(F.col("query").alias("cid"), "block", F.pmod(F.xxhash64("query", F.lit(2)), "parts").cast("int").alias("part"), F.lit(True).alias("asks"), F.lit(False).alias("is_member"))
     holds = placed.join(parts, "block").select("cid", "block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(False).alias("asks"), F.lit(True).alias("is_member"))
-    roles = saved(asks.unionByName(holds).groupBy("cid", "block", "part").agg(F.max("asks").alias("asks"), F.max("is_member").alias("is_member")))
+    roles = saved(queries.unionByName(holds).groupBy("cid", "block", "part").agg(F.max("asks").alias("asks"), F.max("is_member").alias("is_member")))
 
     opened = _tokens(docs, roles, k).join(roles, "cid")
 
@@ -210,13 +258,7 @@ def components_of(docs: DataFrame, key: str = "doc_id", text: str = "text", k: i
             a, b = _forest(links_in([sets[i] for i in m], [sets[i] for i in q], percent), ids[m], ids[q])
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    edges = opened.groupBy("block", "part").applyInArrow(verify, "a long, b long")
-    found = components(edges)
-    named = found.join(classes.select(F.col("cid").alias("node"), "least"), "node").withColumn("least", F.min("least").over(Window.partitionBy("root"))).select("node", F.col("least").alias("joined"))
-    alone = classes.select("cid", "least").join(named, F.col("cid") == F.col("node"), "left").select(F.col("cid").alias("of"), F.coalesce("joined", "least").alias("component"))
-    return rows.join(alone, (F.col("cid") == F.col("of")) & (F.col("n") > 0), "left").select(
-        F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "key").alias("component_id"), F.col("th").alias("text_hash")
-    )
+    return saved(opened.groupBy("block", "part").applyInArrow(verify, "a long, b long"))
 
 
 def _tokens(docs: DataFrame, roles: DataFrame, k: int) -> DataFrame:
