@@ -37,6 +37,8 @@ COUNT_BITS, CLASS_BITS = 21, 20
 LEAST = 4
 #: A posted word with more sets than this is joined in rounds: against so many of its first sets, then against all.
 SHARED, ROUNDS = 256, (1, 32)
+#: So many wanted places are told to all tasks; more are found by a bit map of their texts and a join.
+FEW = 1 << 17
 _HASH = (1 << 56) - 1
 #: Single bytes whose crc32 have rising first seven bits: a class's byte is turned into its number by one function.
 _LEVELS = bytes({zlib.crc32(bytes([b])) >> 25: b for b in range(256)}[k] for k in sorted({zlib.crc32(bytes([b])) >> 25 for b in range(256)}))
@@ -166,12 +168,18 @@ def _near(late: DataFrame, early: DataFrame, asks: Column) -> DataFrame:
 
 def _whole(wanted: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
     """(o, w): the words' hashes of the wanted sets (o, at), read from their places in the texts."""
-    wanted = saved(wanted.select("o", "at"))
-    has = bit_test(wanted.select(F.xxhash64("at.key", "at.th").alias("h")), F.xxhash64(F.col(key), F.xxhash64(F.col(text))))
-    spot = wanted.select(F.xxhash64("at.key", "at.th", "at.i").alias("spot"), "o")
-    some = _split(docs.where(F.col(text).isNotNull() & has), key, text).select(F.xxhash64("key", "th", "i").alias("spot"), "line")
-    some = some.where(bit_test(spot.select(F.col("spot").alias("h")), F.col("spot")))
-    found = some.groupBy("spot").agg(F.min("line").alias("line")).join(spot, "spot")
+    wanted = saved(wanted.select("o", "at.*"))
+    some = docs.where(F.col(text).isNotNull())
+    if wanted.limit(FEW + 1).count() <= FEW:
+        rows = wanted.select(F.col("key").alias("k"), F.col("th").alias("t")).distinct()
+        some = some.join(F.broadcast(rows), F.col(key).eqNullSafe(F.col("k")) & (F.xxhash64(F.col(text)) == F.col("t")), "left_semi")
+        spot = F.broadcast(wanted)
+    else:
+        some = some.where(bit_test(wanted.select(F.xxhash64("key", "th").alias("h")), F.xxhash64(F.col(key), F.xxhash64(F.col(text)))))
+        spot = wanted
+    lines, spot = _split(some, key, text).alias("a"), spot.alias("b")
+    same = F.col("a.key").eqNullSafe(F.col("b.key")) & (F.col("a.th") == F.col("b.th")) & (F.col("a.i") == F.col("b.i"))
+    found = lines.join(spot, same).select("o", "line").dropDuplicates(["o"])
     return saved(_with_words(found).select("o", _words(F.col("line")).alias("w")))
 
 

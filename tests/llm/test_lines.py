@@ -62,6 +62,7 @@ def test_a_large_group_of_near_lines_makes_few_pairs(spark, monkeypatch):
 
     monkeypatch.setattr(lines, "_near", counted)
     monkeypatch.setattr(lines, "SHARED", 32)
+    monkeypatch.setattr(lines, "FEW", 300)
     check(spark.createDataFrame(texts, "doc_id long, text string").repartition(4))
     assert made and made[0] <= 5 * 800  # the first round; 400 near lines have 79,800 pairs
     assert sum(made) < 0.5 * 79_800
