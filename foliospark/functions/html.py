@@ -49,6 +49,22 @@ class Node:
         """Stripped non-empty text nodes, joined."""
         return sep.join(s for s in map(str.strip, self.strings()) if s)
 
+    def lines(self) -> list[str]:
+        """Text between line breaks, the text nodes of a line joined by a blank; scripts and styles left out."""
+        out: list[list[str]] = [[]]
+        stack = [iter(self.children)]
+        while stack:
+            child = next(stack[-1], None)
+            if child is None:
+                stack.pop()
+            elif isinstance(child, str):
+                out[-1].append(child)
+            elif child.tag == "br":
+                out.append([])
+            elif child.tag not in OPAQUE:
+                stack.append(iter(child.children))
+        return [" ".join(line) for line in out]
+
     def has(self, tag: str = "", cls: str = "", attr: tuple[str, str] | None = None) -> bool:
         return (
             (not tag or self.tag == tag)
@@ -114,6 +130,13 @@ class _Builder(HTMLParser):
                 inner.end, inner = max(at, inner.begin), inner.parent
             self.top = node.parent
 
+    def parse_marked_section(self, i, report=1):
+        """Sections other than the known ones are comments, as browsers read them."""
+        try:
+            return super().parse_marked_section(i, report)
+        except AssertionError:
+            return self.parse_bogus_comment(i, report)
+
     def handle_data(self, data):
         self.top.children.append(data)
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from foliospark import schemas
 from foliospark.functions import classify, dates, text
-from foliospark.operators.pages import debate_detail, document_detail
+from foliospark.operators.pages import debate_detail, document_detail, label_items
 
 SUCCESS, NETWORK_ERROR, PARSING_ERROR = "Success", "Network Error", "Parsing Error"
 
@@ -58,7 +58,7 @@ def debates(
     d, none = F.col("d"), F.lit("")
 
     def items(label: str) -> Column:
-        blocks = F.transform(F.filter(d.labels, lambda b: b.label.startswith(label)), lambda b: text.label_block(b.html, label))
+        blocks = F.transform(F.filter(d.labels, lambda b: b.label.startswith(label)), lambda b: label_items(b, label))
         return F.coalesce(F.try_element_at(F.filter(blocks, lambda i: F.size(i) > 0), F.lit(1)), F.array().cast("array<string>"))
 
     joined = F.array_join(d.blocks, "\n\n") if paragraph_mode else F.array_join(d.strings, "\n")
@@ -66,7 +66,7 @@ def debates(
         raw.withColumns({"p": items("participants"), "m": items("moderators")})
         .select(
             F.col("url").alias("URL"),
-            F.when(F.col("lost"), F.concat(F.lit("Error: "), F.coalesce("error", F.concat(F.lit("HTTP "), F.col("status").cast("string")), F.lit("no page")))).otherwise(F.coalesce(d.title, none)).alias("Extracted_Title"),
+            F.when(F.col("lost"), F.concat(F.lit("Error: "), F.coalesce("error", F.concat(F.lit("HTTP "), F.col("status").cast("string")), F.lit("no page")))).when(d.failed, "Error: the page cannot be parsed").otherwise(F.coalesce(d.title, none)).alias("Extracted_Title"),
             F.coalesce(d.date, none).alias("Extracted_Date"),
             F.col("p").alias("Participants_List"),
             text.join_items(F.col("p")).alias("Participants"),

@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from foliospark.functions import text
 from foliospark.functions.html import OPAQUE, Node, parse
 
 _DATE = ("property", "dc:date")
@@ -24,7 +25,7 @@ LISTING = (
 DETAIL = (
     "struct<title:string,date:string,speaker:string,speaker_title:string,has_content:boolean,paragraphs:array<string>,video:boolean,failed:boolean>"
 )
-DEBATE = "struct<title:string,date:string,has_content:boolean,inner_html:string,labels:array<struct<label:string,html:string>>,strings:array<string>,blocks:array<string>>"
+DEBATE = "struct<title:string,date:string,has_content:boolean,inner_html:string,labels:array<struct<label:string,bold:string,lines:array<string>,rest:array<string>>>,strings:array<string>,blocks:array<string>,failed:boolean>"
 PAGING = "struct<last_href:string,hrefs:array<string>,document_rows:int>"
 
 
@@ -50,6 +51,14 @@ def _listing_row(row: Node, site: str) -> dict:
     }
 
 
+def _tree(page: str | None) -> Node:
+    """The page's tree; a page that cannot be read at all is an empty one, so that it costs no other page."""
+    try:
+        return parse(page)
+    except Exception:  # noqa: BLE001
+        return Node("", {}, None)
+
+
 def listing_rows(html: Column, site: str) -> Column:
     """Every ``div.row`` of a page in order, nested ones too; a row that fails to parse is left out."""
 
@@ -57,7 +66,7 @@ def listing_rows(html: Column, site: str) -> Column:
     def rows(pages: pd.Series) -> pd.Series:
         def one(page):
             out = []
-            for row in parse(page).all("div", "row"):
+            for row in _tree(page).all("div", "row"):
                 try:
                     out.append(_listing_row(row, site))
                 except Exception:  # noqa: BLE001  one malformed row must not lose the page
@@ -118,6 +127,32 @@ def document_detail(html: Column, container: str = ".field-docs-content", inline
     return detail.asNondeterministic()(html)
 
 
+def _labelled(p: Node) -> dict:
+    """A paragraph's bold label, and its lines with and without a plain bold tag that it begins with."""
+    bold = p.first("b")
+    lead = next((c for c in p.children if not isinstance(c, str) or c.strip()), None)
+    plain = isinstance(lead, Node) and lead.tag == "b" and not lead.attrs and all(isinstance(c, str) for c in lead.children)
+    rest = Node("p", {}, None)
+    rest.children = p.children[p.children.index(lead) + 1 :] if plain else p.children
+    return {"label": bold.text().rstrip(":").lower() if bold else None, "bold": "".join(lead.children) if plain else None, "lines": p.lines(), "rest": rest.lines()}
+
+
+def label_items(block: Column, label: str) -> Column:
+    """The entries of a block of ``debate_detail``: its bold label goes only if it is followed by a colon in the tag."""
+    named = F.coalesce(F.lower(block["bold"]).rlike(rf"^\s*{label}\s*:\s*$"), F.lit(False))
+    return text.label_items(F.when(named, block["rest"]).otherwise(block["lines"]))
+
+
+def label_block(html: Column, label: str) -> Column:
+    """Inner markup of a labelled paragraph to its entries."""
+
+    @F.pandas_udf("struct<label:string,bold:string,lines:array<string>,rest:array<string>>")
+    def block(pages: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([_labelled(_tree(p)) for p in pages], columns=["label", "bold", "lines", "rest"])
+
+    return label_items(block.asNondeterministic()(html), label)
+
+
 def _debate(page: str | None, main: dict, container: dict) -> dict:
     root = parse(page)
     head = root.first(**main)
@@ -127,13 +162,13 @@ def _debate(page: str | None, main: dict, container: dict) -> dict:
     if content is not None:
         inner = (page or "")[content.begin : content.end]
         for p in content.all("p"):
-            if bold := p.first("b"):
-                labels.append({"label": bold.text().rstrip(":").lower(), "html": (page or "")[p.begin : p.end]})
+            if p.first("b"):
+                labels.append(_labelled(p))
         strings = [s for s in map(str.strip, content.strings()) if s]
         blocks = [t for c in content.children if (t := c.strip() if isinstance(c, str) else "" if c.tag in OPAQUE else c.text("\n"))]
     return {
         "title": _text(head and head.first("h1")), "date": date and (date.attrs.get("content") or date.text()),
-        "has_content": content is not None, "inner_html": inner, "labels": labels, "strings": strings, "blocks": blocks,
+        "has_content": content is not None, "inner_html": inner, "labels": labels, "strings": strings, "blocks": blocks, "failed": False,
     }
 
 
@@ -143,7 +178,13 @@ def debate_detail(html: Column, main: str = "div.col-sm-8", container: str = "di
 
     @F.pandas_udf(DEBATE)
     def detail(pages: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([_debate(p, head, where) for p in pages], columns=["title", "date", "has_content", "inner_html", "labels", "strings", "blocks"])
+        out = []
+        for page in pages:
+            try:
+                out.append(_debate(page, head, where))
+            except Exception:  # noqa: BLE001  becomes an error row
+                out.append({"failed": True})
+        return pd.DataFrame(out, columns=["title", "date", "has_content", "inner_html", "labels", "strings", "blocks", "failed"])
 
     return detail.asNondeterministic()(html)
 
@@ -155,7 +196,7 @@ def paging_links(html: Column) -> Column:
     def links(pages: pd.Series) -> pd.DataFrame:
         out = []
         for page in pages:
-            root = parse(page)
+            root = _tree(page)
             pager = root.first("ul", "pagination")
             last = pager and pager.first("li", "pager-last")
             anchor = last and last.first("a")
@@ -171,6 +212,6 @@ def anchors(html: Column) -> Column:
 
     @F.pandas_udf("array<string>")
     def hrefs(pages: pd.Series) -> pd.Series:
-        return pages.map(lambda p: [a.attrs["href"] for a in parse(p).all("a") if "href" in a.attrs])
+        return pages.map(lambda p: [a.attrs["href"] for a in _tree(p).all("a") if "href" in a.attrs])
 
     return hrefs.asNondeterministic()(html)

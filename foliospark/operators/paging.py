@@ -37,6 +37,14 @@ def total_pages(first_page: DataFrame, max_pages: int, html: str = "html", probe
     )
 
 
+def discover(pages: DataFrame, max_pages: int, html: str = "html", page: str = "page") -> DataFrame:
+    """(total_pages) of a listing from its recorded pages: what its first page tells, and where that is a full page without
+    links, the last page with rows, no later than ``max_pages``. One page if the first is missing or cannot be read."""
+    probed = last_valid_page(pages.where(F.col(page) <= max_pages), html, page).scalar()
+    told = total_pages(pages.where(F.col(page) == 1), max_pages, html, probed)
+    return told.agg(F.coalesce(F.max("total_pages"), F.lit(1)).cast("int").alias("total_pages"))
+
+
 def last_valid_page(pages: DataFrame, html: str = "html", page: str = "page") -> DataFrame:
     """The highest recorded page with a document row, at least 1; stands for probing, validity being monotone."""
     rows = pages.select(F.col(page).alias("page"), paging_links(F.col(html)).alias("p"))

@@ -20,12 +20,14 @@ def debate_listing(pages: DataFrame, site: str) -> DataFrame:
     return listing.debates(pages, site)
 
 
-def enrich_documents(spark: SparkSession, listing_df: DataFrame, fetches: DataFrame, state: str, retry_errors: bool = False, **options) -> DataFrame:
-    """Extract what the state at ``state`` lacks, append it, and return the listing with all records."""
+def enrich_documents(spark: SparkSession, listing_df: DataFrame, fetches: DataFrame, state: str, retry_errors: bool = False, slices: int = 4, **options) -> DataFrame:
+    """Extract what the state at ``state`` lacks and return the listing with all records. The links are appended in so
+    many slices, so that a run that fails keeps what it has finished."""
     links = enrich.distinct_links(listing_df)
     todo = enrich.remaining(links, read_state(spark, state), retry_errors)
-    new = extract.documents(fetch.attach(todo, fetches), **options).withColumn("processed_at", F.current_timestamp())
-    append_state(new, state)
+    for i in range(slices):
+        some = todo.where(F.pmod(F.xxhash64("url"), F.lit(slices)) == i)
+        append_state(extract.documents(fetch.attach(some, fetches), **options).withColumn("processed_at", F.current_timestamp()), state)
     kept = enrich.latest(read_state(spark, state), "url", "processed_at", "Extraction_Status", "Document_Title")
     return enrich.lookup(listing_df, kept)
 

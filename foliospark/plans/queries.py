@@ -71,7 +71,7 @@ def truncate_text(spark, sf):
 def label_block(spark, sf):
     n, r = _t(spark, sf, "nation"), _t(spark, sf, "region")
     html = F.concat(F.lit("<b>Participants:</b> "), "r_name", F.lit("<br>"), "n_name", F.lit("; <i>guest</i> Jr.;<BR/>x &amp; y.;"))
-    items = text.label_block(html, "participants")
+    items = pages.label_block(html, "participants")
     return n.join(r, F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", text.join_items(items).alias("participants"), F.size(items).cast("bigint").alias("n_items"))
 
 
@@ -187,6 +187,16 @@ def page_total(spark, sf):
     return _t(spark, sf, "pages").agg(F.coalesce(F.least(F.max(index) + 1, F.lit(25)), F.lit(1)).cast("bigint").alias("total_pages"))
 
 
+def page_discovery(spark, sf):
+    """First pages with a 'last' link, with numbered links only, without links, and one that the parser has trouble with."""
+    k = F.col("n_nationkey")
+    item = lambda n: F.concat(F.lit('<li class="x"><a href="?page='), n.cast("string"), F.lit('">n</a></li>'))
+    last = F.concat(F.lit('<ul class="pagination"><li class="pager-last"><a href="/l?a=1&amp;page='), k.cast("string"), F.lit('">last</a></li></ul>'))
+    numbered = F.concat(F.lit('<ul class="pagination">'), F.array_join(F.transform(F.sequence(F.lit(0), k), item), ""), F.lit("</ul>"))
+    html = F.when(k % 4 == 0, last).when(k % 4 == 1, numbered).when(k % 4 == 2, F.concat(F.lit("<![if x]>"), last)).otherwise('<div class="row"><div class="col-sm-8"><div class="field-title">t</div></div></div>')
+    return paging.total_pages(_t(spark, sf, "nation").select(html.alias("html")), 20)
+
+
 def shape(spark, sf):
     return stats.shape(_t(spark, sf, "documents"))
 
@@ -286,7 +296,7 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "truncate_text": (truncate_text, "SELECT doc_id, CASE WHEN length(text) > 200 THEN regexp_replace(substr(text, 1, 200), '\\s+$', '') || '...' ELSE text END AS short FROM documents"),
     "label_block": (
         label_block,
-        "SELECT n_nationkey, r_name || '; ' || n_name || '; guest  Jr; x & y' AS participants, CAST(4 AS BIGINT) AS n_items FROM nation JOIN region ON n_regionkey = r_regionkey".replace("guest  Jr", "guest  Jr"),
+        "SELECT n_nationkey, r_name || '; ' || n_name || '; guest  Jr; x & y' AS participants, CAST(4 AS BIGINT) AS n_items FROM nation JOIN region ON n_regionkey = r_regionkey",
     ),
     "format_date_long": (
         format_date_long,
@@ -339,6 +349,7 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
         "SELECT page_id, CASE WHEN i = 0 THEN url ELSE url || '&page=' || i END AS page_url, CAST(nullif(regexp_extract(CASE WHEN i = 0 THEN url ELSE url || '&page=' || i END, 'page=(\\d+)', 1), '') AS BIGINT) AS page_no FROM (SELECT page_id, url, page_id % 40 AS i FROM pages)",
     ),
     "page_total": (page_total, "SELECT CAST(coalesce(least(max(page_id % 40) FILTER (page_id % 40 > 0) + 1, 25), 1) AS BIGINT) AS total_pages FROM pages"),
+    "page_discovery": (page_discovery, "SELECT CAST(CASE WHEN n_nationkey % 4 < 3 THEN least(n_nationkey + 1, 20) ELSE 1 END AS INT) AS total_pages FROM nation"),
     "shape": (shape, "SELECT count(*) AS n_rows, CAST(5 AS BIGINT) AS n_columns FROM documents"),
     "extract_title": (
         extract_title,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import http.client
 import time
 import urllib.error
 import urllib.request
@@ -37,7 +38,7 @@ def attach(links: DataFrame, fetches: DataFrame) -> DataFrame:
 
 
 def fetch_one(url: str, timeout: float, retries: int, backoff: float, agent: str) -> tuple:
-    """(url, status, error, html, time). Retries the usual statuses with exponential pauses."""
+    """(url, status, error, html, time). Retries the usual statuses, failed connections and time-outs with exponential pauses."""
     status, error, html = None, None, None
     for attempt in range(retries + 1):
         if attempt:
@@ -51,7 +52,9 @@ def fetch_one(url: str, timeout: float, retries: int, backoff: float, agent: str
             status, error = e.code, f"HTTP {e.code}"
             if e.code not in RETRY_STATUSES:
                 break
-        except (OSError, ValueError) as e:
+        except (OSError, http.client.HTTPException) as e:
+            status, error = None, str(e) or type(e).__name__
+        except ValueError as e:
             error = str(e) or type(e).__name__
             break
     return url, status, error, html, datetime.now(timezone.utc)

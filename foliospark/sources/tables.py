@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime
 
 from pyspark.errors import AnalysisException
@@ -25,6 +26,18 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.select(*flat).write.mode(mode).options(**{k: v for k, v in CSV.items() if k != "multiLine"}).csv(path)
 
 
+def replace_csv(df: DataFrame, path: str) -> None:
+    """Write the rows beside ``path``, which they may be read from, and swap the two once all are written."""
+    spark, aside = df.sparkSession, f"{path}.{uuid.uuid4().hex}"
+    write_csv(df, f"{aside}.new")
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    now, old, new = hadoop(path), hadoop(f"{aside}.old"), hadoop(f"{aside}.new")
+    fs = now.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(now) and not fs.rename(now, old) or not fs.rename(new, now):
+        raise OSError(f"cannot replace {path}")
+    fs.delete(old, True)
+
+
 def listing_name(rows: int, now: datetime, stem: str = "documents") -> str:
     return f"{stem}_{rows}docs_{now:%Y%m%d_%H%M%S}.csv"
 

@@ -7,7 +7,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from foliospark.functions import classify, dates, text
-from foliospark.operators import stats
+from foliospark.operators import pages, stats
 
 
 def run(spark, value, *functions):
@@ -61,13 +61,13 @@ def test_text(spark):
     assert run(spark, "\r\n\n  a  b \n\n\n\n c\r\n\n", text.clean_whitespace) == ("a  b\n\nc",)
     assert run(spark, "ab cd", lambda c: text.truncate(c, 3), lambda c: text.truncate(c, 0), lambda c: text.truncate(c, 5)) == ("ab...", "ab cd", "ab cd")
     assert run(spark, " a b　c \n", text.word_count) == (3,) and run(spark, None, text.word_count) == (0,)
-    assert run(spark, "<b>Moderators:</b> .;x", lambda c: text.label_block(c, "moderators")) == (["", "x"],)
+    assert run(spark, "<b>Moderators:</b> .;x", lambda c: pages.label_block(c, "moderators")) == (["", "x"],)
 
 
 @settings(max_examples=25, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.text(" \t\r\n;.a<b>é", max_size=40))
 def test_cleaning_twice_is_cleaning_once_and_items_have_no_semicolon(spark, value):
-    once, twice, items = run(spark, value, text.clean_whitespace, lambda c: text.clean_whitespace(text.clean_whitespace(c)), lambda c: text.label_block(c, "x"))
+    once, twice, items = run(spark, value, text.clean_whitespace, lambda c: text.clean_whitespace(text.clean_whitespace(c)), lambda c: pages.label_block(c, "x"))
     assert once == twice and all(";" not in i for i in items)
 
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from foliospark import schemas
 from foliospark.functions.html import parse
-from foliospark.operators import extract, listing, paging
+from foliospark.operators import extract, listing, pages, paging
 from foliospark.sources import fetch
 
 SITE = "https://site.example"
@@ -158,3 +158,37 @@ def test_one_python_pass_above_the_anti_join(spark):
     assert out.count() == 3
     plan = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
     assert plan.count("ArrowEvalPython") == 1
+
+
+BAD = "<![foo[bar]]><p>x"
+
+
+def test_a_page_that_the_tokenizer_rejects_costs_no_other_page(spark):
+    row = '<div class="row"><div class="col-sm-8"><div class="field-title"><a href="/x">t</a></div></div></div>'
+    table = spark.createDataFrame([(1, BAD + row), (2, row), (3, None)], "page int, html string").coalesce(1)
+    assert sorted(r.Page for r in listing.documents(table, "https://s").collect()) == [1, 2]
+    good = "<h1>Remarks</h1>"
+    pages_ = spark.createDataFrame([("a", 200, None, BAD + good, None), ("b", 200, None, good, None)], schemas.FETCH).coalesce(1)
+    assert {(r.url, r.Document_Title) for r in extract.documents(pages_).collect()} == {("a", "Remarks"), ("b", "Remarks")}
+    assert len(extract.debates(pages_).collect()) == 2
+    assert sorted(r.total_pages for r in paging.total_pages(table, 9).collect()) == [1, 1, 1]
+    assert sorted(table.select(pages.anchors("html").alias("a")).collect()) == [([],), (["/x"],), (["/x"],)]
+
+
+def test_labelled_blocks_from_the_tree(spark):
+    def items(html):
+        return debate_of(spark, debate(html)).Participants_List
+
+    assert items("<p><b>Participants:</b> a<b><i>x</i></b>;&#8217;t &mdash; b<br>c &amp; d</p>") == ["a x", "’t — b", "c & d"]
+    assert items("<p><b class='k'>Participants:</b> A</p>") == ["Participants:  A"]
+    assert items("<p><i><b>Participants:</b></i> A<i>b<br>c</i></p>") == ["Participants:  A b", "c"]
+    assert items("<p> <b> participants : </b>A</p>") == ["A"]
+
+
+def test_discovery(spark):
+    full = "".join('<div class="row"><div class="col-sm-8"><div class="field-title">t</div></div></div>' for _ in range(1000))
+    table = spark.createDataFrame([(1, full), (2, full), (3, full), (4, "<p>none")], "page int, html string")
+    assert paging.discover(table, 25).first().total_pages == 3
+    assert paging.discover(table, 2).first().total_pages == 2
+    assert paging.discover(table.where("page = 4"), 25).first().total_pages == 1
+    assert paging.discover(table.where("page > 4"), 25).first().total_pages == 1

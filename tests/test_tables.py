@@ -113,3 +113,17 @@ def test_listing_plans(spark):
     got = pipelines.debate_details(debates, fetches(spark, f"{SITE}/x")).collect()
     assert [(r.URL, r.Extracted_Title) for r in got] == [(f"{SITE}/d", "Error: not fetched")]
     assert stats.last_key_counts(rows.withColumn("Year", F.lit(2024)), "Year").first().cnt == 1
+
+
+def test_csv_is_replaced_by_rows_read_from_it(spark, tmp_path):
+    path = str(tmp_path / "listing")
+    tables.write_csv(listing(spark, "a", "b"), path)
+    tables.replace_csv(tables.read_csv(spark, path, schemas.DOCUMENT_LISTING).where("Document_Link = 'b'"), path)
+    assert [r.Document_Link for r in tables.read_csv(spark, path, schemas.DOCUMENT_LISTING).collect()] == ["b"]
+    assert [p.name for p in tmp_path.iterdir()] == ["listing"]
+
+
+def test_failed_connections_are_tried_again():
+    url, status, error, html, _ = fetch.fetch_one("http://127.0.0.1:9/", 1, 2, 0.01, "x")
+    assert (status, html) == (None, None) and error
+    assert fetch.fetch_one("No Link", 1, 2, 100, "x")[2]
