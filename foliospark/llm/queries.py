@@ -80,12 +80,31 @@ _TOPK_SQL = """WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAS
  s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score FROM e q JOIN e c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0)
  SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 20"""
 
+_JACCARD_SQL = r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+ s AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(len(w) - 3, 1) + 1), lambda i: array_to_string(w[i:i + 3], ' '))) AS g FROM w WHERE len(w) > 0),
+ n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+ p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+ e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+ r AS (SELECT doc_id AS node, doc_id AS root FROM n UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.node)
+ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(m.root, d.doc_id) AS component_id FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT node, min(root) AS root FROM r GROUP BY 1) m ON m.node = d.doc_id"""
+
+_LINES_SQL = r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents WHERE text IS NOT NULL),
+ q AS (SELECT doc_id * 1000000 + i AS place, doc_id, line, list_sort(list_distinct(list_filter(string_split_regex(lower(line), '[ \t\n\x0B\f\r]+'), lambda x: x <> ''))) AS w FROM l),
+ s AS (SELECT w, len(w) AS n, min(place) AS place FROM q WHERE len(w) > 0 GROUP BY w),
+ t AS (SELECT place, n, w, unnest(w) AS x FROM s),
+ c AS (SELECT x, count(*) AS c FROM t GROUP BY x),
+ p AS (SELECT place, n, w, x FROM (SELECT t.*, row_number() OVER (PARTITION BY place ORDER BY c.c, x) AS r FROM t JOIN c USING (x)) WHERE r <= n - ceil(n * 4 / 5) + 1),
+ late AS (SELECT DISTINCT a.w FROM p a JOIN p b ON a.x = b.x AND a.place > b.place AND a.n * 5 >= b.n * 4 AND b.n * 5 >= a.n * 4 WHERE 9 * len(list_intersect(a.w, b.w)) >= 4 * (a.n + b.n)),
+ k AS (SELECT q.doc_id, q.place, q.line, coalesce(q.place <> s.place, false) OR late.w IS NOT NULL AS gone FROM q LEFT JOIN s ON q.w = s.w LEFT JOIN late ON q.w = late.w)
+ SELECT d.doc_id, CAST(coalesce(g.n_lines, 0) AS INT) AS n_lines, CAST(coalesce(g.n_removed, 0) AS INT) AS n_removed, g.text FROM documents d LEFT JOIN (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed,
+ coalesce(array_to_string(list(line ORDER BY place) FILTER (NOT gone), chr(10)), '') AS text FROM k GROUP BY doc_id) g USING (doc_id)"""
+
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_packing": (op1_packing, None),
-    "op2_jaccard": (op2_jaccard, None),
+    "op2_jaccard": (op2_jaccard, _JACCARD_SQL),
     "op3_language": (op3_language, None),
     "op4_licenses": (op4_licenses, None),
-    "op5_line_dedup": (op5_line_dedup, None),
+    "op5_line_dedup": (op5_line_dedup, _LINES_SQL),
     "op6_token_counts": (op6_token_counts, None),
     "op7_bpe": (op7_bpe, None),
     "op8_quality": (op8_quality, None),
