@@ -5,7 +5,9 @@ smallest value of every component, the term. For a query, a block's bound is the
 query's weight times such a value can be. Each query takes its blocks in the order of their bounds, in waves of
 growing length, and after each wave only the blocks whose bound reaches its k-th best score stay.
 
-A bound equal to the k-th score is still opened, as ties go to the smaller id. Rows whose vector is null or holds a
+A bound equal to the k-th score is opened only if the block begins with an id below the k-th row's, as ties go to the
+smaller id. With ``scale`` all sums are whole and exact up to 2**53; scores beyond that have double precision, and those
+that a long cannot hold are its least or greatest value. Rows whose vector is null or holds a
 null or non-finite component take no part, nor do null keys; rows that repeat key and vector are one. Fewer than k
 candidates: all of them. Only key and vector are read, so other columns cannot clash.
 """
@@ -30,7 +32,7 @@ WAVES = (1, 8, None)
 
 
 def _blocks(rows: DataFrame, dims: int, total: int) -> DataFrame:
-    """(block, ids, values) in pieces of at most CHUNK rows; a block is a range of ids."""
+    """(block, first id, ids, values, most, least) in pieces of at most CHUNK rows; a block is a range of ids."""
     blocks = max(1, min(BLOCKS, -(-total // CHUNK)))
     ranged = rows.repartitionByRange(blocks, "id").withColumn("block", F.spark_partition_id())
 
@@ -43,11 +45,11 @@ def _blocks(rows: DataFrame, dims: int, total: int) -> DataFrame:
                 for i in range(0, len(at), CHUNK):
                     part = at[i : i + CHUNK]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([int(b)], pa.int32()), pa.array([ids[part].astype("<i8").tobytes()]), pa.array([m[part].astype("<f8").tobytes()]), pa.array([m[part].max(0)]), pa.array([m[part].min(0)])],
-                        ["block", "ids", "values", "most", "least"],
+                        [pa.array([int(b)], pa.int32()), pa.array([ids[part].min()]), pa.array([ids[part].astype("<i8").tobytes()]), pa.array([m[part].astype("<f8").tobytes()]), pa.array([m[part].max(0)]), pa.array([m[part].min(0)])],
+                        ["block", "first", "ids", "values", "most", "least"],
                     )
 
-    return ranged.mapInArrow(build, "block int, ids binary, values binary, most array<double>, least array<double>")
+    return ranged.mapInArrow(build, "block int, first long, ids binary, values binary, most array<double>, least array<double>")
 
 
 def search(rows: DataFrame, is_query: Column, key: str = "vec_id", vector: str = "embedding", k: int = 20, scale: float | None = None) -> DataFrame:
@@ -60,10 +62,10 @@ def search(rows: DataFrame, is_query: Column, key: str = "vec_id", vector: str =
     total, dims = data.agg(F.count("*"), F.max(F.size("v"))).first()
     dims = max(1, dims or 0)
     index = saved(_blocks(data, dims, total))
-    terms = index.groupBy("block").agg(*(F.array(*(f(F.col(c)[i]) for i in range(dims))).alias(c) for c, f in (("most", F.max), ("least", F.min)))).orderBy("block").collect()
-    names = np.array([r["block"] for r in terms], np.int32)
+    terms = index.groupBy("block").agg(F.min("first").alias("first"), *(F.array(*(f(F.col(c)[i]) for i in range(dims))).alias(c) for c, f in (("most", F.max), ("least", F.min)))).orderBy("block").collect()
+    names, firsts = np.array([r["block"] for r in terms], np.int32), np.array([r["first"] for r in terms], np.int64)
     most, least = (np.array([r[c] for r in terms]).reshape(len(terms), dims) for c in ("most", "least"))
-    shipped = rows.sparkSession.sparkContext.broadcast((names, most, least))
+    shipped = rows.sparkSession.sparkContext.broadcast((names, firsts, most, least))
 
     queries = data.where(is_query)
     kept, seen = None, 0
@@ -71,34 +73,41 @@ def search(rows: DataFrame, is_query: Column, key: str = "vec_id", vector: str =
         upto = len(names) if upto is None else min(upto, len(names))
         if upto <= seen and kept is not None:
             continue
-        floor = kept.groupBy("query").agg(F.when(F.count("*") >= k, F.min("score")).alias("kth")) if kept is not None else None
-        waiting = queries.withColumn("kth", F.lit(None).cast("double")) if floor is None else queries.join(floor.withColumnRenamed("query", "id"), "id", "left")
-        asks = saved(_asks(waiting, shipped, dims, seen, upto))
+        if kept is None:
+            waiting = queries.withColumns({"kth": F.lit(None).cast("double"), "kth_id": F.lit(None).cast("bigint")})
+        else:
+            floor = kept.where(F.col("rank") == k).select(F.col("query").alias("id"), F.col("score").alias("kth"), F.col("id").alias("kth_id"))
+            waiting = queries.join(floor, "id", "left")
+        asks = saved(_asks(waiting, shipped, dims, seen, upto, 0 if scale is not None else 1e-12))
         new = _score(asks, index, dims, k)
         kept = saved(top(new if kept is None else kept.select("query", "id", "score").unionByName(new), k))
         seen = upto
-    score = F.col("score").cast("bigint") if scale is not None else F.col("score")
+    low, high = -(1 << 63), (1 << 63) - 1
+    whole = F.when(F.col("score") >= float(high), F.lit(high)).when(F.col("score") <= float(low), F.lit(low)).otherwise(F.expr("try_cast(score AS bigint)"))
+    score = whole if scale is not None else F.col("score")
     return kept.select("query", F.col("rank").cast("int").alias("rank"), "id", score.alias("score"))
 
 
-def _asks(queries: DataFrame, shipped, dims: int, seen: int, upto: int) -> DataFrame:
-    """(block, query, v) of every query and each block at its places seen to upto whose bound reaches its kth score."""
+def _asks(queries: DataFrame, shipped, dims: int, seen: int, upto: int, slack: float) -> DataFrame:
+    """(block, query, v) of every query and each block at its places seen to upto that may have a row before its kth."""
 
     def run(batches):
-        names, most, least = shipped.value
+        names, firsts, most, least = shipped.value
         for batch in batches:
             q = matrix(batch.column("v"), dims)
             kth = batch.column("kth").to_numpy(zero_copy_only=False).astype(float)
             bound = np.maximum(q, 0) @ most.T + np.minimum(q, 0) @ least.T
-            bound += np.abs(bound) * 1e-12
+            bound += np.abs(bound) * slack
             order = np.argsort(-bound, 1, kind="stable")[:, seen:upto]
-            reach = np.take_along_axis(bound, order, 1) >= np.where(np.isnan(kth), -np.inf, kth)[:, None]
+            kth, last = np.where(np.isnan(kth), -np.inf, kth)[:, None], batch.column("kth_id").fill_null(0).to_numpy()[:, None]
+            at = np.take_along_axis(bound, order, 1)
+            reach = (at > kth) | ((at == kth) & ((firsts[order] < last) | np.isinf(kth)))
             row, place = np.nonzero(reach)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(names[order[row, place]], pa.int32()), batch.column("id").take(pa.array(row)), batch.column("v").take(pa.array(row))], ["block", "query", "v"]
             )
 
-    return queries.select("id", "v", "kth").mapInArrow(run, "block int, query long, v array<double>")
+    return queries.select("id", "v", "kth", "kth_id").mapInArrow(run, "block int, query long, v array<double>")
 
 
 def _score(asks: DataFrame, index: DataFrame, dims: int, k: int) -> DataFrame:

@@ -94,3 +94,29 @@ def test_empty(spark):
     rows = spark.createDataFrame([], SCHEMA)
     assert topk.search(rows, F.col("id") % 20 == 0).collect() == []
     assert forest.search(rows, F.col("id") % 20 == 0).collect() == []
+
+
+def test_equal_vectors_open_few_blocks(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(topk, "CHUNK", 16)
+    made, scored = [], topk._score
+
+    def counted(asks, *args):
+        made.append(asks.count())
+        return scored(asks, *args)
+
+    monkeypatch.setattr(topk, "_score", counted)
+    rows = spark.createDataFrame([(i, [0.5, 0.25]) for i in range(320)], "vec_id long, embedding array<float>")
+    got = topk.search(rows, F.col("id") % 20 == 0, k=5, scale=64).collect()
+    for q in range(0, 320, 20):
+        assert [r.id for r in sorted((r for r in got if r["query"] == q), key=lambda r: r["rank"])] == [i for i in range(6) if i != q][:5]
+    assert sum(made) <= 2 * 16
+
+
+def test_huge_components_have_a_defined_score(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.createDataFrame([(0, [1e10]), (1, [2e10]), (2, [-1e10])], "vec_id long, embedding array<double>")
+    got = topk.search(rows, F.col("id") == 0, k=5, scale=64).collect()
+    assert [(r.id, r.score) for r in sorted(got, key=lambda r: r["rank"])] == [(1, 2**63 - 1), (2, -(2**63))]
