@@ -183,9 +183,9 @@ def components_of(docs: DataFrame, key: str = "doc_id", text: str = "text", k: i
     roots = found.where("node = root").select(F.col("node").alias("cid"))
     heads = saved(grouped.join(roots, "cid"))
     placed_heads = _placed(heads)
-    found = components(_joined(found, _links(_opened(heads, _ranked(placed_heads, None), percent), placed_heads, docs, k, percent)))
+    found = _joined(found, _links(_opened(heads, _ranked(placed_heads, None), percent), placed_heads, docs, k, percent))
     asks = _opened(grouped, _ranked(placed, found), percent).join(placed.select(F.col("cid").alias("query"), F.col("block").alias("home")), "query").where("block != home").drop("home")
-    found = components(_joined(found, _links(asks, placed, docs, k, percent)))
+    found = _joined(found, _links(asks, placed, docs, k, percent))
 
     least = found.join(classes.select(F.col("cid").alias("node"), "least"), "node").groupBy("root").agg(F.min("least").alias("joined"))
     named = found.join(least, "root").select("node", "joined")
@@ -229,7 +229,8 @@ def _opened(grouped: DataFrame, ranked: DataFrame, percent: int) -> DataFrame:
 
 
 def _joined(found: DataFrame, links: DataFrame) -> DataFrame:
-    return found.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(links)
+    """The components with more links."""
+    return found if links.isEmpty() else components(found.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(links))
 
 
 def _links(asks: DataFrame, placed: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
