@@ -127,7 +127,8 @@ class Model:
         if not len(y) or y.min() == y.max():
             self.constant = float(y.mean()) if len(y) else 0.5
             return self
-        self.mean, self.scale = x.mean(0), x.std(0) + 1e-3
+        self.mean = x.mean(0, dtype=np.float64)
+        self.scale = x.std(0, dtype=np.float64, mean=self.mean[None, :]) + 1e-3
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         v2 = {k: np.zeros_like(v) for k, v in self.p.items()}
         r, step = np.random.default_rng(11), 0
@@ -139,7 +140,7 @@ class Model:
                 part = np.concatenate([[0], np.cumsum(n)])
                 rows = np.arange(part[-1]) - np.repeat(part[:-1], n) + np.repeat(at[docs], n)
                 step += 1
-                for k, grad in self.gradient(x[rows], part, y[docs]).items():
+                for k, grad in self.gradient(x[rows].astype(np.float64), part, y[docs]).items():
                     grad = grad + decay * self.p[k]
                     m[k] = 0.9 * m[k] + 0.1 * grad
                     v2[k] = 0.99 * v2[k] + 0.01 * grad**2
@@ -159,8 +160,9 @@ class Model:
         return {"A": x.T @ dh, "b": dh.sum(0), "V": h.T @ dt, "U": h.T @ dg, "w": (t * g).T @ de, "c": z.T @ out, "d": out.sum()}
 
 
-def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", bound: int = LEARN_DOCUMENTS) -> Model:
-    """A model from ``labels`` (key, label 0/1) of ``docs``; the bounded sample of labels goes to where the texts are."""
+def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", bound: int = LEARN_DOCUMENTS, most: int = LEARN_PASSAGES) -> Model:
+    """A model from ``labels`` (key, label 0/1) of ``docs``; the bounded sample of labels goes to where the texts are. At
+    most about ``bound`` labelled documents and ``most`` passages of each, in single precision, are held at once."""
     known = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(key).alias("key")).agg(F.avg(F.col(label).cast("double")).alias("label"))
     total = max(1, known.count())
     hashed = F.pmod(F.xxhash64("key"), F.lit(1 << 30))
@@ -174,8 +176,8 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
                 x, at = passages(data, offs)
                 for i in range(len(at) - 1):
                     rows = x[at[i] : at[i + 1]]
-                    if len(rows) > LEARN_PASSAGES:
-                        rows = rows[np.linspace(0, len(rows) - 1, LEARN_PASSAGES).astype(np.int64)]
+                    if len(rows) > most:
+                        rows = rows[np.linspace(0, len(rows) - 1, most).astype(np.int64)]
                     out.append((batch.column("key")[first + i].as_py(), batch.column("label")[first + i].as_py(), rows.astype("<f4").tobytes()))
             keys, values, bags = zip(*out, strict=True) if out else ((), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(map(str, keys), pa.string()), pa.array(values, pa.float64()), pa.array(bags, pa.binary())], ["key", "label", "bag"])
@@ -183,8 +185,9 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     bags = sorted(tuple(r) for r in chosen.mapInArrow(encode, "key string, label double, bag binary").collect())
     rows = [np.frombuffer(b, "<f4").reshape(-1, FEATURES) for _, _, b in bags]
     at = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int64)
-    x = np.concatenate(rows).astype(np.float64) if rows else np.zeros((0, FEATURES))
-    return Model().fit(x, at, np.array([y for _, y, _ in bags]))
+    x, y = np.concatenate(rows) if rows else np.zeros((0, FEATURES)), np.array([y for _, y, _ in bags])
+    del bags, rows
+    return Model().fit(x, at, y)
 
 
 def score(model: Model, text: Column) -> Column:

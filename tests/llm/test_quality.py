@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from foliospark.llm import _words as W
 from foliospark.llm import quality, queries
-from tests.llm.data import docs, empty
+from tests.llm.data import SF, docs, empty
 import pyarrow as pa
 
 
@@ -70,3 +70,27 @@ def test_nothing_to_learn_and_nothing_to_read(spark):
     assert empty(spark).select(quality.score(model, F.col("text"))).collect() == []
     one = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
     assert quality.learn(docs(spark), one).constant == 1.0
+
+
+def test_scores_equal_a_plain_version(spark):
+    """Every passage is encoded, attended to and pooled one document at a time, without the batches of the operator."""
+    import math
+
+    import numpy as np
+
+    table = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    model = quality.learn(table, spark.read.parquet(f"{SF}/labels.parquet"))
+    got = {r.doc_id: r.s for r in table.select("doc_id", quality.score(model, F.col("text")).alias("s")).collect()}
+    p = model.p
+    for row in table.collect():
+        text = (row.text or "").encode()
+        x = quality.passages(np.frombuffer(text, np.uint8), np.array([0, len(text)]))[0]
+        logits, pooled = [], []
+        for passage in (x - model.mean) / model.scale:
+            h = np.tanh(passage @ p["A"] + p["b"])
+            gate = 1 / (1 + np.exp(-(h @ p["U"])))
+            logits.append(float((np.tanh(h @ p["V"]) * gate) @ p["w"]))
+            pooled.append(h)
+        weights = [math.exp(e - max(logits)) for e in logits]
+        z = sum(a * h for a, h in zip(weights, pooled, strict=True)) / sum(weights)
+        assert abs(got[row.doc_id] - 1 / (1 + math.exp(-float(z @ p["c"] + p["d"])))) < 1e-9
