@@ -8,8 +8,8 @@ counted by matrix products. Each opened block returns a spanning forest of its l
 components are the result.
 
 Order of work. Each block is opened for its own members first, and its links are contracted. One member of each
-component with links then stands for it in a smaller matrix of its own, which joins the blocks of a large group of
-near copies. Only classes that are still in different components are then held against each other's blocks, the one
+component with links in a group of several blocks then stands for it in a smaller matrix of its own, which joins the
+blocks of a large group of near copies. Only classes that are still in different components are then held against each other's blocks, the one
 in the smaller component asking. So a group of copies is never paired with all blocks of its own.
 
 The bound. Tokens have one global order, common ones last. If two sets of n and m tokens have a Jaccard similarity
@@ -176,11 +176,11 @@ def components_of(docs: DataFrame, key: str = "doc_id", text: str = "text", k: i
     often = postings.groupBy("token").agg(F.count("*").alias("df")).where("df > 1").select("token")
     grouped = saved(postings.join(often, "token"))
 
-    # first the pairs inside each block, then the blocks' components by one member each, then what is left between them
+    # first the pairs inside each block, then components of groups cut into blocks by one member each, then what is left
     placed = _placed(grouped)
     many = placed.groupBy("block").agg(F.count("*").alias("members")).where("members > 1").select("block")
     found = components(_links(placed.join(many, "block").select(F.col("cid").alias("query"), "block", F.col("n").alias("size")), placed, docs, k, percent))
-    roots = found.where("node = root").select(F.col("node").alias("cid"))
+    roots = found.where("node = root").select(F.col("node").alias("cid")).join(placed.where("cut").select("cid"), "cid")
     heads = saved(grouped.join(roots, "cid"))
     placed_heads = _placed(heads)
     found = _joined(found, _links(_opened(heads, _ranked(placed_heads, None), percent), placed_heads, docs, k, percent))
@@ -196,11 +196,11 @@ def components_of(docs: DataFrame, key: str = "doc_id", text: str = "text", k: i
 
 
 def _placed(grouped: DataFrame) -> DataFrame:
-    """(cid, n, block) of each class of (token, cid, n): its group is its least token, cut into blocks."""
+    """(cid, n, block, cut) of each class of (token, cid, n): its group is its least token, cut into blocks if it is large."""
     member = grouped.groupBy("cid").agg(F.min("token").alias("gkey"), F.first("n").alias("n"))
     blocks = member.groupBy("gkey").agg(F.ceil(F.greatest(F.count("*") / BLOCK_DOCUMENTS, F.sum("n") / BLOCK_TOKENS)).alias("blocks"))
     block = F.pmod(F.xxhash64("cid", F.lit(1)), F.col("blocks"))
-    return saved(member.join(blocks, "gkey").select("cid", "n", F.xxhash64("gkey", block).alias("block")))
+    return saved(member.join(blocks, "gkey").select("cid", "n", F.xxhash64("gkey", block).alias("block"), (F.col("blocks") > 1).alias("cut")))
 
 
 def _ranked(placed: DataFrame, found: DataFrame | None) -> DataFrame:
