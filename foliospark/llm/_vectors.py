@@ -8,17 +8,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def valid(rows: DataFrame, key: str, vector: str, zeros: bool) -> DataFrame:
+def valid(rows: DataFrame, key: str, vector: str, zeros: bool, once: bool = True) -> DataFrame:
     """(id long, v array<double>) of the rows that take part: key and vector not null, every component finite and not
-    null, and unless ``zeros`` some component not 0. Rows that repeat key and vector are one. An empty vector is
-    zero; where lengths differ, missing components count as 0."""
+    null, and unless ``zeros`` some component not 0. With ``once``, rows that repeat key and vector are one. An empty
+    vector is zero; where lengths differ, missing components count as 0."""
     v = F.col("v")
     good = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     out = rows.select(F.col(key).cast("bigint").alias("id"), F.col(vector).cast("array<double>").alias("v"))
     out = out.where(F.col("id").isNotNull() & v.isNotNull() & good)
     if not zeros:
         out = out.where(F.exists(v, lambda x: x != 0))
-    return out.distinct()
+    return out.distinct() if once else out
 
 
 def matrix(column: pa.Array, dims: int) -> np.ndarray:

@@ -82,6 +82,45 @@ def test_forest_recall_and_scores(spark):
             assert math.isclose(s, sum(a * b for a, b in zip(good[q], good[c])), rel_tol=1e-9, abs_tol=1e-12)
 
 
+@pytest.mark.parametrize("slice_", [7, 100_000])
+def test_forest_in_slices_and_below_counted_prefixes(spark, monkeypatch, slice_):
+    for name, value in {"SLICE": slice_, "PIECE": 32, "PART": 3, "DEPTH": 3}.items():
+        monkeypatch.setattr(forest, name, value)
+    r = random.Random(9)
+    centres = [[r.gauss(0, 1) for _ in range(8)] for _ in range(12)]
+    rows = [(i, [x + r.gauss(0, 0.05) for x in centres[i % 12]]) for i in range(480)]
+    rows = float32([(i, v, 0, 1, 2, 0.5, "x") for i, v in rows])
+    want = plain(rows, 5, zeros=False)
+    got = forest.search(frame(spark, rows), F.col("id") % 20 == 0, k=5).collect()
+    assert len(got) == 5 * len(want)
+    kth = {q: v[-1][1] for q, v in want.items()}
+    assert sum(x.score >= kth[x.query] - 1e-9 for x in got) / len(got) >= 0.9
+
+
+def test_forest_deep_counts(spark, monkeypatch):
+    monkeypatch.setattr(forest, "DEPTH", 2)
+    monkeypatch.setattr(forest, "SLICE", 5)
+    r = random.Random(3)
+    rows = [(i, [r.randrange(2**32) >> r.choice([0, 20]) for _ in range(forest.TREES)]) for i in range(60)]
+    table = spark.createDataFrame([(i, c, [1.0], [i]) for i, c in rows], "vid long, codes array<long>, v array<float>, ids array<long>")
+    got = forest._Forest(table).deep(table.where("vid < 10")).collect()
+    assert len(got) == 10
+    for g in got:
+        own = rows[g.vid][1]
+        for level in range(3, forest.BITS + 1):
+            shift = forest.BITS - level
+            assert g[f"n{level}"] == sum(c[t] >> shift == own[t] >> shift for _, c in rows for t in range(forest.TREES))
+
+
+def test_forest_equal_vectors(spark):
+    rows = [(i, [0.5, -0.0 if i % 2 else 0.0], 0, 1, 2, 0.5, "x") for i in range(200)] + [(7, [0.5, 0.0], 0, 1, 2, 0.5, "x")] * 50
+    rows += [(1000 + i, [0.25, 0.5], 0, 1, 2, 0.5, "x") for i in range(3)]
+    got = {}
+    for r in forest.search(frame(spark, rows), F.col("id") % 20 == 0, k=5).orderBy("query", "rank").collect():
+        got.setdefault(r.query, []).append((r.id, r.score))
+    assert got == plain(rows, 5, zeros=False)
+
+
 def test_forest_query_recall(spark):
     sf = "/root/testdata/sf0.01"
     rows = [tuple(r) for r in spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding").collect()]
