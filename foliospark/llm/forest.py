@@ -30,8 +30,9 @@ TREES, BITS = 16, 32
 #: Prefixes up to this depth are counted for all tasks, at most 2**(DEPTH + 1) counts a tree; deeper ones are counted in
 #: the slices, for the queries that need them.
 DEPTH = 14
-#: Strings that one slice of a tree holds, rows that one block holds, and queries that one part of its asks holds.
-SLICE, PIECE, PART = 1 << 17, 4_096, 2_048
+#: Strings that one slice of a tree holds, rows that one block holds, queries that one part of its asks holds, and rows
+#: of a block that are scored at a time.
+SLICE, PIECE, PART, CHUNK = 1 << 17, 1 << 16, 2_048, 4_096
 #: Queries whose true neighbours set the number of candidates, and the recall to reach among them.
 SAMPLE, RECALL = 128, 0.94
 SEED = 2024
@@ -276,20 +277,30 @@ def search(rows: DataFrame, is_query: Column, key: str = "vec_id", vector: str =
     asked = entries.where("asked")
     levelled = forest.levels(asked, _enough(forest, asked, dims, k, recall))
     levelled = saved(levelled)
+    chunk = CHUNK
     with_vectors = levelled.join(asked.select("vid", "v"), "vid")
 
     def tile(a: pa.Table, b: pa.Table) -> pa.Table:
-        b = b.combine_chunks()
-        q, m = matrix(a.column("v"), dims), matrix(b.column("row"), dims)
+        b = b.take(pa.array(np.argsort(_least(b.column("ids")), kind="stable"))).combine_chunks()
+        q, m = matrix(a.column("v"), dims).astype(np.float64), matrix(b.column("row"), dims)
         qc, mc = _stack(a.column("codes").combine_chunks()), _stack(b.column("strings").combine_chunks())
         shift = BITS - a.column("level").to_numpy().astype(np.int64)[:, None]
-        within = np.zeros((len(q), len(m)), bool)
-        for t in range(TREES):
-            within |= qc[:, t, None] >> shift == mc[None, :, t] >> shift
-        order = np.argsort(_least(b.column("ids")), kind="stable")
-        r, at, s = best((q.astype(np.float64) @ m.T.astype(np.float64))[:, order], np.arange(len(order)), k + 1, within[:, order])
-        at = pa.array(order[at], pa.int64())
-        return pa.table({"query": pa.array(a.column("vid").to_numpy()[r], pa.int64()), "id": pa.array(_least(b.column("ids"))[at], pa.int64()), "score": pa.array(s, pa.float64()), "ids": b.column("ids").take(at)})
+        none = np.zeros(0, np.int64)
+        r, at, s = none, none, np.zeros(0)
+        for first in range(0, len(m), chunk):
+            last = first + chunk
+            within = np.zeros((len(q), len(m[first:last])), bool)
+            for t in range(TREES):
+                within |= qc[:, t, None] >> shift == mc[None, first:last, t] >> shift
+            hit = np.flatnonzero(within.any(1))
+            x, y, z = best(q[hit] @ m[first:last].astype(np.float64).T, np.arange(within.shape[1]), k + 1, within[hit])
+            r, at, s = np.concatenate([r, hit[x]]), np.concatenate([at, y + first]), np.concatenate([s, z])
+            order = np.lexsort((at, -s, r))  # each query's k + 1 best so far
+            r, at, s = r[order], at[order], s[order]
+            kept = np.arange(len(r)) - np.searchsorted(r, r) <= k
+            r, at, s = r[kept], at[kept], s[kept]
+        ids = b.column("ids").take(pa.array(at, pa.int64()))
+        return pa.table({"query": pa.array(a.column("vid").to_numpy()[r], pa.int64()), "id": pa.array(_least(ids), pa.int64()), "score": pa.array(s, pa.float64()), "ids": ids})
 
     held = forest.entries.select("block", F.col("v").alias("row"), F.col("codes").alias("strings"), "ids")
     got = _meet(forest.blocks(levelled), held, ["block"], tile, "query long, id long, score double, ids array<long>", with_vectors)

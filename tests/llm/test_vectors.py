@@ -84,7 +84,7 @@ def test_forest_recall_and_scores(spark):
 
 @pytest.mark.parametrize("slice_", [7, 100_000])
 def test_forest_in_slices_and_below_counted_prefixes(spark, monkeypatch, slice_):
-    for name, value in {"SLICE": slice_, "PIECE": 32, "PART": 3, "DEPTH": 3}.items():
+    for name, value in {"SLICE": slice_, "PIECE": 32, "PART": 3, "DEPTH": 3, "CHUNK": 5}.items():
         monkeypatch.setattr(forest, name, value)
     r = random.Random(9)
     centres = [[r.gauss(0, 1) for _ in range(8)] for _ in range(12)]
