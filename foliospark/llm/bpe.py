@@ -6,8 +6,12 @@ least rank and looks up its two new pairs. The most frequent words of the corpus
 and told to the tasks; the distinct rarer ones are folded where they stand. Decoding looks up each id's bytes and
 concatenates them.
 
-Null text is empty: no ids. The fold of one word takes time with the square of its length. Repeated rows get equal
-results; rows are never dropped; other columns pass through whatever their names.
+A word of over 256 bytes is cut at piece boundaries found inside windows of 64, and folded between the cuts, in time with
+its length. Where the two pieces at a cut are not the encoding of their bytes, as in one letter repeated, the word is folded
+whole, all places of the least rank in a step.
+
+Null text is empty: no ids. Repeated rows get equal results; rows are never dropped; other columns pass through whatever
+their names.
 """
 
 from __future__ import annotations
@@ -26,6 +30,8 @@ from foliospark.llm._rows import fresh, most_frequent, stored
 
 #: So many of the most frequent words, of so many bytes at most, are folded once: under 100 MB with their ids.
 FREQUENT, LONGEST = 1 << 20, 40
+#: Bytes of a window; words of more than four are folded between cuts.
+WINDOW = 64
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -48,13 +54,16 @@ def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), 0)
 
 
-def fold(word: Column, table: Column) -> Column:
-    """The ids of a word's bytes (binary), as text with commas."""
+def fold(word: Column, table: Column, long: bool = True) -> Column:
+    """The ids of a word's bytes (binary), as text with commas. Without ``long``, in time with the square of its length."""
 
     def encode(ranks: Column) -> Column:
         def rank(piece: Column) -> Column:
             return lookup(ranks, F.crc32(piece).bitwiseAND(F.lit(BUCKETS - 1)), piece)
 
+        def done(state: Column) -> Column:  # no pair is left to join, so the steps that follow have nothing to look through
+            return F.struct(state["p"].alias("p"), F.filter(state["r"], lambda x: F.lit(False)).alias("r"))
+
         def step(state: Column, _) -> Column:
             p, r = state["p"], state["r"]
 
@@ -72,16 +81,87 @@ def fold(word: Column, table: Column) -> Column:
                 return _let(piece, joined)
 
             best = F.array_min(r)
-            return F.when(best.isNull(), state).otherwise(_let(F.array_position(r, best).cast("int"), merge))
+            return F.when(best.isNull(), done(state)).otherwise(_let(F.array_position(r, best).cast("int"), merge))
+
+        def turn(state: Column, n: Column) -> Column:
+            """Joins all places of the least rank from left to right, unless a pair that this makes on the way ranks lower."""
+            p, r = state["p"], state["r"]
+
+            def merge(best: Column) -> Column:
+                at = F.array_position(r, best).cast("int")
+                # a 1 for each place; of places that overlap the left one counts
+                marks = F.split(F.regexp_replace(F.array_join(F.transform(r, lambda x: F.when(x == best, "1").otherwise("0")), ""), "11", "10"), "")
+                both = F.struct(F.concat(F.get(p, at - 1), F.get(p, at)).alias("c"), marks.alias("m"))
+                return _let(both, lambda x: joined(best, x["c"], x["m"]))
+
+            def joined(best: Column, c: Column, m: Column) -> Column:
+                def piece(x: Column, i: Column) -> Column:
+                    old = F.struct(x.alias("p"), F.get(r, i).alias("r"), F.lit(False).alias("new"))
+                    new = F.struct(c.alias("p"), F.lit(None).cast("int").alias("r"), F.lit(True).alias("new"))
+                    return F.when(F.get(m, i) == "1", new).when(F.get(m, i - 1) == "1", F.lit(None)).otherwise(old)
+
+                def pairs(q: Column) -> Column:
+                    return F.transform(
+                        F.slice(q, 1, F.size(q) - 1),
+                        lambda x, i: F.when(x["new"] | F.get(q, i + 1)["new"], rank(F.concat(x["p"], F.get(q, i + 1)["p"]))).otherwise(x["r"]),
+                    )
+
+                def lower(i: Column) -> Column:  # while the place after next is still to be joined
+                    return (F.get(m, i) == "1") & (F.get(m, i + 2) == "1") & (rank(F.concat(c, F.get(p, i + 2))) < best)
+
+                between = F.exists(F.sequence(F.lit(0), F.size(r) - 1), lambda i: F.coalesce(lower(i), F.lit(False)))
+                q = F.filter(F.transform(p, piece), lambda x: x.isNotNull())
+                out = _let(q, lambda q: F.struct(F.transform(q, lambda x: x["p"]).alias("p"), pairs(q).alias("r")))
+                after = lambda s: F.exists(s["r"], lambda x: F.coalesce(x < best, F.lit(False)))
+                return _let(out, lambda s: F.when(between | after(s), step(state, n)).otherwise(s))
+
+            best = F.array_min(r)
+            return F.when(best.isNull(), done(state)).otherwise(_let(best, merge))
 
-        def folded(b: Column) -> Column:
+        def merged(b: Column, by=step) -> Column:
+            """The pieces of some bytes, by joining pairs until none has a rank."""
             n = F.length(b)
             letters = F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(b, i, F.lit(1)))
             pairs = F.transform(F.sequence(F.lit(1), n - 1), lambda i: rank(F.substring(b, i, F.lit(2))))
             start = F.struct(letters.alias("p"), pairs.alias("r"))
-            return F.aggregate(F.sequence(F.lit(1), n - 1), start, step, lambda s: F.array_join(F.transform(s["p"], lambda x: rank(x).cast("string")), ","))
+            folded = F.aggregate(F.sequence(F.lit(1), n - 1), start, by, lambda s: s["p"])
+            return F.when(n > 1, folded).otherwise(F.filter(F.array(b), lambda x: F.length(x) > 0))
+
+        def in_parts(b: Column) -> Column:
+            """The pieces of a word that may be long. It is encoded in windows, then between cuts at piece boundaries
+            inside them, then the two pieces at each cut: a row of pieces is a word's encoding when each neighbouring two
+            are the encoding of their bytes. If some are not, the word is folded whole. A short word is one part."""
+            n = F.length(b)
+            middle = lambda p: F.aggregate(F.slice(p, 1, F.floor(F.size(p) / 2).cast("int")), F.lit(0), lambda a, x: a + F.length(x))
+            ends = lambda parts, j: F.array(F.element_at(F.get(parts, j - 1), -1), F.get(F.get(parts, j), 0))
+
+            def seams(parts: Column, body) -> Column:
+                return F.when(F.size(parts) > 1, F.transform(F.sequence(F.lit(1), F.size(parts) - 1), body))
+
+            def between(cuts: Column) -> Column:
+                part = lambda j: F.substring(b, F.get(cuts, j - 1) + 1, F.get(cuts, j) - F.get(cuts, j - 1))
+                return F.filter(F.transform(F.sequence(F.lit(1), F.size(cuts) - 1), part), lambda x: F.length(x) > 0)
+
+            def phase(state: Column, k: Column) -> Column:
+                def after(coded: Column) -> Column:
+                    cuts = F.concat(F.array(F.lit(0)), F.transform(coded, lambda p, i: i * WINDOW + middle(p)), F.array(n))
+                    joined = seams(coded, lambda j: _let(ends(coded, j), lambda t: F.concat(F.get(t, 0), F.get(t, 1))))
+                    agree = F.forall(seams(state["parts"], lambda j: F.get(coded, j - 1) == ends(state["parts"], j)), lambda x: x)
+                    todo = F.when(k == 0, _let(cuts, between)).when(k == 1, joined)
+                    parts = F.when(k == 1, coded).when((k == 2) & F.coalesce(agree, F.lit(True)), state["parts"])
+                    return F.struct(todo.alias("todo"), parts.alias("parts"))
+
+                return _let(F.transform(state["todo"], lambda x: merged(x)), after)
+
+            short = n <= 4 * WINDOW
+            windows = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / WINDOW).cast("int")), lambda i: F.substring(b, i * WINDOW + 1, F.lit(WINDOW)))
+            start = F.struct(F.when(short, F.array(b)).otherwise(windows).alias("todo"), F.lit(None).cast("array<array<binary>>").alias("parts"))
+            phases = F.when(short, F.array(F.lit(1))).otherwise(F.array(F.lit(0), F.lit(1), F.lit(2)))
+            return F.aggregate(phases, start, phase, lambda s: F.when(s["parts"].isNull(), merged(b, turn)).otherwise(F.flatten(s["parts"])))
 
-        return _let(rank(word), lambda whole: F.when(whole.isNotNull() | (F.length(word) < 2), whole.cast("string")).otherwise(folded(word)))
+        pieces = in_parts(word) if long else merged(word)
+        text = F.array_join(F.transform(pieces, lambda x: rank(x).cast("string")), ",")
+        return _let(rank(word), lambda whole: F.when(whole.isNotNull() | (F.length(word) < 2), whole.cast("string")).otherwise(text))
 
     return _let(table, encode)
 
@@ -91,7 +171,7 @@ def frequent_words(docs: DataFrame, text: str, pattern: str, table: Column, most
     words = docs.select(F.explode(split_words(F.col(text), pattern)).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
     counted = stored(words.where((F.col("n") > 1) & (F.octet_length("word") <= LONGEST)))
     top = most_frequent(counted, "n", most).select("word").repartition(docs.sparkSession.sparkContext.defaultParallelism)
-    return top.select("word", fold(F.col("word").cast("binary"), table).alias("ids")).toArrow()
+    return top.select("word", fold(F.col("word").cast("binary"), table, long=False).alias("ids")).toArrow()
 
 
 def _cut(words: pa.Array, at: pa.Array, ids: pa.Array) -> pa.Array:

@@ -1,4 +1,6 @@
+import base64
 import hashlib
+import random
 
 import public_tokenizers
 import tiktoken
@@ -22,7 +24,7 @@ def check(table, **options):
 
 
 def test_odd_rows(spark):
-    table = docs(spark).where("length(text) < 1000 or text is null")
+    table = docs(spark)
     check(table)
     check(table, most=3)
 
@@ -32,6 +34,17 @@ def test_scripts_and_blanks(spark):
     check(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), most=4)
 
 
+def test_long_words(spark):
+    r = random.Random(7)
+    drawn = lambda letters, n: "".join(r.choices(letters, k=n))
+    lower = "abcdefghijklmnopqrstuvwxyz"
+    texts = [drawn(lower, n) for n in (255, 256, 257, 258, 320, 321, 1000, 30_000)]
+    texts += [drawn("ab", 3000), drawn("aeinrst", 5000), drawn("тест漢字かな交", 2000), drawn("=-", 3000), drawn("\u0301🙂‍👩é", 1500)]
+    texts += ["=" * 5000, "=" * 20_001, "a" * 3001, "ab" * 2000, "aab" * 1000, " " * 3000, "theand" * 700, "\n" * 2000, "x" * 300 + "y" * 300]
+    texts += [base64.b64encode(r.randbytes(4000)).decode(), r.randbytes(2000).hex(), "\ue000" * 1000]
+    check(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8), most=4)
+
+
 def test_query(spark):
     got = {r.doc_id: r for r in queries.op7_bpe(spark, SF, most=3000).collect()}
     for r in spark.read.parquet(f"{SF}/documents.parquet").collect():
