@@ -91,6 +91,13 @@ def stored(df: DataFrame) -> DataFrame:
     return out
 
 
+def scratch(spark: SparkSession, stem: str) -> str:
+    """A new name in the shared folder; what is put there goes when the Python process ends."""
+    path = f"{_shared_folder(spark)}/{stem}-{uuid.uuid4()}"
+    atexit.register(_remove, spark, path)
+    return path
+
+
 _tables: dict[int, str] = {}
 
 

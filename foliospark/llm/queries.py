@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm import bpe, counts, forest, jaccard, language, licenses, lines, packing, quality, topk
-from foliospark.llm._rows import key_crc
+from foliospark.llm import bpe, counts, forest, jaccard, language, licenses, lines, packing, quality, topk, warc
+from foliospark.llm._rows import key_crc, scratch
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -75,6 +75,13 @@ def op10_forest(spark: SparkSession, sf: str) -> DataFrame:
     return _pairs(forest.search(table(spark, sf, "embeddings"), F.col("id") % 20 == 0))
 
 
+def op13_warc(spark: SparkSession, sf: str) -> DataFrame:
+    folder = scratch(spark, "warc")
+    warc.write(table(spark, sf, "pages"), folder)
+    back = warc.read(spark, folder, payloads=False)
+    return back.select(F.col("key").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("to_key").cast("long").alias("refers_to"))
+
+
 _TOPK_SQL = """WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
  s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score FROM e q JOIN e c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0)
@@ -99,6 +106,11 @@ _LINES_SQL = r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) A
  SELECT d.doc_id, CAST(coalesce(g.n_lines, 0) AS INT) AS n_lines, CAST(coalesce(g.n_removed, 0) AS INT) AS n_removed, g.text FROM documents d LEFT JOIN (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed,
  coalesce(array_to_string(list(line ORDER BY place) FILTER (NOT gone), chr(10)), '') AS text FROM k GROUP BY doc_id) g USING (doc_id)"""
 
+_WARC_SQL = """WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS h, sha256(coalesce(html, '')) AS s FROM pages), m AS (SELECT *, max(page_id) OVER (PARTITION BY s) AS first FROM p)
+ SELECT page_id, n AS payload_bytes, array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(
+ ((CAST('0x' || substr(h, CAST(1 + 2 * (5 * i // 8) AS INT), 2) AS INT) * 256 + CAST('0x' || coalesce(nullif(substr(h, CAST(3 + 2 * (5 * i // 8) AS INT), 2), ''), '0') AS INT)) >> CAST(11 - 5 * i % 8 AS INT)) & 31 AS INT) + 1, 1)), '') AS payload_digest,
+ CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM m"""
+
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_packing": (op1_packing, None),
     "op2_jaccard": (op2_jaccard, _JACCARD_SQL),
@@ -110,6 +122,7 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op8_quality": (op8_quality, None),
     "op9_exact_topk": (op9_exact_topk, _TOPK_SQL),
     "op10_forest": (op10_forest, None),
+    "op13_warc": (op13_warc, _WARC_SQL),
 }
 
 
