@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm import bpe, counts, forest, jaccard, language, licenses, lines, packing, quality, topk, warc
+from foliospark.llm import bpe, counts, forest, jaccard, language, licenses, lines, packing, quality, spelling, topk, warc
 from foliospark.llm._rows import key_crc, scratch
 
 
@@ -75,6 +75,17 @@ def op10_forest(spark: SparkSession, sf: str) -> DataFrame:
     return _pairs(forest.search(table(spark, sf, "embeddings"), F.col("id") % 20 == 0))
 
 
+def op12_spelling(spark: SparkSession, sf: str) -> DataFrame:
+    """Words of six letters or more that occur five times, after the contract's deletions."""
+    word = F.col("word")
+    found = table(spark, sf, "documents").select("doc_id", F.explode(spelling.runs(F.col("text"), 6)).alias("word"))
+    hashed = F.crc32(F.concat(F.col("doc_id").cast("string"), F.lit(":"), word).cast("binary"))
+    at = (hashed % F.char_length(word)).cast("int")
+    cut = F.concat(F.substring(word, F.lit(1), at), F.substring(word, at + 2, F.char_length(word)))
+    words = found.select(F.when(hashed % 199 == 0, cut).otherwise(word).alias("word")).where(F.char_length("word") >= 6)
+    return spelling.variants(words.groupBy("word").agg(F.count("*").alias("n")).where("n >= 5"))
+
+
 def op13_warc(spark: SparkSession, sf: str) -> DataFrame:
     folder = scratch(spark, "warc")
     warc.write(table(spark, sf, "pages"), folder)
@@ -106,6 +117,31 @@ _LINES_SQL = r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) A
  SELECT d.doc_id, CAST(coalesce(g.n_lines, 0) AS INT) AS n_lines, CAST(coalesce(g.n_removed, 0) AS INT) AS n_removed, g.text FROM documents d LEFT JOIN (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed,
  coalesce(array_to_string(list(line ORDER BY place) FILTER (NOT gone), chr(10)), '') AS text FROM k GROUP BY doc_id) g USING (doc_id)"""
 
+
+def _crc_step(value: int) -> int:
+    for _ in range(8):
+        value = value >> 1 ^ (0xEDB88320 if value & 1 else 0)
+    return value
+
+
+def _crc_sql(text: str) -> str:
+    """crc32 of a text of code points to U+00FF in UTF-8."""
+    units = f"flatten(list_transform(string_split({text}, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)] WHEN unicode(c) < 192 THEN [194, unicode(c)] ELSE [195, unicode(c) - 64] END))"
+    steps = ",".join(str(_crc_step(i)) for i in range(256))
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {units}::BIGINT[]), lambda c, b: xor(c >> 8, ([{steps}]::BIGINT[])[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
+_SPELLING_SQL = f"""WITH RECURSIVE r AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) AS w FROM documents),
+ c AS (SELECT w, doc_id, count(*) AS n FROM r WHERE length(w) >= 6 GROUP BY ALL),
+ h AS (SELECT w, n, {_crc_sql("doc_id || ':' || w")} AS h FROM c),
+ v AS (SELECT * FROM (SELECT CASE WHEN h % 199 = 0 THEN substr(w, 1, CAST(h % length(w) AS INT)) || substr(w, CAST(h % length(w) AS INT) + 2) ELSE w END AS word, CAST(sum(n) AS BIGINT) AS n FROM h GROUP BY 1) WHERE length(word) >= 6 AND n >= 5),
+ d AS (SELECT word, i, substr(word, 1, CAST(i AS INT)) || substr(word, CAST(i AS INT) + 2) AS cut FROM (SELECT word, unnest(range(length(word))) AS i FROM v)),
+ p AS (SELECT a.word, b.word AS near FROM d a JOIN d b ON a.cut = b.cut AND a.i = b.i AND a.word <> b.word UNION SELECT d.word, v.word FROM d JOIN v ON d.cut = v.word UNION SELECT v.word, d.word FROM d JOIN v ON d.cut = v.word),
+ f AS (SELECT p.word, count(*) AS n_near, first(p.near ORDER BY v.n DESC, p.near) AS near, max(v.n) AS near_n FROM p JOIN v ON p.near = v.word GROUP BY 1),
+ t AS (SELECT v.word, v.n, coalesce(f.n_near, 0) AS n_near, CASE WHEN f.near_n >= 5 * v.n THEN f.near END AS form, CASE WHEN f.near_n >= 5 * v.n THEN f.near_n END AS form_n FROM v LEFT JOIN f USING (word)),
+ e AS (SELECT word, word AS root FROM t UNION ALL SELECT e.word, t.form FROM e JOIN t ON e.root = t.word WHERE t.form IS NOT NULL)
+ SELECT t.word, t.form, e.root, t.n, t.n_near, t.form_n FROM t JOIN e ON e.word = t.word JOIN t l ON l.word = e.root WHERE l.form IS NULL"""
+
 _WARC_SQL = """WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS h, sha256(coalesce(html, '')) AS s FROM pages), m AS (SELECT *, max(page_id) OVER (PARTITION BY s) AS first FROM p)
  SELECT page_id, n AS payload_bytes, array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(
  ((CAST('0x' || substr(h, CAST(1 + 2 * (5 * i // 8) AS INT), 2) AS INT) * 256 + CAST('0x' || coalesce(nullif(substr(h, CAST(3 + 2 * (5 * i // 8) AS INT), 2), ''), '0') AS INT)) >> CAST(11 - 5 * i % 8 AS INT)) & 31 AS INT) + 1, 1)), '') AS payload_digest,
@@ -122,6 +158,7 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op8_quality": (op8_quality, None),
     "op9_exact_topk": (op9_exact_topk, _TOPK_SQL),
     "op10_forest": (op10_forest, None),
+    "op12_spelling": (op12_spelling, _SPELLING_SQL),
     "op13_warc": (op13_warc, _WARC_SQL),
 }
 
