@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm import bpe, counts, forest, jaccard, language, licenses, lines, packing, quality, spelling, topk, warc
+from foliospark.llm import bpe, counts, forest, jaccard, language, licenses, lines, packing, periods, quality, spelling, topk, warc
 from foliospark.llm._rows import key_crc, scratch
 
 
@@ -75,6 +75,27 @@ def op10_forest(spark: SparkSession, sf: str) -> DataFrame:
     return _pairs(forest.search(table(spark, sf, "embeddings"), F.col("id") % 20 == 0))
 
 
+def _repeating(text: Column, hashed: Column) -> Column:
+    """The words of a text, from one of them on, as repetitions of the first of those, as the contract plants them."""
+    words = F.array_remove(F.split(text, r"[ \x09-\x0D]+"), "")
+    n, g = F.size(words), F.floor(hashed / 10)
+    a = (g % n).cast("int")
+    p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+    turns = F.flatten(F.array_repeat(F.slice(words, a + 1, p), F.ceil((n - a) / p).cast("int")))
+    planted = F.concat(F.slice(words, F.lit(1), a), F.slice(turns, F.lit(1), n - a))
+    return F.when((hashed % 10 == 0) & (n > 0), F.array_join(planted, " ")).otherwise(text)
+
+
+def op11_periods(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", _repeating(F.col("text"), key_crc(F.col("doc_id"))).alias("text"))
+    runs, best = F.col("runs"), F.col("best")
+    lines = F.transform(runs, lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n")))
+    return periods.with_runs(docs).withColumn("best", periods.greatest(runs)).select(
+        "doc_id", F.size(runs).cast("long").alias("n_runs"), "best.*", F.floor(best["length"] * 1000 / best["period"]).alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def op12_spelling(spark: SparkSession, sf: str) -> DataFrame:
     """Words of six letters or more that occur five times, after the contract's deletions."""
     word = F.col("word")
@@ -131,6 +152,33 @@ def _crc_sql(text: str) -> str:
     return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {units}::BIGINT[]), lambda c, b: xor(c >> 8, ([{steps}]::BIGINT[])[(xor(c, b) & 255) + 1])), 4294967295)"
 
 
+def _levels_sql(last: int) -> str:
+    """Hashes of 2**m words from each place, and where the next equal ones stand: at the period of a run that begins there,
+    if the period is over half of 2**m and no more than that."""
+    out = ["h0 AS (SELECT doc_id, i, hash(w) AS h FROM t)"]
+    for m in range(last + 1):
+        out.append(f"c{m} AS (SELECT DISTINCT doc_id, q FROM (SELECT doc_id, lead(i) OVER (PARTITION BY doc_id, h ORDER BY i) - i AS q FROM h{m}) WHERE 2 * q > {1 << m} AND q <= {1 << m})")
+        both = f"SELECT doc_id, i, h, lead(h, {1 << m}) OVER (PARTITION BY doc_id ORDER BY i) AS next FROM h{m}"
+        out.append(f"h{m + 1} AS (SELECT doc_id, i, hash(h, next) AS h FROM ({both}) WHERE next IS NOT NULL)")
+    return ",\n ".join(out)
+
+
+_PERIODS_SQL = rf"""WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, {_crc_sql("CAST(doc_id AS VARCHAR)")} AS h FROM documents),
+ g AS (SELECT doc_id, w, h % 10 = 0 AND len(w) > 0 AS planted, (h // 10) % greatest(len(w), 1) AS a, 1 + (len(w) - (h // 10) % greatest(len(w), 1)) // (3 + (h // 10) % 8) AS p FROM d),
+ t AS MATERIALIZED (SELECT doc_id, i, CASE WHEN planted AND i >= a THEN w[a + (i - a) % p + 1] ELSE w[i + 1] END AS w FROM (SELECT *, unnest(range(len(w))) AS i FROM g)),
+ {_levels_sql(14)},
+ q AS ({" UNION ".join(f"SELECT * FROM c{m}" for m in range(15))}),
+ e AS (SELECT q.doc_id, q.q, x.i, x.i - row_number() OVER (PARTITION BY q.doc_id, q.q ORDER BY x.i) AS isle FROM q JOIN t x ON x.doc_id = q.doc_id JOIN t y ON y.doc_id = q.doc_id AND y.i = x.i + q.q AND x.w = y.w),
+ s AS (SELECT doc_id, q AS period, min(i) AS start, count(*) + q AS length FROM e GROUP BY doc_id, q, isle),
+ l AS MATERIALIZED (SELECT * FROM s WHERE length >= greatest(24, 3 * period)),
+ r AS MATERIALIZED (SELECT * FROM l WHERE NOT EXISTS (SELECT 1 FROM l x WHERE x.doc_id = l.doc_id AND x.period < l.period AND x.start <= l.start AND x.start + x.length >= l.start + l.length)),
+ f AS (SELECT doc_id, count(*) AS n, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines FROM r GROUP BY 1),
+ b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY CAST(length AS DOUBLE) / period DESC, start, period) AS k FROM r) WHERE k = 1),
+ o AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM r),
+ k AS (SELECT doc_id, string_agg(w, ' ' ORDER BY i) AS kept FROM t ANTI JOIN o USING (doc_id, i) GROUP BY 1)
+ SELECT d.doc_id, coalesce(f.n, 0) AS n_runs, b.start, b.length, b.period, 1000 * b.length // b.period AS exponent_milli, sha256(coalesce(f.lines, '')) AS runs_sha256, sha256(coalesce(k.kept, '')) AS collapsed_sha256
+ FROM d LEFT JOIN f USING (doc_id) LEFT JOIN b USING (doc_id) LEFT JOIN k USING (doc_id)"""
+
 _SPELLING_SQL = f"""WITH RECURSIVE r AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) AS w FROM documents),
  c AS (SELECT w, doc_id, count(*) AS n FROM r WHERE length(w) >= 6 GROUP BY ALL),
  h AS (SELECT w, n, {_crc_sql("doc_id || ':' || w")} AS h FROM c),
@@ -158,6 +206,7 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op8_quality": (op8_quality, None),
     "op9_exact_topk": (op9_exact_topk, _TOPK_SQL),
     "op10_forest": (op10_forest, None),
+    "op11_periods": (op11_periods, _PERIODS_SQL),
     "op12_spelling": (op12_spelling, _SPELLING_SQL),
     "op13_warc": (op13_warc, _WARC_SQL),
 }
