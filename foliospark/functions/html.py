@@ -1,103 +1,224 @@
 """A tolerant page tree on the standard tokenizer, with the few selectors the extractors need.
 
 The tree has no implied end tags: an unclosed paragraph contains what follows it, and an end tag closes up to
-its nearest open match. Nodes remember where their inner markup lies in the source.
+its nearest open match. Elements remember where their inner markup lies in the source.
+
+Elements are numbered in document order, so what an element contains is an interval of numbers; text nodes stand in one
+flat list, and an element's text is an interval of that. Selectors keep the numbers that match and look intervals up by
+bisection. Building a page and any number of look-ups are linear in the page, however deep it nests; only text that is
+asked for more than once, as that of nested paragraphs, is copied more than once.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+from collections import defaultdict
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Strings inside these belong to the tag itself, not to its parents' text.
+#: Strings inside these belong to the tag itself, not to its parents' text: each has a list of its own.
 OPAQUE = frozenset(("script", "style", "template"))
 
 
+class Page:
+    """The columns of a page's elements; element 0 is the page. ``last`` is the number after an element's last descendant.
+    ``shade`` names the list of strings that the element's text is in, the page's or that of the nearest opaque element;
+    ``lo`` and ``hi`` are its interval there, ``at`` where it begins in its parent's list. A line break is None in the list."""
+
+    __slots__ = ("tags", "attrs", "parent", "last", "begin", "end", "shade", "at", "lo", "hi", "strings", "_tags", "_classes", "_found", "_clean", "_texts")
+
+    def __init__(self):
+        self.tags, self.attrs, self.parent, self.last, self.begin, self.end = [""], [{}], [-1], [1], [0], [0]
+        self.shade, self.at, self.lo, self.hi = [0], [0], [0], [0]
+        self.strings: dict[int, list[str | None]] = {0: []}
+        self._tags: dict[str, list[int]] | None = None
+        self._classes: dict[str, list[int]] = {}
+        self._found: dict[tuple, list[int]] = {}
+        self._clean: dict[int, tuple[list[str], list[int]]] = {}
+        self._texts: dict[tuple[int, str], str] = {}
+
+    def matches(self, tag: str = "", cls: str = "", attr: tuple[str, str] | None = None) -> list[int]:
+        """Numbers of the elements with this tag, class and attribute, in order."""
+        if self._tags is None:
+            self._tags, self._classes = defaultdict(list), defaultdict(list)
+            for k in range(1, len(self.tags)):
+                self._tags[self.tags[k]].append(k)
+                for c in dict.fromkeys(self.attrs[k].get("class", "").split()):
+                    self._classes[c].append(k)
+        key = tag, cls, attr
+        if key not in self._found:
+            some = self._classes.get(cls, []) if cls else self._tags.get(tag, []) if tag else range(1, len(self.tags))
+            self._found[key] = [k for k in some if (not tag or self.tags[k] == tag) and (attr is None or self.attrs[k].get(attr[0]) == attr[1])]
+        return self._found[key]
+
+    def below(self, k: int, **selector) -> list[int]:
+        """Those of the matches that ``k`` contains."""
+        found = self.matches(**selector)
+        return found[bisect_right(found, k) : bisect_left(found, self.last[k])]
+
+    def clean(self, shade: int) -> tuple[list[str], list[int]]:
+        """The stripped non-empty strings of a list, and how many of them stand before each place of it."""
+        if shade not in self._clean:
+            self._clean[shade] = _stripped(self.strings[shade])
+        return self._clean[shade]
+
+    def text(self, k: int, sep: str = "") -> str:
+        if (k, sep) not in self._texts:
+            kept, place = self.clean(self.shade[k])
+            self._texts[k, sep] = sep.join(kept[place[self.lo[k]] : place[self.hi[k]]])
+        return self._texts[k, sep]
+
+    def gone(self, k: int, tags: frozenset[str]) -> list[tuple[int, int]]:
+        """Intervals of the elements that ``k`` loses with all elements of some tags."""
+        out, c = [], k + 1
+        while c < self.last[k]:
+            if self.tags[c] in tags:
+                out.append((c, self.last[c]))
+                c = self.last[c]
+            else:
+                c += 1
+        return out
+
+    def paragraphs(self, k: int, without: frozenset[str], sep: str = "", nested: bool = True) -> list[str]:
+        """Texts of the paragraphs in ``k``, elements of some tags left out. A nested paragraph is part of those around it
+        too, or with ``nested=False`` only itself."""
+        gone: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        inside, at = [], k + 1
+        for c, end in [*self.gone(k, without), (self.last[k], 0)]:
+            inside += [p for p in range(at, c) if self.tags[p] == "p"]
+            at = end
+            if end and self.shade[c] != c:
+                gone[self.shade[c]].append((self.lo[c], self.hi[c]))
+        lists: dict[int, tuple[list[str], list[int]]] = {}
+        for shade in {self.shade[c] for c in inside}:
+            strings = self.strings[shade]
+            if gone[shade]:
+                strings = strings.copy()
+                for lo, hi in gone[shade]:
+                    strings[lo:hi] = [None] * (hi - lo)
+            lists[shade] = _stripped(strings)
+        holes: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        if not nested:
+            around: list[int] = []
+            for c in inside:
+                while around and self.last[around[-1]] <= c:
+                    around.pop()
+                if around and self.shade[around[-1]] == self.shade[c]:
+                    holes[around[-1]].append((self.lo[c], self.hi[c]))
+                around.append(c)
+        out = []
+        for c in inside:
+            kept, place = lists[self.shade[c]]
+            if c not in holes:
+                out.append(sep.join(kept[place[self.lo[c]] : place[self.hi[c]]]))
+                continue
+            parts, at = [], self.lo[c]
+            for lo, hi in [*holes[c], (self.hi[c], 0)]:
+                parts += kept[place[at] : place[lo]]
+                at = hi
+            out.append(sep.join(parts))
+        return out
+
+
+def _stripped(strings: list[str | None]) -> tuple[list[str], list[int]]:
+    kept: list[str] = []
+    place = [0]
+    for s in strings:
+        if s is not None and (s := s.strip()):
+            kept.append(s)
+        place.append(len(kept))
+    return kept, place
+
+
 class Node:
-    __slots__ = ("tag", "attrs", "children", "parent", "begin", "end")
+    """An element of a page."""
+
+    __slots__ = ("page", "k")
+
+    def __init__(self, page: Page, k: int):
+        self.page, self.k = page, k
+
+    @property
+    def tag(self) -> str:
+        return self.page.tags[self.k]
+
+    @property
+    def attrs(self) -> dict[str, str]:
+        return self.page.attrs[self.k]
 
-    def __init__(self, tag: str, attrs: dict[str, str], parent: Node | None, begin: int = 0):
-        self.tag, self.attrs, self.parent = tag, attrs, parent
-        self.children: list[Node | str] = []
-        self.begin = self.end = begin
+    @property
+    def inner(self) -> slice:
+        """Where the inner markup lies in the source."""
+        return slice(self.page.begin[self.k], self.page.end[self.k])
 
     def walk(self) -> Iterator[Node]:
-        """Descendant elements in document order, without recursion."""
-        stack = [iter(self.children)]
-        while stack:
-            child = next(stack[-1], None)
-            if child is None:
-                stack.pop()
-            elif isinstance(child, Node):
-                yield child
-                stack.append(iter(child.children))
-
-    def strings(self) -> Iterator[str]:
-        """Text nodes below, those of scripts and styles left out unless this is one."""
-        stack = [iter(self.children)]
-        while stack:
-            child = next(stack[-1], None)
-            if child is None:
-                stack.pop()
-            elif isinstance(child, str):
-                yield child
-            elif child.tag not in OPAQUE:
-                stack.append(iter(child.children))
+        """Descendant elements in document order."""
+        return (Node(self.page, k) for k in range(self.k + 1, self.page.last[self.k]))
+
+    def children(self) -> Iterator[Node | str]:
+        """Elements and text nodes directly below."""
+        p, k = self.page, self.k
+        strings, at, c = p.strings[p.shade[k]], p.lo[k], k + 1
+        while c < p.last[k]:
+            yield from strings[at : p.at[c]]
+            yield Node(p, c)
+            at = p.hi[c] if p.shade[c] == p.shade[k] else p.at[c]
+            c = p.last[c]
+        yield from strings[at : p.hi[k]]
+
+    def strings(self) -> list[str]:
+        """Stripped non-empty text nodes below, those of scripts and styles left out unless this is one."""
+        p, k = self.page, self.k
+        kept, place = p.clean(p.shade[k])
+        return kept[place[p.lo[k]] : place[p.hi[k]]]
 
     def text(self, sep: str = "") -> str:
-        """Stripped non-empty text nodes, joined."""
-        return sep.join(s for s in map(str.strip, self.strings()) if s)
+        """``strings``, joined."""
+        return self.page.text(self.k, sep)
 
-    def lines(self) -> list[str]:
-        """Text between line breaks, the text nodes of a line joined by a blank; scripts and styles left out."""
+    def lines(self, after: Node | None = None) -> list[str]:
+        """Text between line breaks, the text nodes of a line joined by a blank; scripts and styles left out. Optionally
+        only what stands after a child."""
+        p, k = self.page, self.k
+        at = p.lo[k] if after is None else p.hi[after.k]
         out: list[list[str]] = [[]]
-        stack = [iter(self.children)]
-        while stack:
-            child = next(stack[-1], None)
-            if child is None:
-                stack.pop()
-            elif isinstance(child, str):
-                out[-1].append(child)
-            elif child.tag == "br":
+        for s in p.strings[p.shade[k]][at : p.hi[k]]:
+            if s is None:
                 out.append([])
-            elif child.tag not in OPAQUE:
-                stack.append(iter(child.children))
+            else:
+                out[-1].append(s)
         return [" ".join(line) for line in out]
 
-    def has(self, tag: str = "", cls: str = "", attr: tuple[str, str] | None = None) -> bool:
-        return (
-            (not tag or self.tag == tag)
-            and (not cls or cls in self.attrs.get("class", "").split())
-            and (attr is None or self.attrs.get(attr[0]) == attr[1])
-        )
-
-    def all(self, tag: str = "", cls: str = "", attr: tuple[str, str] | None = None) -> Iterator[Node]:
-        return (n for n in self.walk() if n.has(tag, cls, attr))
+    def all(self, tag: str = "", cls: str = "", attr: tuple[str, str] | None = None) -> list[Node]:
+        return [Node(self.page, k) for k in self.page.below(self.k, tag=tag, cls=cls, attr=attr)]
 
     def first(self, tag: str = "", cls: str = "", attr: tuple[str, str] | None = None) -> Node | None:
-        return next(self.all(tag, cls, attr), None)
+        found = self.page.matches(tag, cls, attr)
+        i = bisect_right(found, self.k)
+        return Node(self.page, found[i]) if i < len(found) and found[i] < self.page.last[self.k] else None
 
     def within(self, outer: dict, inner: dict) -> Node | None:
         """The first match of ``inner`` that has an ancestor matching ``outer``."""
-        for n in self.all(**inner):
-            up = n.parent
-            while up is not None:
-                if up.has(**outer):
-                    return n
-                up = up.parent
+        around, i, reach = self.page.matches(**outer), 0, 0
+        for k in self.page.below(self.k, **inner):
+            while i < len(around) and around[i] < k:
+                reach = max(reach, self.page.last[around[i]])
+                i += 1
+            if reach > k:
+                return Node(self.page, k)
         return None
 
-    def drop(self, tags: frozenset[str]) -> None:
-        """Remove descendants with these tags."""
-        for n in [self, *self.walk()]:
-            n.children = [c for c in n.children if isinstance(c, str) or c.tag not in tags]
+
+class Found(Exception):
+    """Enough of the page has been read."""
 
 
 class _Builder(HTMLParser):
-    def __init__(self, source: str):
+    def __init__(self, source: str, until: str | None):
         super().__init__(convert_charrefs=True)
-        self.root = self.top = Node("", {}, None)
+        self.page, self.open, self.until = Page(), [0], until
+        self.depth: dict[str, int] = defaultdict(int)
         self.starts = [0]
         for line in source.split("\n"):
             self.starts.append(self.starts[-1] + len(line) + 1)
@@ -108,12 +229,27 @@ class _Builder(HTMLParser):
 
     def handle_starttag(self, tag, attrs):
         values: dict[str, str] = {}
-        for k, v in attrs:
-            values[k] = v or ""
-        node = Node(tag, values, self.top, self.here() + len(self.get_starttag_text() or ""))
-        self.top.children.append(node)
+        for name, v in attrs:
+            values[name] = v or ""
+        p, k, shade = self.page, len(self.page.tags), self.page.shade[self.open[-1]]
+        begin = self.here() + len(self.get_starttag_text() or "")
+        p.tags.append(tag)
+        p.attrs.append(values)
+        p.parent.append(self.open[-1])
+        p.last.append(k + 1)
+        p.begin.append(begin)
+        p.end.append(begin)
+        p.at.append(len(p.strings[shade]))
+        if tag in OPAQUE:
+            shade, p.strings[k] = k, []
+        if tag == "br":
+            p.strings[shade].append(None)
+        p.shade.append(shade)
+        p.lo.append(len(p.strings[shade]))
+        p.hi.append(len(p.strings[shade]))
         if tag not in VOID:
-            self.top = node
+            self.open.append(k)
+            self.depth[tag] += 1
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -121,14 +257,18 @@ class _Builder(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag):
-        node = self.top
-        while node is not self.root and node.tag != tag:
-            node = node.parent
-        if node is not self.root:
-            at, inner = self.here(), self.top
-            while inner is not node.parent:
-                inner.end, inner = max(at, inner.begin), inner.parent
-            self.top = node.parent
+        if self.depth[tag]:
+            at = self.here()
+            while self._close(at) != tag:
+                pass
+            if tag == self.until:
+                raise Found
+
+    def _close(self, at: int) -> str:
+        p, k = self.page, self.open.pop()
+        p.last[k], p.hi[k], p.end[k] = len(p.tags), len(p.strings[p.shade[k]]), max(at, p.begin[k])
+        self.depth[p.tags[k]] -= 1
+        return p.tags[k]
 
     def parse_marked_section(self, i, report=1):
         """Sections other than the known ones are comments, as browsers read them."""
@@ -138,15 +278,19 @@ class _Builder(HTMLParser):
             return self.parse_bogus_comment(i, report)
 
     def handle_data(self, data):
-        self.top.children.append(data)
+        p = self.page
+        p.strings[p.shade[self.open[-1]]].append(data)
 
 
-def parse(source: str | None) -> Node:
+def parse(source: str | None, until: str | None = None) -> Node:
+    """The tree of a page, or of its beginning to where the first element with the tag ``until`` ends."""
     source = source or ""
-    builder = _Builder(source)
-    builder.feed(source)
-    builder.close()
-    node = builder.top
-    while node is not builder.root:
-        node.end, node = len(source), node.parent
-    return builder.root
+    builder = _Builder(source, until)
+    try:
+        builder.feed(source)
+        builder.close()
+    except Found:
+        pass
+    while builder.open:
+        builder._close(len(source))
+    return Node(builder.page, 0)

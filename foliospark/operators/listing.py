@@ -1,18 +1,20 @@
-"""Listing pages to metadata rows."""
+"""Listing pages to metadata rows. Few large files of pages are dealt out before they are parsed."""
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliospark.functions import dates, text
-from foliospark.operators.pages import listing_rows
+from foliospark.operators.deal import dealt
+from foliospark.operators.pages import SECONDS, listing_rows
 
 
-def documents(pages: DataFrame, site: str, html: str = "html", page: str = "page") -> DataFrame:
+def documents(pages: DataFrame, site: str, html: str = "html", page: str = "page", nested: bool = True, seconds: float | None = SECONDS) -> DataFrame:
     """Rows of document listing pages. ``page`` is the 1-based page number. A page without markup gives no rows.
 
-    An enclosing layout row repeats its first entry, as every ``div.row`` counts.
+    An enclosing layout row repeats its first entry, as every ``div.row`` counts; with ``nested=False`` it gives none.
     """
-    p = pages.where(F.col(html).isNotNull()).select(F.col(page).cast("int").alias("Page"), F.explode(listing_rows(F.col(html), site)).alias("r"))
+    some = dealt(pages.where(F.col(html).isNotNull()).select(F.col(page).cast("int").alias("Page"), F.col(html).alias("html")))
+    p = some.select("Page", F.explode(listing_rows(F.col("html"), site, nested, seconds)).alias("r"))
     r = F.col("r")
     date = F.when(r.has_date, F.when(F.coalesce(r.date_content, F.lit("")) != "", dates.format_date(r.date_content)).otherwise(r.date_text))
     return p.where(r.has_main & r.has_title).select(
@@ -26,9 +28,10 @@ def documents(pages: DataFrame, site: str, html: str = "html", page: str = "page
     )
 
 
-def debates(pages: DataFrame, site: str, html: str = "html") -> DataFrame:
+def debates(pages: DataFrame, site: str, html: str = "html", nested: bool = True, seconds: float | None = SECONDS) -> DataFrame:
     """Rows of debate listing pages; both columns are needed and absent values are ''."""
-    p = pages.where(F.col(html).isNotNull()).select(F.explode(listing_rows(F.col(html), site)).alias("r"))
+    some = dealt(pages.where(F.col(html).isNotNull()).select(F.col(html).alias("html")))
+    p = some.select(F.explode(listing_rows(F.col("html"), site, nested, seconds)).alias("r"))
     r = F.col("r")
     none = F.lit("")
     related = (r.label == "Related") & r.has_related

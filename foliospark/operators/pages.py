@@ -1,10 +1,12 @@
 """The page parsers: one Arrow-batched function per kind of page, giving raw strings and arrays only.
 
-Each is marked nondeterministic so that filters on its output stay above it and it runs once per row.
+Each is marked nondeterministic so that filters on its output stay above it and it runs once per row. A page that cannot be
+read at all, or not within ``seconds``, fails alone.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
 from urllib.parse import urljoin
 
 import pandas as pd
@@ -12,19 +14,21 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from foliospark.functions import text
-from foliospark.functions.html import OPAQUE, Node, parse
+from foliospark.functions.deadline import Deadline
+from foliospark.functions.html import OPAQUE, Node, Page, parse
 
 _DATE = ("property", "dc:date")
 BOILERPLATE = frozenset("script style nav header footer".split())
+#: A page that takes longer is given up; None waits for ever.
+SECONDS = 60.0
 
 LISTING = (
     "array<struct<has_main:boolean,has_side:boolean,has_title:boolean,has_date:boolean,date_content:string,date_text:string,heading:string,"
     "title_text:string,block_text:string,has_link:boolean,href:string,label:string,has_related:boolean,related_text:string,related_href:string,"
     "link:string,related_link:string>>"
 )
-DETAIL = (
-    "struct<title:string,date:string,speaker:string,speaker_title:string,has_content:boolean,paragraphs:array<string>,video:boolean,failed:boolean>"
-)
+#: What can be asked of a document page, and what always comes with it.
+DETAIL = {"title": "string", "date": "string", "speaker": "string", "speaker_title": "string", "paragraphs": "array<string>", "video": "boolean"}
 DEBATE = "struct<title:string,date:string,has_content:boolean,inner_html:string,labels:array<struct<label:string,bold:string,lines:array<string>,rest:array<string>>>,strings:array<string>,blocks:array<string>,failed:boolean>"
 PAGING = "struct<last_href:string,hrefs:array<string>,document_rows:int>"
 
@@ -51,29 +55,38 @@ def _listing_row(row: Node, site: str) -> dict:
     }
 
 
-def _tree(page: str | None) -> Node:
-    """The page's tree; a page that cannot be read at all is an empty one, so that it costs no other page."""
-    try:
-        return parse(page)
-    except Exception:  # noqa: BLE001
-        return Node("", {}, None)
+def _each(pages: pd.Series, one: Callable, seconds: float | None, failed: Callable) -> list:
+    """``one`` of every page, ``failed()`` for those that it cannot do in time."""
+    out = []
+    with Deadline(seconds) as limit:
+        for page in pages:
+            try:
+                with limit.turn():
+                    done = one(page)
+            except Exception:  # noqa: BLE001  costs no other page
+                done = failed()
+            out.append(done)
+    return out
+
 
+def listing_rows(html: Column, site: str, nested: bool = True, seconds: float | None = SECONDS) -> Column:
+    """Every ``div.row`` of a page in order; a row that fails to parse is left out. ``nested=False`` leaves out rows that
+    contain rows."""
 
-def listing_rows(html: Column, site: str) -> Column:
-    """Every ``div.row`` of a page in order, nested ones too; a row that fails to parse is left out."""
+    def one(page):
+        out = []
+        for row in parse(page).all("div", "row"):
+            if not nested and row.first("div", "row"):
+                continue
+            try:
+                out.append(_listing_row(row, site))
+            except ValueError:  # an address that cannot be joined must not lose the page
+                continue
+        return out
 
     @F.pandas_udf(LISTING)
     def rows(pages: pd.Series) -> pd.Series:
-        def one(page):
-            out = []
-            for row in _tree(page).all("div", "row"):
-                try:
-                    out.append(_listing_row(row, site))
-                except Exception:  # noqa: BLE001  one malformed row must not lose the page
-                    continue
-            return out
-
-        return pages.map(one)
+        return pd.Series(_each(pages, one, seconds, list), dtype=object)
 
     return rows.asNondeterministic()(html)
 
@@ -82,27 +95,31 @@ def _first(root: Node, *choices) -> Node | None:
     return next((n for n in (c(root) for c in choices) if n is not None), None)
 
 
-def _detail(page: str | None, container: dict, inline_sep: str) -> dict:
-    root = parse(page)
-    title = _first(root, lambda r: r.within({"cls": "field-ds-doc-title"}, {"tag": "h1"}), lambda r: r.first("h1"))
+def _date(root: Node) -> str | None:
     date = _first(
         root,
         lambda r: r.first("span", attr=_DATE),
         lambda r: r.within({"cls": "field-docs-start-date-time"}, {"tag": "span"}),
         lambda r: r.first(cls="date-display-single"),
     )
-    speaker = _first(root, *(lambda r, o=o: r.within(o, {"tag": "a"}) for o in ({"cls": "field-title"}, {"cls": "diet-title"}, {"tag": "h3"})))
-    byline = _first(root, lambda r: r.first(cls="diet-by-line"), lambda r: r.first(cls="field-resuable-byline"))
-    video = any(x in n.attrs.get("src", "") for n in root.all("iframe") for x in ("youtube", "vimeo")) or root.first(cls="embedded-video") is not None
-    content = root.first(**container)
-    paragraphs = None
-    if content is not None:
-        content.drop(BOILERPLATE)
-        paragraphs = [p.text(inline_sep) for p in content.all("p")]
-    return {
-        "title": _text(title), "date": date and (date.attrs.get("content") or date.text()), "speaker": _text(speaker), "speaker_title": _text(byline),
-        "has_content": content is not None, "paragraphs": paragraphs, "video": video, "failed": False,
-    }
+    return date and (date.attrs.get("content") or date.text())
+
+
+def _video(root: Node, content: Node | None) -> bool:
+    """A player anywhere but in what is left out of the content."""
+    gone = content.page.gone(content.k, BOILERPLATE) if content else []
+    players = [*(n for n in root.all("iframe") if any(x in n.attrs.get("src", "") for x in ("youtube", "vimeo"))), *root.all(cls="embedded-video")]
+    return any(not any(a <= n.k < b for a, b in gone) for n in players)
+
+
+_TITLE_BLOCK = "field-ds-doc-title"
+#: How the fields are read off a page.
+_READ: dict[str, Callable[[Node], object]] = {
+    "title": lambda r: _text(_first(r, lambda r: r.within({"cls": _TITLE_BLOCK}, {"tag": "h1"}), lambda r: r.first("h1"))),
+    "date": _date,
+    "speaker": lambda r: _text(_first(r, *(lambda r, o=o: r.within(o, {"tag": "a"}) for o in ({"cls": "field-title"}, {"cls": "diet-title"}, {"tag": "h3"})))),
+    "speaker_title": lambda r: _text(_first(r, lambda r: r.first(cls="diet-by-line"), lambda r: r.first(cls="field-resuable-byline"))),
+}
 
 
 def _selector(container: str) -> dict:
@@ -110,19 +127,32 @@ def _selector(container: str) -> dict:
     return {"tag": tag, "cls": cls}
 
 
-def document_detail(html: Column, container: str = ".field-docs-content", inline_sep: str = "") -> Column:
-    """Raw fields of a document page. ``container``: 'tag', '.class' or 'tag.class' of the body."""
-    where = _selector(container)
+def document_detail(
+    html: Column, container: str = ".field-docs-content", inline_sep: str = "", fields: Iterable[str] = tuple(DETAIL), nested: bool = True, seconds: float | None = SECONDS
+) -> Column:
+    """Raw fields of a document page, of which only those asked for are computed. ``container``: 'tag', '.class' or
+    'tag.class' of the body. Nested paragraphs, as unclosed ones are, stand in all that contain them, so the paragraphs can
+    grow with the square of the page; ``nested=False`` gives each its own text only."""
+    where, asked = _selector(container), [f for f in DETAIL if f in set(fields)]
+    if unknown := set(fields) - DETAIL.keys():
+        raise ValueError(f"unknown fields: {', '.join(sorted(unknown))}")
+    columns = [*asked, "failed"]
 
-    @F.pandas_udf(DETAIL)
+    def paragraphs(root: Node) -> list[str] | None:
+        content = root.first(**where)
+        return None if content is None else content.page.paragraphs(content.k, BOILERPLATE, inline_sep, nested)
+
+    read = _READ | {"paragraphs": paragraphs, "video": lambda root: _video(root, root.first(**where))}
+
+    def one(page):
+        # the first h1 is all that a title needs if nothing on the page can be a block of titles
+        early = asked == ["title"] and page and _TITLE_BLOCK not in page and "&" not in page.partition("<h1")[0]
+        root = parse(page, until="h1" if early and "&#" not in page else None)
+        return (*(read[f](root) for f in asked), False)
+
+    @F.pandas_udf(f"struct<{','.join(f'{f}:{DETAIL[f]}' for f in asked)}{',' if asked else ''}failed:boolean>")
     def detail(pages: pd.Series) -> pd.DataFrame:
-        out = []
-        for page in pages:
-            try:
-                out.append(_detail(page, where, inline_sep))
-            except Exception:  # noqa: BLE001  becomes the row's status
-                out.append({"failed": True})
-        return pd.DataFrame(out, columns=["title", "date", "speaker", "speaker_title", "has_content", "paragraphs", "video", "failed"])
+        return pd.DataFrame(_each(pages, one, seconds, lambda: (*[None] * len(asked), True)), columns=columns)
 
     return detail.asNondeterministic()(html)
 
@@ -130,11 +160,11 @@ def document_detail(html: Column, container: str = ".field-docs-content", inline
 def _labelled(p: Node) -> dict:
     """A paragraph's bold label, and its lines with and without a plain bold tag that it begins with."""
     bold = p.first("b")
-    lead = next((c for c in p.children if not isinstance(c, str) or c.strip()), None)
-    plain = isinstance(lead, Node) and lead.tag == "b" and not lead.attrs and all(isinstance(c, str) for c in lead.children)
-    rest = Node("p", {}, None)
-    rest.children = p.children[p.children.index(lead) + 1 :] if plain else p.children
-    return {"label": bold.text().rstrip(":").lower() if bold else None, "bold": "".join(lead.children) if plain else None, "lines": p.lines(), "rest": rest.lines()}
+    lead = next((c for c in p.children() if not isinstance(c, str) or c.strip()), None)
+    inside = list(lead.children()) if isinstance(lead, Node) and lead.tag == "b" and not lead.attrs else [None]
+    plain = all(isinstance(c, str) for c in inside)
+    lines = p.lines()
+    return {"label": bold.text().rstrip(":").lower() if bold else None, "bold": "".join(inside) if plain else None, "lines": lines, "rest": p.lines(lead) if plain else lines}
 
 
 def label_items(block: Column, label: str) -> Column:
@@ -148,70 +178,79 @@ def label_block(html: Column, label: str) -> Column:
 
     @F.pandas_udf("struct<label:string,bold:string,lines:array<string>,rest:array<string>>")
     def block(pages: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([_labelled(_tree(p)) for p in pages], columns=["label", "bold", "lines", "rest"])
+        return pd.DataFrame(_each(pages, lambda p: _labelled(parse(p)), SECONDS, lambda: _labelled(Node(Page(), 0))), columns=["label", "bold", "lines", "rest"])
 
     return label_items(block.asNondeterministic()(html), label)
 
 
-def _debate(page: str | None, main: dict, container: dict) -> dict:
+def _labels(content: Node, names: tuple[str, ...]) -> list[dict]:
+    """The labelled paragraphs that begin with one of the names, of each name no more than up to the first that says
+    something after its label."""
+    out, open_names = [], set(names)
+    for p in content.all("p"):
+        bold = p.first("b")
+        mine = {n for n in open_names if bold.text().rstrip(":").lower().startswith(n)} if bold else ()
+        if mine:
+            out.append(block := _labelled(p))
+            if any(line.strip(" ;\n") and not line.isspace() for line in block["rest"]):
+                open_names -= mine
+        if not open_names:
+            break
+    return out
+
+
+def _debate(page: str | None, main: dict, container: dict, names: tuple[str, ...]) -> dict:
     root = parse(page)
     head = root.first(**main)
     date = head and head.first("span", attr=_DATE)
     content = root.first(**container)
     labels, strings, blocks, inner = [], None, None, None
     if content is not None:
-        inner = (page or "")[content.begin : content.end]
-        for p in content.all("p"):
-            if p.first("b"):
-                labels.append(_labelled(p))
-        strings = [s for s in map(str.strip, content.strings()) if s]
-        blocks = [t for c in content.children if (t := c.strip() if isinstance(c, str) else "" if c.tag in OPAQUE else c.text("\n"))]
+        inner = (page or "")[content.inner]
+        labels, strings = _labels(content, names), content.strings()
+        blocks = [t for c in content.children() if (t := c.strip() if isinstance(c, str) else "" if c.tag in OPAQUE else c.text("\n"))]
     return {
         "title": _text(head and head.first("h1")), "date": date and (date.attrs.get("content") or date.text()),
         "has_content": content is not None, "inner_html": inner, "labels": labels, "strings": strings, "blocks": blocks, "failed": False,
     }
 
 
-def debate_detail(html: Column, main: str = "div.col-sm-8", container: str = "div.field-docs-content") -> Column:
-    """Raw fields of a debate page."""
+def debate_detail(html: Column, main: str = "div.col-sm-8", container: str = "div.field-docs-content", names: tuple[str, ...] = ("participants", "moderators"), seconds: float | None = SECONDS) -> Column:
+    """Raw fields of a debate page, with the labelled paragraphs of these names."""
     head, where = _selector(main), _selector(container)
 
     @F.pandas_udf(DEBATE)
     def detail(pages: pd.Series) -> pd.DataFrame:
-        out = []
-        for page in pages:
-            try:
-                out.append(_debate(page, head, where))
-            except Exception:  # noqa: BLE001  becomes an error row
-                out.append({"failed": True})
-        return pd.DataFrame(out, columns=["title", "date", "has_content", "inner_html", "labels", "strings", "blocks", "failed"])
+        rows = _each(pages, lambda page: _debate(page, head, where, names), seconds, lambda: {"failed": True})
+        return pd.DataFrame(rows, columns=["title", "date", "has_content", "inner_html", "labels", "strings", "blocks", "failed"])
 
     return detail.asNondeterministic()(html)
 
 
-def paging_links(html: Column) -> Column:
+def _paging(page: str | None) -> dict:
+    root = parse(page)
+    pager = root.first("ul", "pagination")
+    last = pager and pager.first("li", "pager-last")
+    anchor = last and last.first("a")
+    rows = sum(1 for r in root.all("div", "row") if (m := r.first("div", "col-sm-8")) and m.first("div", "field-title"))
+    return {"last_href": anchor and anchor.attrs.get("href"), "hrefs": [a.attrs.get("href", "") for a in pager.all("a")] if pager else [], "document_rows": rows}
+
+
+def paging_links(html: Column, seconds: float | None = SECONDS) -> Column:
     """Pagination links of a listing page and how many document rows it has."""
 
     @F.pandas_udf(PAGING)
     def links(pages: pd.Series) -> pd.DataFrame:
-        out = []
-        for page in pages:
-            root = _tree(page)
-            pager = root.first("ul", "pagination")
-            last = pager and pager.first("li", "pager-last")
-            anchor = last and last.first("a")
-            rows = sum(1 for r in root.all("div", "row") if (m := r.first("div", "col-sm-8")) and m.first("div", "field-title"))
-            out.append({"last_href": anchor and anchor.attrs.get("href"), "hrefs": [a.attrs.get("href", "") for a in pager.all("a")] if pager else [], "document_rows": rows})
-        return pd.DataFrame(out, columns=["last_href", "hrefs", "document_rows"])
+        return pd.DataFrame(_each(pages, _paging, seconds, lambda: {"last_href": None, "hrefs": [], "document_rows": 0}), columns=["last_href", "hrefs", "document_rows"])
 
     return links.asNondeterministic()(html)
 
 
-def anchors(html: Column) -> Column:
+def anchors(html: Column, seconds: float | None = SECONDS) -> Column:
     """All link targets of a page in order."""
 
     @F.pandas_udf("array<string>")
     def hrefs(pages: pd.Series) -> pd.Series:
-        return pages.map(lambda p: [a.attrs["href"] for a in _tree(p).all("a") if "href" in a.attrs])
+        return pd.Series(_each(pages, lambda p: [a.attrs["href"] for a in parse(p).all("a") if "href" in a.attrs], seconds, list), dtype=object)
 
     return hrefs.asNondeterministic()(html)

@@ -3,6 +3,7 @@
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foliospark.operators.deal import dealt
 from foliospark.operators.pages import paging_links
 
 
@@ -47,5 +48,5 @@ def discover(pages: DataFrame, max_pages: int, html: str = "html", page: str = "
 
 def last_valid_page(pages: DataFrame, html: str = "html", page: str = "page") -> DataFrame:
     """The highest recorded page with a document row, at least 1; stands for probing, validity being monotone."""
-    rows = pages.select(F.col(page).alias("page"), paging_links(F.col(html)).alias("p"))
+    rows = dealt(pages.select(F.col(page).alias("page"), F.col(html).alias("html"))).select("page", paging_links(F.col("html")).alias("p"))
     return rows.where("p.document_rows >= 1").agg(F.coalesce(F.max("page"), F.lit(1)).cast("int").alias("last_page"))

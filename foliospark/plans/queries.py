@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from foliospark.functions import classify, dates, text
 from foliospark.operators import enrich, extract, listing, pages, paging, stats
+from foliospark.operators.deal import dealt
 from foliospark.sources import fetch
 
 TITLES = (
@@ -42,7 +43,7 @@ _TYPE_SQL = """CASE WHEN contains(lower(title), 'debate') THEN 'Debate' WHEN con
 
 def page_types(spark, sf):
     """Pages to records to counts per type: every layer once."""
-    records = extract.documents(fetch.from_pages(_t(spark, sf, "pages")), container="article")
+    records = extract.documents(fetch.from_pages(_t(spark, sf, "pages")), container="article", fields=("Document_Type", "Word_Count"))
     return records.groupBy("Document_Type").agg(F.count("*").alias("cnt"), F.sum("Word_Count").alias("words"))
 
 
@@ -139,11 +140,11 @@ def listing_report(spark, sf):
 
 
 def unique_urls(spark, sf):
-    return _t(spark, sf, "pages").select(F.explode(pages.anchors(F.col("html"))).alias("url")).distinct()
+    return dealt(_t(spark, sf, "pages").select("html")).select(F.explode(pages.anchors(F.col("html"))).alias("url")).distinct()
 
 
 def absolute_url(spark, sf):
-    return _t(spark, sf, "pages").select("page_id", F.posexplode(pages.anchors(F.col("html"))).alias("pos", "href")).select("page_id", F.col("pos").cast("bigint").alias("pos"), text.absolute_url(F.col("href"), SITE).alias("link"))
+    return dealt(_t(spark, sf, "pages").select("page_id", "html")).select("page_id", F.posexplode(pages.anchors(F.col("html"))).alias("pos", "href")).select("page_id", F.col("pos").cast("bigint").alias("pos"), text.absolute_url(F.col("href"), SITE).alias("link"))
 
 
 def _status():
@@ -210,16 +211,12 @@ def shape(spark, sf):
     return stats.shape(_t(spark, sf, "documents"))
 
 
-def _records(spark, sf):
-    return extract.documents(fetch.from_pages(_t(spark, sf, "pages")), container="article")
-
-
 def extract_title(spark, sf):
-    return _records(spark, sf).select("url", "Document_Title", "Extraction_Status")
+    return extract.documents(fetch.from_pages(_t(spark, sf, "pages")), container="article", fields=("Document_Title", "Extraction_Status"))
 
 
 def extract_document(spark, sf):
-    return _records(spark, sf)
+    return extract.documents(fetch.from_pages(_t(spark, sf, "pages")), container="article")
 
 
 def extract_debate(spark, sf):

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from foliospark import schemas
+from foliospark.operators.deal import dealt
 
 # HTTP statuses that are tried again.
 RETRY_STATUSES = frozenset((429, 500, 502, 503, 504))
@@ -23,9 +24,9 @@ def recorded(spark: SparkSession, path: str) -> DataFrame:
 
 
 def from_pages(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """A table of saved pages as successful fetches."""
-    return pages.select(
-        F.col(url).alias("url"), F.lit(200).alias("status"), F.lit(None).cast("string").alias("error"), F.col(html).alias("html"), F.lit(None).cast("timestamp").alias("fetched_at")
+    """A table of saved pages as successful fetches, dealt out if it is in few files."""
+    return dealt(pages.select(F.col(url).alias("url"), F.col(html).alias("html"))).select(
+        "url", F.lit(200).alias("status"), F.lit(None).cast("string").alias("error"), "html", F.lit(None).cast("timestamp").alias("fetched_at")
     )
 
 

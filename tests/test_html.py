@@ -192,3 +192,104 @@ def test_discovery(spark):
     assert paging.discover(table, 2).first().total_pages == 2
     assert paging.discover(table.where("page = 4"), 25).first().total_pages == 1
     assert paging.discover(table.where("page > 4"), 25).first().total_pages == 1
+
+
+def test_deep_pages_in_linear_time():
+    import resource
+    import time
+
+    def took(work):
+        before, began = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss, time.process_time()
+        out = work()
+        assert time.process_time() - began < 5 and resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 500_000
+        return out
+
+    def own():
+        root = parse('<div class="c">' + "".join(f"<p>paragraph {i}, not closed" for i in range(20_000)))
+        return root.page.paragraphs(root.first(cls="c").k, pages.BOILERPLATE, nested=False)
+
+    assert took(own) == [f"paragraph {i}, not closed" for i in range(20_000)]
+    root = took(lambda: parse('<div class="c">' + "<p>x" * 20_000))
+    inside = took(lambda: root.page.paragraphs(root.first(cls="c").k, pages.BOILERPLATE))
+    assert [len(p) for p in inside] == list(range(20_000, 0, -1))
+    rows = '<div class="row"><div class="col-sm-8"><div class="field-title"><a href="/x">t</a></div>' * 20_000
+    got = took(lambda: [pages._listing_row(r, SITE) for r in parse(rows).all("div", "row")])
+    assert len(got) == 20_000 and all(g["link"] == SITE + "/x" for g in got)
+    assert took(lambda: len(parse("<p>x</i></div>" * 20_000).strings())) == 20_000
+    assert took(lambda: len(pages._labels(parse("<p><b>Participants:</b> x;" * 20_000), ("participants",)))) == 1
+
+
+def test_own_text_of_nested_paragraphs_and_rows(spark):
+    html = '<div class="field-docs-content"><p>a<p>b<nav><p>menu</p>gone</nav><p>c</p>d<template>t</template></p>e</div>'
+    assert document_of(spark, html, nested=False).Document_Content.split("\\n\\n") == ["ae", "bd", "c"]
+    nested = f'<div class="row">{ROW.format(side="")}</div>'
+    table = spark.createDataFrame([(1, nested)], "page int, html string")
+    assert listing.documents(table, SITE).count() == 2 and listing.documents(table, SITE, nested=False).count() == 1
+
+
+def test_players_in_dropped_parts_do_not_count(spark):
+    player = '<iframe src="https://www.youtube.com/embed/1"></iframe>'
+    assert not document_of(spark, f'<div class="field-docs-content"><header>{player}</header></div>').Video_Available
+    assert document_of(spark, f'<div class="field-docs-content">{player}</div>').Video_Available
+    assert document_of(spark, f'<header>{player}</header><div class="field-docs-content"></div>').Video_Available
+
+
+def test_only_the_asked_fields(spark):
+    from foliospark.operators.extract import NEEDS
+
+    html = '<div class="a">x</div><h1>Remarks in <b>Las</b> Vegas</h1><h1>two</h1><div class="field-docs-content"><p>a b<p>c</div>'
+    late = html + '<div class="field-ds-doc-title"><h1>The title</h1></div>'
+    rows = spark.createDataFrame([(str(i), 200, None, h, None) for i, h in enumerate((html, late, "", None, "<h1>open", "<h2>none"))], schemas.FETCH)
+    whole = extract.documents(rows)
+    for fields in (["Document_Title"], ["Location", "Extraction_Status"], ["Word_Count"], ["Video_Available", "Speaker"], [], list(NEEDS)):
+        got = extract.documents(rows, fields=fields)
+        assert got.columns == ["url", *(c for c in NEEDS if c in fields)]
+        assert sorted(got.collect()) == sorted(whole.select(*got.columns).collect())
+    with pytest.raises(ValueError, match="unknown"):
+        extract.documents(rows, fields=["Nothing"])
+    plan = extract.documents(rows, fields=["Word_Count"])._jdf.queryExecution().analyzed().schema().json()
+    assert "Speaker" not in plan
+
+
+def test_a_page_that_takes_too_long_fails_alone():
+    import pandas as pd
+
+    def one(page):
+        while page == "endless":
+            pass
+        return page
+
+    got = pages._each(pd.Series(["a", "endless", "b", "endless", "c"]), one, 0.2, lambda: "failed")
+    assert got == ["a", "failed", "b", "failed", "c"]
+    assert pages._each(pd.Series([str(i) for i in range(20_000)]), one, 5, lambda: "failed") == [str(i) for i in range(20_000)]
+
+
+def test_parsing_error_of_a_slow_page(spark):
+    slow = '<div class="field-docs-content">' + "<p>x" * 60_000
+    rows = [("a", 200, None, "<h1>x</h1>", None), ("b", 200, None, slow, None), ("c", 200, None, "<h1>y</h1>", None)]
+    got = extract.documents(spark.createDataFrame(rows, schemas.FETCH).coalesce(1), seconds=0.3).select("url", "Extraction_Status", "Document_Title").collect()
+    assert sorted(map(tuple, got)) == [("a", "Success", "x"), ("b", "Parsing Error", ""), ("c", "Success", "y")]
+
+
+def test_pages_are_dealt_out_before_parsing(spark, tmp_path):
+    from foliospark.operators.deal import dealt
+
+    table = spark.range(2500).selectExpr("id as page_id", "concat('u', id) as url", "concat('<article><p>', repeat(sha2(cast(id as string), 512), 30), '</article>') as html")
+    table.coalesce(1).write.parquet(str(tmp_path / "one"))
+    one = spark.read.parquet(str(tmp_path / "one"))
+    cores = spark.sparkContext.defaultParallelism
+    records = extract.documents(fetch.from_pages(one), container="article").withColumn("task", F.spark_partition_id())
+    assert [r["count"] for r in records.groupBy("task").count().collect()] == [2500 // cores] * cores
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "Repartition" in plan(listing.documents(one.withColumnRenamed("page_id", "page"), SITE))
+    # what has a split for each core, or is dealt by a join, or tiny, stays
+    table.repartition(2 * cores).write.parquet(str(tmp_path / "many"))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        assert "Repartition" not in plan(dealt(spark.read.parquet(str(tmp_path / "many"))))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert "Repartition" not in plan(dealt(one.join(one.select("url").distinct(), "url")))
+    assert "Repartition" not in plan(dealt(spark.createDataFrame([("u", "h")], "url string, html string")))
+    assert dealt(one, tasks=5).rdd.getNumPartitions() == 5
