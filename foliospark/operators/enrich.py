@@ -26,9 +26,9 @@ def remaining(links: DataFrame, extracted: DataFrame, retry_errors: bool = False
     return links.join(done.select("url"), "url", "left_anti")
 
 
-def latest(records: DataFrame, key: str, *order: str) -> DataFrame:
+def latest(records: DataFrame, key: str | tuple[str, ...], *order: str) -> DataFrame:
     """One row per key, the last in ``order``; rows that tie there are equal in all that counts."""
-    w = Window.partitionBy(key).orderBy(*(F.col(c).desc_nulls_last() for c in order))
+    w = Window.partitionBy(*((key,) if isinstance(key, str) else key)).orderBy(*(F.col(c).desc_nulls_last() for c in order))
     return records.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 

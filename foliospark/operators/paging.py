@@ -40,12 +40,28 @@ def total_pages(first_page: DataFrame, max_pages: int, html: str = "html", probe
 
 def discover(pages: DataFrame, max_pages: int, html: str = "html", page: str = "page") -> DataFrame:
     """(total_pages) of a listing from its recorded pages: what its first page tells, and where that is a full page without
-    links, the last page with rows, no later than ``max_pages``. One page if the first is missing or cannot be read."""
+    links, the last page with rows, no later than ``max_pages`` (``probe`` finds it in a live listing). One page if the first
+    is missing or cannot be read."""
     probed = last_valid_page(pages.where(F.col(page) <= max_pages), html, page).scalar()
     told = total_pages(pages.where(F.col(page) == 1), max_pages, html, probed)
     return told.agg(F.coalesce(F.max("total_pages"), F.lit(1)).cast("int").alias("total_pages"))
 
 
+def probe(spark: SparkSession, base: str, max_pages: int, **options) -> int:
+    """The last page of a live listing that has a document row, by bisection: about log2(max_pages) pages are fetched, one
+    after the other. Pages with rows must come before pages without; a hole ends the listing if a probe meets it. A page
+    that cannot be fetched counts as one without rows, and the first page as one with rows."""
+    from foliospark.sources import fetch
+
+    low, high = 1, max_pages + 1
+    while high - low > 1:
+        middle = (low + high) // 2
+        link = spark.range(1).select(page_url(F.lit(base), F.lit(middle - 1)).alias("url"))
+        page = fetch.fetch(link, tasks=1, **options).select(paging_links(F.col("html")).alias("p"))
+        low, high = (middle, high) if page.first().p.document_rows >= 1 else (low, middle)
+    return low
+
+
 def last_valid_page(pages: DataFrame, html: str = "html", page: str = "page") -> DataFrame:
     """The highest recorded page with a document row, at least 1; stands for probing, validity being monotone."""
     rows = dealt(pages.select(F.col(page).alias("page"), F.col(html).alias("html"))).select("page", paging_links(F.col("html")).alias("p"))

@@ -31,8 +31,10 @@ def last_key_counts(df: DataFrame, key: str, n: int = 10) -> DataFrame:
     return df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("cnt")).orderBy(F.desc(key)).limit(n).orderBy(key)
 
 
-def listing_report(listing: DataFrame, key: str = "Page", date: str = "Date", category: str = "Related_Category", capacity: int = 25_000) -> DataFrame:
-    """Rows, pages, categories, coverage of ``capacity``, rows per page and the date range as strings sort."""
+def listing_report(listing: DataFrame, key: str = "Page", date: str = "Date", category: str = "Related_Category", capacity: int = 25_000, seconds: float | None = None) -> DataFrame:
+    """Rows, pages, categories, coverage of ``capacity``, rows per page and the date range as strings sort; and rows per
+    second, if it is told how long the listing took (``metrics.Run`` counts while it is written)."""
+    speed = [] if seconds is None else [ratio(F.count("*"), F.lit(seconds)).alias("rows_per_second")]
     return listing.agg(
         F.count("*").alias("n_rows"),
         F.countDistinct(key).alias("n_pages"),
@@ -41,6 +43,7 @@ def listing_report(listing: DataFrame, key: str = "Page", date: str = "Date", ca
         F.max(date).alias("max_date"),
         percent(F.count("*"), F.lit(capacity)).alias("coverage_pct"),
         ratio(F.count("*"), F.countDistinct(key)).alias("rows_per_page"),
+        *speed,
     )
 
 

@@ -1,11 +1,11 @@
-"""CSV and state files."""
+"""CSV folders."""
 
 from __future__ import annotations
 
 import uuid
 from datetime import datetime
 
-from pyspark.errors import AnalysisException
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,10 +20,14 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     return spark.read.schema(schema).options(**CSV).csv(path)
 
 
-def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+def flat(df: DataFrame) -> DataFrame:
     """Arrays and structs become JSON, as CSV has no place for them."""
-    flat = [F.to_json(f.name).alias(f.name) if isinstance(f.dataType, (T.ArrayType, T.StructType, T.MapType)) else F.col(f.name) for f in df.schema]
-    df.select(*flat).write.mode(mode).options(**{k: v for k, v in CSV.items() if k != "multiLine"}).csv(path)
+    nested = (T.ArrayType, T.StructType, T.MapType)
+    return df.select(*(F.to_json(f.name).alias(f.name) if isinstance(f.dataType, nested) else F.col(f.name) for f in df.schema))
+
+
+def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+    flat(df).write.mode(mode).options(**{k: v for k, v in CSV.items() if k != "multiLine"}).csv(path)
 
 
 def replace_csv(df: DataFrame, path: str) -> None:
@@ -33,7 +37,16 @@ def replace_csv(df: DataFrame, path: str) -> None:
     hadoop = spark._jvm.org.apache.hadoop.fs.Path
     now, old, new = hadoop(path), hadoop(f"{aside}.old"), hadoop(f"{aside}.new")
     fs = now.getFileSystem(spark._jsc.hadoopConfiguration())
-    if fs.exists(now) and not fs.rename(now, old) or not fs.rename(new, now):
+    had = fs.exists(now)
+    if had and not fs.rename(now, old):
+        raise OSError(f"cannot move {path}")
+    try:
+        done = fs.rename(new, now)
+    except Py4JJavaError:
+        done = False
+    if not done:
+        if had:
+            fs.rename(old, now)
         raise OSError(f"cannot replace {path}")
     fs.delete(old, True)
 
@@ -42,20 +55,6 @@ def listing_name(rows: int, now: datetime, stem: str = "documents") -> str:
     return f"{stem}_{rows}docs_{now:%Y%m%d_%H%M%S}.csv"
 
 
-def read_state(spark: SparkSession, path: str) -> DataFrame:
-    """What has been extracted so far; nothing yet is an empty table."""
-    try:
-        return spark.read.schema(schemas.EXTRACTED).parquet(path)
-    except AnalysisException as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        return spark.createDataFrame([], schemas.EXTRACTED)
-
-
-def append_state(new: DataFrame, path: str) -> None:
-    new.select(*schemas.EXTRACTED.names).write.mode("append").parquet(path)
-
-
 # The two sample rows of a document listing.
 SAMPLE = [
     ("September 29, 2024", "Remarks by the Vice President at a Campaign Event in Las Vegas, Nevada", "{site}/documents/remarks-the-vice-president-campaign-event-las-vegas-nevada-0", "Kamala Harris", "{site}/people/other/kamala-harris", 1, 0),

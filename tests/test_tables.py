@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from foliospark import schemas
 from foliospark.operators import enrich, stats
 from foliospark.plans import pipelines
-from foliospark.sources import fetch, tables
+from foliospark.sources import fetch, published, state, tables
 from foliospark.streaming import resume
 
 SITE = "https://site.example"
@@ -26,17 +26,17 @@ def listing(spark, *links):
 
 
 def test_enrichment_resumes(spark, tmp_path):
-    state = str(tmp_path / "state")
+    path = str(tmp_path / "state")
     rows = listing(spark, "Aa", "Aa", "Bb", None, "No Link")
-    got = pipelines.enrich_documents(spark, rows, fetches(spark, "Aa"), state)
+    got = pipelines.enrich_documents(spark, rows, fetches(spark, "Aa"), path)
     assert got.columns == schemas.DOCUMENT_LISTING.names + schemas.DOCUMENT_DETAIL.names
     by = {r.Document_Link: r for r in got.collect()}
     assert got.count() == 5 and by["Aa"].Location == "Aa" and by["Bb"].Extraction_Status == "Network Error"
     assert (by[None].Extraction_Status, by[None].Word_Count) == ("", None)
-    assert tables.read_state(spark, state).count() == 3
-    pipelines.enrich_documents(spark, rows, fetches(spark, "Aa", "Bb"), state)
-    assert tables.read_state(spark, state).count() == 3  # errors count as done
-    got = pipelines.enrich_documents(spark, rows, fetches(spark, "Aa", "Bb"), state, retry_errors=True)
+    assert state.read(spark, path).count() == 3
+    pipelines.enrich_documents(spark, rows, fetches(spark, "Aa", "Bb"), path)
+    assert state.read(spark, path).count() == 3  # errors count as done
+    got = pipelines.enrich_documents(spark, rows, fetches(spark, "Aa", "Bb"), path, retry_errors=True)
     assert {r.Document_Link: r.Extraction_Status for r in got.collect()}["Bb"] == "Success"
     summary = stats.extraction_summary(got).first()
     assert (summary.n_rows, summary.n_success) == (5, 3)
@@ -64,12 +64,12 @@ def test_csv_round_trip(spark, tmp_path):
 
 
 def test_streamed_extraction(spark, tmp_path):
-    landing, state, checkpoint = (str(tmp_path / x) for x in ("landing", "state", "checkpoint"))
+    landing, path, checkpoint = (str(tmp_path / x) for x in ("landing", "state", "checkpoint"))
     fetches(spark, "Aa", "Aa").write.mode("append").parquet(landing)
-    resume.extract_landed(spark, landing, state, checkpoint).awaitTermination()
+    resume.extract_landed(spark, landing, path, checkpoint).awaitTermination()
     fetches(spark, "Aa", "Bb").write.mode("append").parquet(landing)
-    resume.extract_landed(spark, landing, state, checkpoint).awaitTermination()
-    assert sorted(r.url for r in tables.read_state(spark, state).collect()) == ["Aa", "Bb"]
+    resume.extract_landed(spark, landing, path, checkpoint).awaitTermination()
+    assert sorted(r.url for r in state.read(spark, path).collect()) == ["Aa", "Bb"]
 
 
 class Pages(http.server.BaseHTTPRequestHandler):
