@@ -17,9 +17,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliospark.llm import _words as W
+from foliospark.llm._rows import saved
 
 PASSAGE = 64
-#: At most about so many labelled documents are learned from, chosen by a hash of their id.
+#: At most so many labelled documents are learned from, chosen by a hash of id and text.
 LEARN_DOCUMENTS = 8_000
 #: Of a longer document, so many passages are learned from, evenly spaced. Scores use all passages.
 LEARN_PASSAGES = 256
@@ -162,12 +163,15 @@ class Model:
 
 def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", bound: int = LEARN_DOCUMENTS, most: int = LEARN_PASSAGES) -> Model:
     """A model from ``labels`` (key, label 0/1) of ``docs``; the bounded sample of labels goes to where the texts are. At
-    most about ``bound`` labelled documents and ``most`` passages of each, in single precision, are held at once."""
+    most ``bound`` documents, a text under a key counting once however often it stands there, and ``most`` passages of
+    each, in single precision, are held at once. Labels and documents are chosen by hashes."""
     known = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(key).alias("key")).agg(F.avg(F.col(label).cast("double")).alias("label"))
     total = max(1, known.count())
     hashed = F.pmod(F.xxhash64("key"), F.lit(1 << 30))
     sample = known.where(hashed < int(min(1.0, 1.05 * bound / total) * (1 << 30))).orderBy(hashed, "key").limit(bound)
-    chosen = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(sample), "key").select("key", "label", "text")
+    found = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("th")).join(F.broadcast(sample), "key")
+    picked = saved(found.select("key", "th").distinct().orderBy(F.xxhash64("key", "th"), "key", "th").limit(bound))
+    chosen = found.join(F.broadcast(picked), (found["key"] == picked["key"]) & (found["th"] == picked["th"]), "left_semi").dropDuplicates(["key", "th"]).select("key", "label", "text")
 
     def encode(batches):
         for batch in batches:

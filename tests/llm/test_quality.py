@@ -94,3 +94,52 @@ def test_scores_equal_a_plain_version(spark):
         weights = [math.exp(e - max(logits)) for e in logits]
         z = sum(a * h for a, h in zip(weights, pooled, strict=True)) / sum(weights)
         assert abs(got[row.doc_id] - 1 / (1 + math.exp(-float(z @ p["c"] + p["d"])))) < 1e-9
+
+
+def plain_passages(text):
+    """The figures of each passage, by loops over its bytes and words."""
+    import re
+
+    raw = (text or "").encode()
+    words = [(m.start(), m.end()) for m in re.finditer(rb"[^\x20\x09-\x0d]+", raw)]
+    punct = [b for b in range(33, 127) if not chr(b).isalnum()]
+    out = []
+    for i in range(0, max(1, len(words)), quality.PASSAGE):
+        some = words[i : i + quality.PASSAGE]
+        if not some:
+            return [[0.0] * quality.FEATURES]
+        span = raw[some[0][0] : some[-1][1]]
+        size, lengths = len(span), [b - a for a, b in some]
+        low = [bytes(c + 32 if 65 <= c <= 90 else c for c in raw[a:b]) for a, b in some]
+        letters = sum(1 for c in span if chr(c).isascii() and chr(c).isalpha() or c >= 128)
+        mean = sum(lengths) / len(some)
+        out.append([
+            *((span.count(p) / size) ** 0.5 for p in punct), letters / size, sum(1 for c in span if 65 <= c <= 90) / size, sum(1 for c in span if 48 <= c <= 57) / size,
+            mean / 10, max(0.0, sum(n * n for n in lengths) / len(some) - mean**2) ** 0.5 / 10, len(set(low)) / len(some), max(low.count(w) for w in set(low)) / len(some),
+            sum(a == b for a, b in zip(low, low[1:], strict=False)) / len(some), len(some) / quality.PASSAGE, sum(n <= 3 for n in lengths) / len(some),
+        ])
+    return out
+
+
+def test_passages_equal_a_plain_encoder(spark):
+    texts = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").limit(60).collect()]
+    for text in [*texts, None, "", " \n", "Übung macht den MEISTER, ja ja ja! 1.2.3", "x" * 3000, "a b " * 500]:
+        ((_, _, data, offs),) = W.slices(pa.array([text], pa.string()))
+        got, _ = quality.passages(data, offs)
+        assert np.allclose(got, plain_passages(text), atol=1e-5), text
+
+
+def test_many_rows_under_one_labelled_key_stay_bounded(spark):
+    """A third of all rows under one labelled key, some of them copies."""
+    rows = spark.range(3000).selectExpr("if(id % 3 = 0, 1, id) as doc_id", "concat('text ', if(id % 9 = 0, 0, id), ' of some words') as text")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (4, 1)], "doc_id long, quality int")
+    seen = []
+    fit = quality.Model.fit
+    try:
+        quality.Model.fit = lambda self, x, at, y, **more: seen.append(len(y)) or fit(self, x, at, y, **more)
+        quality.learn(rows, labels, bound=50)
+        quality.learn(rows, labels.where("doc_id <> 1"), bound=50)
+        quality.learn(rows.where("doc_id = 1"), labels)
+    finally:
+        quality.Model.fit = fit
+    assert seen == [50, 2, 668]
