@@ -14,13 +14,15 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliospark.llm._rows import saved
+from foliospark.llm._rows import saved, small
 
 BUCKETS = 16
 #: Padded tokens in a batch.
 BUDGET = 32_768
 #: Documents numbered together in one task.
 SHARD = 2_048
+#: A shard of so many times that, as under a key that many rows have, is cut into parts.
+UNEVEN = 4
 
 
 def words(text: Column) -> Column:
@@ -61,15 +63,9 @@ def boundaries(lengths: np.ndarray, counts: np.ndarray, k: int) -> list[int]:
     return sorted(set(out))
 
 
-def histogram(lengths: DataFrame, column: str, bound: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(lengths, counts) of all distinct lengths; m of them need m * m / 2 words, so there are about 100,000 in 30 GB.
-    With a bound, lengths are rounded up to a multiple so that there are about so many entries."""
-    n = F.col(column)
-    if bound is not None:
-        top = lengths.agg(F.max(column)).first()[0] or 0
-        step = max(1, -(-(top + 1) // bound))
-        n = F.ceil(n / F.lit(step)).cast("bigint") * step
-    rows = sorted(map(tuple, lengths.groupBy(n.alias("n")).agg(F.count("*").alias("c")).collect()))
+def histogram(lengths: DataFrame, column: str) -> tuple[np.ndarray, np.ndarray]:
+    """(lengths, counts) of all distinct lengths; m of them need m * m / 2 words, so there are about 100,000 in 30 GB."""
+    rows = sorted(map(tuple, lengths.groupBy(F.col(column).alias("n")).agg(F.count("*").alias("c")).collect()))
     return np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64)
 
 
@@ -77,6 +73,7 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", length: Colum
     """Per row of ``docs``: key, n_tokens, bucket (from 0), padded_to, batch (from 0 in its bucket), slot (from 0)."""
     size = words(F.col(text)) if length is None else length.cast("bigint")
     rows = saved(docs.select(F.col(key).alias("key"), F.coalesce(size, F.lit(0)).alias("n_tokens")))
+    rows = rows.withColumn("row", F.monotonically_increasing_id())  # fixed, as the saved rows are
     values, counts = histogram(rows, "n_tokens")
     ups = boundaries(values, counts, buckets) if len(values) else [0]
     inside = [int(counts[(values <= up) & (values > low)].sum()) for low, up in zip([-1, *ups], ups, strict=False)]
@@ -85,12 +82,18 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", length: Colum
     of = lambda xs: F.element_at(array(xs), F.col("bucket") + 1)
     cells = rows.withColumn("bucket", bucket).withColumn("shard", F.pmod(F.xxhash64("key"), of([max(1, -(-n // shard)) for n in inside])))
 
+    # equal keys share a shard: one that is too large for that is cut by the rows' places in the saved table
+    large = cells.groupBy("bucket", "shard").agg(F.ceil(F.count("*") / shard).cast("bigint").alias("parts")).where(F.col("parts") > UNEVEN)
+    large = small(saved(large))
+    cells = cells.join(large, ["bucket", "shard"], "left").withColumn("part", F.when(F.col("parts").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("row"), "parts")))
+
     # a document's place in its bucket: those in earlier shards, then those before it in its own
-    per = cells.groupBy("bucket", "shard").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("bucket").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    ahead = per.select("bucket", "shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ahead"))
-    own = Window.partitionBy("bucket", "shard").orderBy("n_tokens", F.xxhash64("key"), "key")
-    placed = cells.withColumn("i", F.row_number().over(own) - 1).join(ahead, ["bucket", "shard"]).withColumn("place", F.col("ahead") + F.col("i"))
+    cell = ("bucket", "shard", "part")
+    per = cells.groupBy(*cell).agg(F.count("*").alias("n"))
+    before = Window.partitionBy("bucket").orderBy("shard", "part").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = per.select(*cell, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ahead"))
+    own = Window.partitionBy(*cell).orderBy("n_tokens", F.xxhash64("key"), "key")
+    placed = cells.withColumn("i", F.row_number().over(own) - 1).join(ahead, list(cell)).withColumn("place", F.col("ahead") + F.col("i"))
     capacity = of([max(1, budget // max(1, up)) for up in ups])
     return placed.select(
         F.col("key").alias(key),

@@ -52,10 +52,14 @@ def test_empty(spark):
     assert packing.pack(empty(spark)).collect() == []
 
 
-def test_wide_histogram_is_rounded_up(spark):
-    lengths = spark.range(1000).selectExpr("id * 7 as n")
-    values, counts = packing.histogram(lengths, "n", bound=100)
-    assert len(values) <= 101 and counts.sum() == 1000 and values[-1] >= 999 * 7
+def test_keys_that_many_rows_have_are_cut(spark):
+    """A third of the rows under one key, a third without a key: no window holds more than a few shards."""
+    rows = spark.range(3000).selectExpr("case when id % 3 = 0 then 7 when id % 3 = 1 then id end as doc_id", "concat_ws(' ', array_repeat('w', cast(id % 5 as int))) as text").repartition(5)
+    got = packing.pack(rows, buckets=2, budget=64, shard=16)
+    check(got.collect(), 3000, 64)
+    cells = got._jdf.queryExecution().analyzed().toString()
+    assert "parts" in cells and "part" in cells
+    assert got.groupBy("doc_id").count().where("doc_id = 7 or doc_id is null").count() == 2
 
 
 def test_one_long_document_leaves_the_bounds_of_others_exact(spark):
