@@ -104,8 +104,8 @@ def spans(docs: DataFrame, key: str = "doc_id", text: str = "text", phrases=PHRA
     rows = docs.select(F.col(key).alias("key"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("th"), words(F.col(text)).alias("w"))
     grams = rows.select("key", "th", "w", F.posexplode("w").alias("pos", "a")).select("key", "th", "pos", "a", F.get("w", F.col("pos") + 1).alias("b"))
     hits = grams.withColumn("h", F.xxhash64("a", "b")).join(F.broadcast(pairs), "h").where("a = ta and b = tb")
-    votes = hits.select("key", "th", "template", (F.col("pos") - F.col("tpos")).alias("diagonal"), "pos", "tpos").repartition("key", "th").distinct()
-    lines = votes.groupBy("key", "th", "template", "diagonal").agg(F.count("*").alias("votes"), F.collect_list("pos").alias("at"))
+    votes = hits.select("key", "th", "template", (F.col("pos") - F.col("tpos")).alias("diagonal"), "pos")
+    lines = votes.groupBy("key", "th", "template", "diagonal").agg(F.collect_set("pos").alias("at")).withColumn("votes", F.size("at"))
     lines = lines.join(F.broadcast(known), "template")
 
     whole = F.col("votes") == F.col("pairs")
