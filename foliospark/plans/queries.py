@@ -193,8 +193,21 @@ def page_index(spark, sf):
 
 
 def page_total(spark, sf):
-    index = paging.page_number(paging.page_url(F.col("url"), (F.col("page_id") % 40).cast("int")))
-    return _t(spark, sf, "pages").agg(F.coalesce(F.least(F.max(index) + 1, F.lit(25)), F.lit(1)).cast("bigint").alias("total_pages"))
+    """How many pages the listing has that each page's links tell of: its menu as a pager, its own number in the last link."""
+    index = (F.col("page_id") % 40).cast("int")
+    last = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit('<li class="x pager-last"><a href="'), paging.page_url(F.lit("/list?x=1"), index), F.lit('">last</a></li>'))).otherwise("")
+    menu = F.concat(F.lit('<ul class="pagination"><li><a href="/list?x=1&amp;page='), (index % 7).cast("string"), F.lit('">n</a></li>'), last, F.lit("</ul>"), "html")
+    totals = paging.total_pages(dealt(_t(spark, sf, "pages").select("page_id", "html")).select(menu.alias("html")), 25)
+    return totals.groupBy("total_pages").agg(F.count("*").alias("cnt"))
+
+
+def page_probe(spark, sf):
+    """A recorded listing without links, whose pages have rows up to the seventeenth; the first page is full."""
+    row = '<div class="row"><div class="col-sm-8"><div class="field-title">t</div></div></div>'
+    number = (F.col("o_orderkey") % 40 + 1).cast("int")
+    rest = _t(spark, sf, "orders").select(number.alias("page"), F.when(number <= 17, row).otherwise("<p>none</p>").alias("html")).where("page > 1")
+    first = _t(spark, sf, "orders").agg(F.lit(1).alias("page"), F.repeat(F.lit(row), 1000).alias("html"))
+    return paging.discover(first.unionByName(rest), 25)
 
 
 def page_discovery(spark, sf):
@@ -220,7 +233,8 @@ def extract_document(spark, sf):
 
 
 def extract_debate(spark, sf):
-    return extract.debates(fetch.from_pages(_t(spark, sf, "pages")), main="article", container="article")
+    d = extract.debates(fetch.from_pages(_t(spark, sf, "pages")), main="article", container="article")
+    return d.withColumns({c: F.to_json(c) for c in ("Participants_List", "Moderators_List")})
 
 
 def _order_pages(spark, sf):
@@ -283,9 +297,20 @@ _ENRICHED = """SELECT CAST(d.doc_id AS VARCHAR) AS Document_Link, source AS Rela
  coalesce('Speaker ' || (l.doc_id % 13), '') AS Speaker, l.doc_id % 100 AS Word_Count, l.toxic = 1 AS Video_Available,
  CASE WHEN l.doc_id IS NULL THEN '' WHEN quality = 1 THEN 'Success' ELSE 'Parsing Error' END AS Extraction_Status FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id"""
 
+_PAGE_TITLE = """replace(replace(replace(replace(replace(trim(regexp_extract(html, '(?s)<h1[^>]*>(.*?)</h1>', 1)), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&')"""
+#: The body of a test page: a title, then paragraphs that are closed, or begin with a bold tag and hold all that follows.
+_PAGE_PARTS = rf"""a AS (SELECT url, {_PAGE_TITLE} AS title, regexp_extract(html, '(?s)<article>(.*?)</article>', 1) AS body FROM pages),
+ x AS (SELECT url, title, body, list_transform(string_split(substr(body, position('</h1>' IN body) + 5), '<p>')[2:], lambda s: {{'holds': starts_with(s, '<b>'),
+ 't': replace(replace(regexp_replace(regexp_replace(s, '<[^>]*>', '', 'g'), '^\s+|\s+$', '', 'g'), '&quot;', '"'), '&amp;', '&')}}) AS parts FROM a)"""
+_RECORDS = rf"""WITH {_PAGE_PARTS},
+ p AS (SELECT url, title, list_filter(list_transform(range(1, len(parts) + 1), lambda i: CASE WHEN parts[i].holds THEN array_to_string(list_transform(parts[i:], lambda q: q.t), '') ELSE parts[i].t END), lambda t: t <> '') AS p FROM x),
+ r AS (SELECT url, title AS "Document_Title", '' AS "Document_Date", array_to_string(p, '\n\n') AS "Document_Content", '' AS "Speaker", '' AS "Speaker_Title", {_TYPE_SQL} AS "Document_Type",
+ coalesce(nullif(regexp_extract(title, 'in ([A-Z][a-z]+)', 1), ''), nullif(regexp_extract(title, 'at the ([A-Z][a-z]+)', 1), ''), '') AS "Location", false AS "Video_Available",
+ CAST(coalesce(list_sum(list_transform(p, lambda t: len(regexp_extract_all(t, '\S+')))), 0) AS BIGINT) AS "Word_Count", 'Success' AS "Extraction_Status" FROM p)"""
+
 #: name -> (query, SQL or None)
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
-    "page_types": (page_types, None),
+    "page_types": (page_types, f'{_RECORDS} SELECT "Document_Type", count(*) AS cnt, CAST(sum("Word_Count") AS BIGINT) AS words FROM r GROUP BY 1'),
     "doc_type_counts": (doc_type_counts, f"SELECT {_TYPE_SQL} AS Document_Type, count(*) AS cnt FROM (SELECT {_TITLE_SQL} AS title FROM documents) GROUP BY 1"),
     "title_location": (
         title_location,
@@ -359,13 +384,16 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
         page_index,
         "SELECT page_id, CASE WHEN i = 0 THEN url ELSE url || '&page=' || i END AS page_url, CAST(nullif(regexp_extract(CASE WHEN i = 0 THEN url ELSE url || '&page=' || i END, 'page=(\\d+)', 1), '') AS BIGINT) AS page_no FROM (SELECT page_id, url, page_id % 40 AS i FROM pages)",
     ),
-    "page_total": (page_total, "SELECT CAST(coalesce(least(max(page_id % 40) FILTER (page_id % 40 > 0) + 1, 25), 1) AS BIGINT) AS total_pages FROM pages"),
+    "page_total": (
+        page_total,
+        """SELECT total_pages, count(*) AS cnt FROM (SELECT CAST(least(CASE WHEN page_id % 3 = 0 AND page_id % 40 > 0 THEN page_id % 40 ELSE page_id % 40 % 7 END + 1, 25) AS INT) AS total_pages FROM pages) GROUP BY 1""",
+    ),
+    "page_probe": (page_probe, "SELECT CAST(least(max(o_orderkey % 40 + 1), 25) AS INT) AS total_pages FROM orders WHERE o_orderkey % 40 < 17"),
     "page_discovery": (page_discovery, "SELECT CAST(CASE WHEN n_nationkey % 4 < 3 THEN least(n_nationkey + 1, 20) ELSE 1 END AS INT) AS total_pages FROM nation"),
-    "shape": (shape, "SELECT count(*) AS n_rows, CAST(5 AS BIGINT) AS n_columns FROM documents"),
+    "shape": (shape, "SELECT count(*) AS n_rows, (SELECT count(*) FROM information_schema.columns WHERE table_name = 'documents') AS n_columns FROM documents"),
     "extract_title": (
         extract_title,
-        """SELECT url, replace(replace(replace(replace(replace(trim(regexp_extract(html, '(?s)<h1[^>]*>(.*?)</h1>', 1)), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&') AS "Document_Title",
- 'Success' AS "Extraction_Status" FROM pages""",
+        f"""SELECT url, {_PAGE_TITLE} AS "Document_Title", 'Success' AS "Extraction_Status" FROM pages""",
     ),
     "listing_documents": (
         listing_documents,
@@ -396,6 +424,10 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
  '<p><b>Moderators:</b> ' || r_name || ';</p><p><b>Participants:</b> ' || n_name || '; second one.<br/>third</p><p>One <i>two</i><br>three</p>' AS "Debate_Content_HTML"
  FROM nation JOIN region ON n_regionkey = r_regionkey""",
     ),
-    "extract_document": (extract_document, None),
-    "extract_debate": (extract_debate, None),
+    "extract_document": (extract_document, f"{_RECORDS} SELECT * FROM r"),
+    "extract_debate": (
+        extract_debate,
+        rf"""WITH {_PAGE_PARTS} SELECT url AS "URL", title AS "Extracted_Title", '' AS "Extracted_Date", '[]' AS "Participants_List", '' AS "Participants", '[]' AS "Moderators_List", '' AS "Moderators",
+ regexp_replace(array_to_string(list_filter(list_prepend(title, list_transform(parts, lambda q: q.t)), lambda t: t <> ''), chr(10)), '\n{{3,}}', chr(10) || chr(10), 'g') AS "Debate_Content_Text", body AS "Debate_Content_HTML" FROM x""",
+    ),
 }
