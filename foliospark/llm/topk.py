@@ -27,6 +27,8 @@ from foliospark.llm._vectors import best, matrix, top, valid
 CHUNK, BLOCKS = 4_096, 4_096
 #: Queries of a block come in parts of about so many.
 PART = 2_048
+#: Queries whose bounds a task holds at once, with all blocks: 16 MB an array.
+TURN = 512
 #: Up to which place in its order of blocks a query gets in each wave; the last wave takes the rest.
 WAVES = (1, 8, None)
 
@@ -93,7 +95,7 @@ def _asks(queries: DataFrame, shipped, dims: int, seen: int, upto: int, slack: f
 
     def run(batches):
         names, firsts, most, least = shipped.value
-        for batch in batches:
+        for batch in (whole.slice(i, TURN) for whole in batches for i in range(0, whole.num_rows, TURN)):
             q = matrix(batch.column("v"), dims)
             kth = batch.column("kth").to_numpy(zero_copy_only=False).astype(float)
             bound = np.maximum(q, 0) @ most.T + np.minimum(q, 0) @ least.T

@@ -75,3 +75,55 @@ def test_repeated_templates_are_found_and_repeated_pairs_are_not(spark):
     assert got[3].labels == "cc-by" and any(x.start == 0 and x.stop == 6 for x in got[3].spans)
     assert got[4].labels == "" and got[4].score == 0
     assert got[5].labels == "isc" and 0.7 <= got[5].score < 1 and [x.start for x in got[5].spans] == [0, len(isc.split()), 2 * len(isc.split())]
+
+
+def plain_matches(text):
+    """Labels and best coverage: every diagonal, run of near diagonals and window of every template, one after the other."""
+    w = [x for x in re.split(licenses._SEPARATORS, lower((text or "").replace("K", "ĸ")).lower()) if x]
+    where = {}
+    for i, pair in enumerate(zip(w, w[1:], strict=False)):
+        where.setdefault(pair, []).append(i)
+    labels, score = set(), 0.0
+    for words, label, phrase in [*((p, b, True) for p, b in licenses.PHRASES), *((t, b, False) for t, b in licenses.TEMPLATES)]:
+        t = words.split()
+        pairs = [i for i in range(len(t) - 1) if phrase or not (t[i] in licenses.STOP and t[i + 1] in licenses.STOP)]
+        least = 1.0 if len(pairs) <= licenses.SHORT else licenses.COVERAGE
+        diagonals = {}
+        for i in pairs:
+            for pos in where.get((t[i], t[i + 1]), ()):
+                diagonals.setdefault(pos - i, []).append((pos, i))
+        if any(len(hits) == len(pairs) for hits in diagonals.values()):
+            labels.add(label)
+            score = 1.0
+        if phrase:
+            continue
+        rest, run = sorted(d for d, hits in diagonals.items() if len(hits) < len(pairs)), []
+        for d, after in zip(rest, [*rest[1:], None], strict=False):
+            run += diagonals[d]
+            if after is None or after - d > licenses.GAP:
+                width = int(len(t) * licenses.STRETCH + licenses.GAP)
+                if len(run) / len(pairs) >= least:
+                    for start, _ in run:
+                        share = len({i for pos, i in run if pos >= start and pos + 2 - start <= width}) / len(pairs)
+                        if share >= least:
+                            labels.add(label)
+                            score = max(score, share)
+                run = []
+    return ",".join(sorted(labels)), score
+
+
+def test_labels_and_scores_equal_a_plain_version(spark):
+    templates = [t.split() for t, _ in licenses.TEMPLATES]
+    texts = []
+    for k, t in enumerate(templates):
+        texts.append(" ".join(t[: len(t) * 3 // 4]))
+        texts.append(" ".join(x if i % 9 else f"other{k}" for i, x in enumerate(t)))
+        texts.append(" ".join(["before", *t[: len(t) // 2], "between", "two", *t[len(t) // 2 :], *t[3:], "after"]))
+    made = spark.createDataFrame([(10**6 + i, x) for i, x in enumerate(texts)], "doc_id long, text string")
+    for table in (made, docs(spark).select("doc_id", "text"), spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")):
+        got = sorted(repr((r.doc_id, r.labels, round(r.score, 9))) for r in licenses.scan(table).collect())
+        want = []
+        for r in table.collect():
+            labels, score = plain_matches(r.text)
+            want.append(repr((r.doc_id, labels, round(score, 9))))
+        assert got == sorted(want)
