@@ -4,7 +4,7 @@ Every tree is an array of long hash strings, the signs of random projections, in
 holds the vector; the vectors themselves are kept once. A query descends each tree to its longest matching prefix and
 then ascends in all trees at once, one bit at a time, until its prefixes cover enough candidates. Those prefixes are
 ranges of the sorted arrays; the query goes once to every block that the ranges name, and there all rows under the
-prefixes are scored exactly on the original vectors. How many candidates are enough is measured: for a bounded sample
+prefixes, or all rows if the prefixes cover most of them, are scored exactly on the original vectors. How many candidates are enough is measured: for a bounded sample
 of queries the true neighbours are found over all rows, and the least number whose recall reaches the target is taken.
 
 Equal vectors (by two 64-bit hashes) are one entry. An entry names its k + 1 least keys: they stand before the
@@ -33,6 +33,9 @@ DEPTH = 14
 #: Strings that one slice of a tree holds, rows that one block holds, queries that one part of its asks holds, and rows
 #: of a block that are scored at a time.
 SLICE, PIECE, PART, CHUNK = 1 << 17, 1 << 16, 2_048, 4_096
+#: A query whose prefixes cover more of a block than this, as trees that do not depend on each other would, is scored on
+#: all of its rows: to tell which ones costs more than it saves.
+WIDE = 0.5
 #: Queries whose true neighbours set the number of candidates, and the recall to reach among them.
 SAMPLE, RECALL = 128, 0.94
 SEED = 2024
@@ -266,6 +269,16 @@ def _first(near, own: list, k: int):
             yield r
 
 
+def _share(asked: np.ndarray, held: np.ndarray, shift: np.ndarray) -> np.ndarray:
+    """Of the held strings (rows x trees), the share that each asked string's prefixes would cover together."""
+    left = np.ones(len(asked))
+    for t in range(TREES):
+        order = np.sort(held[:, t])
+        low = asked[:, t] >> shift << shift
+        left *= 1 - (np.searchsorted(order, low + (1 << shift)) - np.searchsorted(order, low)) / max(1, len(order))
+    return 1 - left
+
+
 def search(rows: DataFrame, is_query: Column, key: str = "vec_id", vector: str = "embedding", k: int = 20, recall: float = RECALL) -> DataFrame:
     """(query, rank, id, score): for each row where ``is_query`` (of the column ``id``), the k best rows found."""
     data = valid(rows, key, vector, zeros=False, once=False)
@@ -284,17 +297,23 @@ def search(rows: DataFrame, is_query: Column, key: str = "vec_id", vector: str =
         b = b.take(pa.array(np.argsort(_least(b.column("ids")), kind="stable"))).combine_chunks()
         q, m = matrix(a.column("v"), dims).astype(np.float64), matrix(b.column("row"), dims)
         qc, mc = _stack(a.column("codes").combine_chunks()), _stack(b.column("strings").combine_chunks())
-        shift = BITS - a.column("level").to_numpy().astype(np.int64)[:, None]
+        shift = BITS - a.column("level").to_numpy().astype(np.int64)
+        wide = _share(qc, mc, shift) > WIDE
         none = np.zeros(0, np.int64)
         r, at, s = none, none, np.zeros(0)
         for first in range(0, len(m), chunk):
             last = first + chunk
-            within = np.zeros((len(q), len(m[first:last])), bool)
-            for t in range(TREES):
-                within |= qc[:, t, None] >> shift == mc[None, first:last, t] >> shift
-            hit = np.flatnonzero(within.any(1))
-            x, y, z = best(q[hit] @ m[first:last].astype(np.float64).T, np.arange(within.shape[1]), k + 1, within[hit])
-            r, at, s = np.concatenate([r, hit[x]]), np.concatenate([at, y + first]), np.concatenate([s, z])
+            scored = m[first:last].astype(np.float64).T
+            for some in (np.flatnonzero(wide), np.flatnonzero(~wide)):
+                within = None
+                if len(some) and not wide[some[0]]:
+                    within = np.zeros((len(some), scored.shape[1]), bool)
+                    for t in range(TREES):
+                        within |= (qc[some, t] >> shift[some])[:, None] == mc[None, first:last, t] >> shift[some, None]
+                    hit = within.any(1)
+                    some, within = some[hit], within[hit]
+                x, y, z = best(q[some] @ scored, np.arange(scored.shape[1]), k + 1, within)
+                r, at, s = np.concatenate([r, some[x]]), np.concatenate([at, y + first]), np.concatenate([s, z])
             order = np.lexsort((at, -s, r))  # each query's k + 1 best so far
             r, at, s = r[order], at[order], s[order]
             kept = np.arange(len(r)) - np.searchsorted(r, r) <= k
