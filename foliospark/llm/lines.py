@@ -12,7 +12,8 @@ those that match none of them against the rest. A set that has found a match sto
 with ``SHARED`` sets or fewer are joined plainly, which makes at most that many pairs for each of their postings.
 
 Rarity: words are ordered by how often they stand in the corpus, in classes of half a power of two, and within a
-class by hash; counts are kept by slots of the words' hashes, so that the tables are bounded. Any fixed order is
+class by hash; words that stand once are in no two sets and are not posted, nor are those that one set alone is posted
+under; counts are kept by slots of the words' hashes, so that the tables are bounded. Any fixed order is
 exact, and this one keeps frequent words out of prefixes. Sets, words and places go by 64-bit hashes, posted words by
 31 bits of them, which the verification makes good.
 
@@ -40,6 +41,8 @@ SHARED, ROUNDS = 256, (1, 32)
 #: So many wanted places are told to all tasks; more are found by a bit map of their texts and a join.
 FEW = 1 << 17
 _HASH = (1 << 56) - 1
+#: Places of words begin here from the second class on; the first has the words that stand once in all lines.
+_ONCE = 1 << 56
 #: Single bytes whose crc32 have rising first seven bits: a class's byte is turned into its number by one function.
 _LEVELS = bytes({zlib.crc32(bytes([b])) >> 25: b for b in range(256)}[k] for k in sorted({zlib.crc32(bytes([b])) >> 25 for b in range(256)}))
 
@@ -98,9 +101,11 @@ def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
 
     one = F.lit(1).cast("bigint")
     sketch = F.aggregate("w", F.lit(0).cast("bigint"), lambda a, w: a.bitwiseXOR(F.call_function("shiftleft", one, F.pmod(w, F.lit(61)).cast("int"))))
-    prefix = F.transform(F.slice("w", 1, F.col("n") - F.ceil(F.col("n") * 4 / 5).cast("int") + 1), lambda w: _low(w))
+    first = F.slice("w", 1, F.col("n") - F.ceil(F.col("n") * 4 / 5).cast("int") + 1)
+    shared = F.filter(first, lambda w: w >= F.lit(_ONCE))  # a word that stands once in all lines is in no other set
+    prefix = F.struct((F.size(first) - F.size("s")).alias("skip"), F.transform("s", _low).alias("tokens"))
     all_lines = saved(
-        _sets(lines, classes).select(
+        _sets(lines, classes).withColumn("s", shared).select(
             "key", "th", "i", F.xxhash64("w").alias("sid"), F.when(F.col("n") >= LEAST, F.struct("n", sketch.alias("sketch"), prefix.alias("prefix"))).alias("x")
         )
     )
@@ -120,10 +125,11 @@ def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
 
 def _late(sets: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
     """(o) of the sets that match an earlier one."""
-    hot = saved(_posted(sets).groupBy("token").agg(F.count("*").alias("sets")).where(F.col("sets") > SHARED).select("token"))
-    hot = small(hot)
+    tokens = saved(_posted(sets).groupBy("token").agg(F.count("*").alias("sets")).where("sets > 1"))
+    hot = small(saved(tokens.where(F.col("sets") > SHARED).select("token")))
+    several = bit_test(tokens.select(F.col("token").alias("h")), F.col("token"))
     late = _late_under(hot, sets, docs, key, text)
-    cold = _posted(sets.join(small(late.withColumn("found", F.lit(True))), "o", "left").withColumn("asks", F.col("found").isNull()), "asks").join(hot, "token", "left_anti")
+    cold = _posted(sets.join(small(late.withColumn("found", F.lit(True))), "o", "left").withColumn("asks", F.col("found").isNull()), "asks").where(several).join(hot, "token", "left_anti")
     pairs = stored(_near(cold.alias("l"), cold.alias("e"), F.col("l.asks")))
     late = late.unionByName(_matched(pairs, sets, docs, key, text))
     discard(pairs)
@@ -131,7 +137,8 @@ def _late(sets: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def _posted(sets: DataFrame, *more: str) -> DataFrame:
-    return sets.select("o", "n", "sketch", *more, F.posexplode("prefix").alias("pos", "token"))
+    rows = sets.select("o", "n", "sketch", *more, F.col("prefix.skip").alias("skip"), F.posexplode("prefix.tokens").alias("pos", "token"))
+    return rows.withColumn("pos", F.col("pos") + F.col("skip")).drop("skip")
 
 
 def _late_under(hot: DataFrame, sets: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -174,10 +181,13 @@ def _whole(wanted: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame
         rows = wanted.select(F.col("key").alias("k"), F.col("th").alias("t")).distinct()
         some = some.join(F.broadcast(rows), F.col(key).eqNullSafe(F.col("k")) & (F.xxhash64(F.col(text)) == F.col("t")), "left_semi")
         spot = F.broadcast(wanted)
+        lines = _split(some, key, text)
     else:
         some = some.where(bit_test(wanted.select(F.xxhash64("key", "th").alias("h")), F.xxhash64(F.col(key), F.xxhash64(F.col(text)))))
         spot = wanted
-    lines, spot = _split(some, key, text).alias("a"), spot.alias("b")
+        # only what is wanted is moved, but for a few that share a place in the bit map
+        lines = _split(some, key, text).where(bit_test(wanted.select(F.xxhash64("key", "th", "i").alias("h")), F.xxhash64("key", "th", "i")))
+    lines, spot = lines.alias("a"), spot.alias("b")
     same = F.col("a.key").eqNullSafe(F.col("b.key")) & (F.col("a.th") == F.col("b.th")) & (F.col("a.i") == F.col("b.i"))
     found = lines.join(spot, same).select("o", "line").dropDuplicates(["o"])
     return saved(_with_words(found).select("o", _words(F.col("line")).alias("w")))
