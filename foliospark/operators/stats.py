@@ -69,3 +69,17 @@ def listing_sorted(listing: DataFrame, n: int | None = None) -> DataFrame:
 
 def shape(df: DataFrame) -> DataFrame:
     return df.agg(F.count("*").alias("n_rows"), F.lit(len(df.columns)).cast("bigint").alias("n_columns"))
+
+
+def memory(df: DataFrame) -> DataFrame:
+    """Bytes of all values: strings and binaries by their length, other plain columns by their width; nulls of a string are
+    nothing, and nested columns count as their JSON."""
+    width = {"boolean": 1, "byte": 1, "short": 2, "integer": 4, "date": 4, "float": 4}
+
+    def size(f) -> Column:
+        kind = f.dataType.typeName()
+        if kind in ("string", "binary"):
+            return F.coalesce(F.octet_length(f.name), F.lit(0))
+        return F.coalesce(F.octet_length(F.to_json(f.name)), F.lit(0)) if kind in ("array", "struct", "map") else F.lit(width.get(kind, 8))
+
+    return df.agg(F.sum(sum((size(f) for f in df.schema), F.lit(0)).cast("bigint")).alias("n_bytes"))

@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 from foliospark.functions import classify, dates, text
 from foliospark.operators import enrich, extract, listing, pages, paging, stats
 from foliospark.operators.deal import dealt
-from foliospark.sources import fetch
+from foliospark.plans import pipelines
+from foliospark.sources import fetch, published, scratch, state, tables
+from foliospark.streaming import resume
 
 TITLES = (
     "Remarks at a Campaign Event in Las Vegas, Nevada",
@@ -290,6 +292,78 @@ def detail_debates(spark, sf):
     return d.withColumns({c: F.to_json(c) for c in ("Participants_List", "Moderators_List")})
 
 
+def _turn_records(spark, sf):
+    """Conversations as records: each turn a later extraction of its conversation."""
+    none = F.lit("")
+    return _t(spark, sf, "conversations").select(
+        F.col("conv_id").cast("string").alias("url"), F.col("role").alias("Document_Title"), none.alias("Document_Date"), F.col("text").alias("Document_Content"), none.alias("Speaker"), none.alias("Speaker_Title"),
+        F.lit("Document").alias("Document_Type"), none.alias("Location"), F.lit(False).alias("Video_Available"), F.col("turn").alias("Word_Count"),
+        F.when(F.col("turn") % 2 == 0, extract.SUCCESS).otherwise(extract.PARSING_ERROR).alias("Extraction_Status"), F.timestamp_seconds(F.col("turn") * 60).alias("processed_at"),
+    )
+
+
+def state_merge(spark, sf):
+    """The state after odd turns were appended, then even ones merged, then the first turns again, which are older."""
+    path, records = scratch.folder(spark, "state"), _turn_records(spark, sf)
+    state.append(records.where("Word_Count % 2 = 1"), path, buckets=8)
+    state.upsert(records.where("Word_Count % 2 = 0"), path)
+    state.append(records.where("Word_Count <= 1"), path)
+    state.compact(spark, path, files=2)
+    return state.read(spark, path).select("url", "Document_Title", "Document_Content", "Word_Count", "Extraction_Status")
+
+
+def enrichment_run(spark, sf):
+    """The whole run over two listings, the second with links that the state has already."""
+    path = scratch.folder(spark, "state")
+    pages_ = fetch.from_pages(_t(spark, sf, "pages"))
+    links = _t(spark, sf, "pages").select("page_id", F.col("url").alias("Document_Link"))
+    options = {"container": "article", "slices": 2}
+    pipelines.enrich_documents(spark, links.where("page_id % 2 = 0"), pages_, path, **options)
+    lost = links.withColumn("Document_Link", F.when(F.col("page_id") % 10 == 3, F.concat("Document_Link", F.lit("#lost"))).otherwise(F.col("Document_Link")))
+    got = pipelines.enrich_documents(spark, lost, pages_, path, **options)
+    return got.select("page_id", "Document_Link", "Document_Title", "Word_Count", "Extraction_Status")
+
+
+def stream_landed(spark, sf):
+    """Fetches that landed in two goes, an error and then the page, extracted by the stream."""
+    landing, path, checkpoint = (scratch.folder(spark, stem) for stem in ("landing", "state", "checkpoint"))
+    good = fetch.from_pages(_t(spark, sf, "pages")).withColumn("fetched_at", F.timestamp_seconds(F.lit(7200)))
+    bad = good.select("url", F.lit(503).alias("status"), F.lit("HTTP 503").alias("error"), F.lit(None).cast("string").alias("html"), F.timestamp_seconds(F.lit(3600)).alias("fetched_at"))
+    for fetches in (bad, good.where(F.crc32("url") % 4 != 0)):
+        fetches.write.mode("append").parquet(landing)
+        resume.extract_landed(spark, landing, path, checkpoint, container="article").awaitTermination()
+    return state.read(spark, path).select("url", "Document_Title", "Word_Count", F.when(F.col("Extraction_Status") == extract.SUCCESS, True).otherwise(False).alias("good")).agg(
+        F.count("*").alias("n_urls"), F.sum("Word_Count").alias("words"), F.count_if("good").alias("n_good")
+    )
+
+
+def published_csv(spark, sf):
+    """The listing as one CSV file, read back."""
+    rows = stats.listing_sorted(_order_listing(spark, sf)).select("Date", "Title", "Document_Link", "Page")
+    path = published.write_csv(rows, scratch.folder(spark, "csv"))
+    return tables.read_csv(spark, path, rows.schema)
+
+
+def csv_swap(spark, sf):
+    """A folder of CSV parts, swapped for the dated rows that are read from it."""
+    path = scratch.folder(spark, "csv")
+    tables.write_csv(_order_listing(spark, sf), path)
+    kept = tables.read_csv(spark, path, _order_listing(spark, sf).schema)
+    tables.replace_csv(kept.where(F.col("Date").startswith("May")), path)
+    return tables.read_csv(spark, path, kept.schema)
+
+
+def debate_links(spark, sf):
+    """One record for each distinct link of a debate listing; links that were never fetched are errors."""
+    listed = listing.debates(_order_pages(spark, sf), SITE).withColumn("Debate_Link", F.concat(F.lit(SITE + "/d/"), F.substring_index("Related_Link", "/", -1).cast("long") % 40))
+    fetches = fetch.from_pages(_t(spark, sf, "nation").select(F.concat(F.lit(SITE + "/d/"), F.col("n_nationkey").cast("string")).alias("url"), F.concat(F.lit('<div class="col-sm-8"><h1>'), "n_name", F.lit("</h1></div>")).alias("html")))
+    return pipelines.debate_details(listed, fetches).select("URL", "Extracted_Title")
+
+
+def memory_usage(spark, sf):
+    return stats.memory(_t(spark, sf, "documents"))
+
+
 _NAV = "regexp_extract_all(html, '<a[^>]*href=\"([^\"]*)\"', 1)"
 _SHOWN = """CASE CAST(o_orderkey % 7 AS INT) WHEN 0 THEN strftime(o_orderdate, '%B %-d, %Y') WHEN 1 THEN strftime(o_orderdate, '%-m/%-d/%Y') WHEN 2 THEN strftime(o_orderdate, '%Y-%m-%d')
  WHEN 3 THEN strftime(o_orderdate, '%-d %B %Y') WHEN 4 THEN strftime(o_orderdate, '%Y-%m-%d') || 'T00:00:00Z' WHEN 5 THEN ' Fall 2024' ELSE strftime(o_orderdate, '%Y-%m-%d') || 'T00:00:00+00:00' END"""
@@ -308,6 +382,20 @@ _RECORDS = rf"""WITH {_PAGE_PARTS},
  coalesce(nullif(regexp_extract(title, 'in ([A-Z][a-z]+)', 1), ''), nullif(regexp_extract(title, 'at the ([A-Z][a-z]+)', 1), ''), '') AS "Location", false AS "Video_Available",
  CAST(coalesce(list_sum(list_transform(p, lambda t: len(regexp_extract_all(t, '\S+')))), 0) AS BIGINT) AS "Word_Count", 'Success' AS "Extraction_Status" FROM p)"""
 
+
+def _crc_step(value: int) -> int:
+    for _ in range(8):
+        value = value >> 1 ^ (0xEDB88320 if value & 1 else 0)
+    return value
+
+
+def _crc_sql(text: str) -> str:
+    """crc32 of an ASCII text."""
+    steps = ",".join(str(_crc_step(i)) for i in range(256))
+    units = f"list_transform(string_split({text}, ''), lambda c: unicode(c)::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {units}), lambda c, b: xor(c >> 8, ([{steps}]::BIGINT[])[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
 #: name -> (query, SQL or None)
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "page_types": (page_types, f'{_RECORDS} SELECT "Document_Type", count(*) AS cnt, CAST(sum("Word_Count") AS BIGINT) AS words FROM r GROUP BY 1'),
@@ -424,6 +512,34 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
  '<p><b>Moderators:</b> ' || r_name || ';</p><p><b>Participants:</b> ' || n_name || '; second one.<br/>third</p><p>One <i>two</i><br>three</p>' AS "Debate_Content_HTML"
  FROM nation JOIN region ON n_regionkey = r_regionkey""",
     ),
+    "state_merge": (
+        state_merge,
+        """SELECT CAST(conv_id AS VARCHAR) AS url, role AS "Document_Title", text AS "Document_Content", turn AS "Word_Count", CASE WHEN turn % 2 = 0 THEN 'Success' ELSE 'Parsing Error' END AS "Extraction_Status"
+ FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role DESC) AS n FROM conversations) WHERE n = 1""",
+    ),
+    "enrichment_run": (
+        enrichment_run,
+        f"""{_RECORDS} SELECT page_id, CASE WHEN lost THEN p.url || '#lost' ELSE p.url END AS "Document_Link", CASE WHEN lost THEN '' ELSE "Document_Title" END AS "Document_Title", CASE WHEN lost THEN 0 ELSE "Word_Count" END AS "Word_Count",
+ CASE WHEN lost THEN 'Network Error' ELSE 'Success' END AS "Extraction_Status" FROM (SELECT *, page_id % 10 = 3 AS lost FROM pages) p JOIN r ON p.url = r.url""",
+    ),
+    "stream_landed": (
+        stream_landed,
+        f"""{_RECORDS}, g AS (SELECT url, "Word_Count", {_crc_sql("url")} % 4 <> 0 AS good FROM r)
+ SELECT count(*) AS n_urls, CAST(coalesce(sum("Word_Count") FILTER (good), 0) AS BIGINT) AS words, count(*) FILTER (good) AS n_good FROM g""",
+    ),
+    "published_csv": (
+        published_csv,
+        """SELECT strftime(o_orderdate, '%B %d, %Y') AS "Date", o_orderpriority AS "Title", CAST(o_orderkey AS VARCHAR) AS "Document_Link", CAST(o_orderkey % 25 AS INT) AS "Page" FROM orders""",
+    ),
+    "csv_swap": (
+        csv_swap,
+        """SELECT CAST(o_orderkey % 25 AS INT) AS "Page", strftime(o_orderdate, '%B %d, %Y') AS "Date", o_orderpriority AS "Title", CAST(o_orderkey AS VARCHAR) AS "Document_Link" FROM orders WHERE month(o_orderdate) = 5""",
+    ),
+    "debate_links": (
+        debate_links,
+        f"""SELECT DISTINCT '{SITE}/d/' || o_custkey % 40 AS "URL", coalesce(n_name, 'Error: not fetched') AS "Extracted_Title" FROM orders LEFT JOIN nation ON n_nationkey = o_custkey % 40 WHERE o_orderkey % 5 <> 0""",
+    ),
+    "memory_usage": (memory_usage, "SELECT CAST(sum(16 + coalesce(strlen(text), 0) + coalesce(strlen(lang), 0) + coalesce(strlen(source), 0)) AS BIGINT) AS n_bytes FROM documents"),
     "extract_document": (extract_document, f"{_RECORDS} SELECT * FROM r"),
     "extract_debate": (
         extract_debate,
