@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliospark.llm._native import BUCKETS, constant_map, lookup
-from foliospark.llm._rows import fresh, most_frequent, stored
+from foliospark.llm._rows import discard, fresh, most_frequent, stored
 
 #: So many of the most frequent words, of so many bytes at most, are folded once: under 100 MB with their ids.
 FREQUENT, LONGEST = 1 << 20, 40
@@ -171,7 +171,9 @@ def frequent_words(docs: DataFrame, text: str, pattern: str, table: Column, most
     words = docs.select(F.explode(split_words(F.col(text), pattern)).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
     counted = stored(words.where((F.col("n") > 1) & (F.octet_length("word") <= LONGEST)))
     top = most_frequent(counted, "n", most).select("word").repartition(docs.sparkSession.sparkContext.defaultParallelism)
-    return top.select("word", fold(F.col("word").cast("binary"), table, long=False).alias("ids")).toArrow()
+    known = top.select("word", fold(F.col("word").cast("binary"), table, long=False).alias("ids")).toArrow()
+    discard(counted)
+    return known
 
 
 def _cut(words: pa.Array, at: pa.Array, ids: pa.Array) -> pa.Array:
