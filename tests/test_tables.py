@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from foliospark import schemas
 from foliospark.operators import enrich, stats
 from foliospark.plans import pipelines
-from foliospark.sources import fetch, published, state, tables
+from foliospark.sources import fetch, state, tables
 from foliospark.streaming import resume
 
 SITE = "https://site.example"
