@@ -34,6 +34,8 @@ def dealt(rows: DataFrame, task_bytes: int = TASK_BYTES, tasks: int | None = Non
     so does what a join or an aggregate has dealt. ``tasks`` asks for so many anyway."""
     if tasks is not None:
         return rows.repartition(tasks)
+    if rows.isStreaming or not hasattr(rows, "_jdf"):  # a stream's batches, or a plan that is made elsewhere
+        return rows
     scanned = _scanned(rows)
     cores = rows.sparkSession.sparkContext.defaultParallelism
     if scanned is None or scanned[1] >= cores:

@@ -293,3 +293,12 @@ def test_pages_are_dealt_out_before_parsing(spark, tmp_path):
     assert "Repartition" not in plan(dealt(one.join(one.select("url").distinct(), "url")))
     assert "Repartition" not in plan(dealt(spark.createDataFrame([("u", "h")], "url string, html string")))
     assert dealt(one, tasks=5).rdd.getNumPartitions() == 5
+
+
+def test_streams_are_not_dealt(spark, tmp_path):
+    spark.createDataFrame([("u", "<h1>x</h1>")], "url string, html string").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("url string, html string").parquet(str(tmp_path / "in"))
+    records = extract.documents(fetch.from_pages(stream), fields=["Document_Title"])
+    query = records.writeStream.format("memory").queryName("titles").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert [tuple(r) for r in spark.table("titles").collect()] == [("u", "x")]
