@@ -167,10 +167,18 @@ class _Fetching:
 
 
 class _Reader(_Fetching, DataSourceReader):
-    def __init__(self, options: dict):
-        super().__init__(options)
-        self.wanted: list[str] | None = None
+    wanted: list[str] | None = None
+
+    def partitions(self) -> list[_Slice]:
+        given = [u for u in self.options.get("urls", "").split("\n") if u]
+        if self.wanted is None and not given:
+            raise ValueError("page_fetch needs the option urls, or the option filters and a filter on url")
+        keep = None if self.wanted is None else {u for u in self.wanted if u}
+        chosen = given if keep is None else [u for u in given if u in keep] if given else sorted(keep)
+        return _slices(dict.fromkeys(chosen), int(self.options.get("slices", "8"))) or [_Slice([])]
 
+
+class _FilteredReader(_Reader):
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
         """Filters on ``url`` choose what is fetched."""
         for f in filters:
@@ -180,14 +188,6 @@ class _Reader(_Fetching, DataSourceReader):
             else:
                 yield f
 
-    def partitions(self) -> list[_Slice]:
-        given = [u for u in self.options.get("urls", "").split("\n") if u]
-        if self.wanted is None and not given:
-            raise ValueError("page_fetch needs the option urls or a filter on url")
-        keep = None if self.wanted is None else {u for u in self.wanted if u}
-        chosen = given if keep is None else [u for u in given if u in keep] if given else sorted(keep)
-        return _slices(dict.fromkeys(chosen), int(self.options.get("slices", "8"))) or [_Slice([])]
-
 
 class _StreamReader(_Fetching, DataSourceStreamReader):
     """The offset is a number of bytes of the links' file, at the end of a line. A batch takes all lines that are whole when
@@ -218,8 +218,9 @@ class _StreamReader(_Fetching, DataSourceStreamReader):
 
 
 class PageFetchSource(DataSource):
-    """Pages of the web as a table. ``spark.read.format("page_fetch").load().where(F.col("url").isin(...))`` fetches what the
-    filter asks for, with spark.sql.python.filterPushdown.enabled; ``option("urls", ...)``, a line each, fetches those.
+    """Pages of the web as a table. ``spark.read.format("page_fetch").option("urls", ...)`` fetches those, a line each. With
+    ``option("filters", "true")``, which needs spark.sql.python.filterPushdown.enabled, ``where(F.col("url").isin(...))`` is
+    what is fetched.
     ``spark.readStream.format("page_fetch").option("links", file)`` fetches the links that are added to a text file, each
     line once, as the checkpoint remembers how far the file has been read. Options slices, pause, timeout, retries, backoff
     and agent. Register it with ``spark.dataSource.register(PageFetchSource)``."""
@@ -232,7 +233,7 @@ class PageFetchSource(DataSource):
         return schemas.FETCH
 
     def reader(self, schema):
-        return _Reader(dict(self.options))
+        return (_FilteredReader if self.options.get("filters") == "true" else _Reader)(dict(self.options))
 
     def streamReader(self, schema):
         return _StreamReader(dict(self.options))
