@@ -89,14 +89,14 @@ def test_a_slice_that_takes_too_long_is_left(spark, tmp_path, monkeypatch):
     extract_documents = extract.documents
     path = str(tmp_path / "state")
     pages = fetches(spark, *"abcdefgh")
-    endless = F.udf(lambda u, h: (u == "a" and time.sleep(90)) or h)
+    endless = F.udf(lambda u, h: (u == "a" and time.sleep(60)) or h)
     assert not pipelines.in_time(spark, 1, lambda: pages.withColumn("html", endless("url", "html")).collect())
     assert pipelines.in_time(spark, 60, lambda: pages.collect())
     with pytest.raises(ZeroDivisionError):
         pipelines.in_time(spark, 60, lambda: 1 / 0)
     monkeypatch.setattr(pipelines.extract, "documents", lambda rows, **more: extract_documents(rows.withColumn("html", endless("url", "html")), **more))
     with pytest.warns(UserWarning, match="left to the next run"):
-        got = pipelines.enrich_documents(spark, listing(spark, *"abcdefgh"), pages, path, slices=2, slice_seconds=25)
+        got = pipelines.enrich_documents(spark, listing(spark, *"abcdefgh"), pages, path, slices=2, slice_seconds=15)
     statuses = {r.Document_Link: r.Extraction_Status for r in got.collect()}
     assert statuses["a"] == "" and set(statuses.values()) == {"", "Success"}
     monkeypatch.undo()
