@@ -36,15 +36,17 @@ def documents(
     fields: Iterable[str] | None = None,
     nested: bool = True,
     seconds: float | None = SECONDS,
+    unclosed: bool = True,
 ) -> DataFrame:
     """(url, status, error, html) to the document record. A failed fetch or parse gives the defaults and its status; so does
     a page that takes longer than ``seconds``. ``fields``: the columns wanted, of which nothing else is computed.
-    ``nested=False``: a paragraph does not repeat those that it contains."""
+    ``nested=False``: a paragraph does not repeat those that it contains. ``unclosed=False``: references without their
+    semicolon stay as they are written."""
     wanted = list(NEEDS) if fields is None else [c for c in NEEDS if c in set(fields)]
     if unknown := set(fields or ()) - NEEDS.keys():
         raise ValueError(f"unknown columns: {', '.join(sorted(unknown))}")
     asked = {f for c in wanted for f in NEEDS[c]}
-    detail = document_detail(F.when(~fetch_failed(), F.col("html")), container, inline_sep, asked, nested, seconds)
+    detail = document_detail(F.when(~fetch_failed(), F.col("html")), container, inline_sep, asked, nested, seconds, unclosed)
     raw = fetches.select("url", fetch_failed().alias("lost"), detail.alias("d"))
     d, none = F.col("d"), F.lit("")
     bad = F.col("lost") | d.failed
@@ -78,10 +80,12 @@ def debates(
     limit: int | None = None,
     paragraph_mode: bool = False,
     seconds: float | None = SECONDS,
+    unclosed: bool = True,
 ) -> DataFrame:
-    """(url, status, error, html) to the debate record; a failed fetch puts 'Error: ...' in the title."""
+    """(url, status, error, html) to the debate record; a failed fetch puts 'Error: ...' in the title. ``unclosed``: as for
+    documents."""
     participants, moderators = LABELS
-    raw = fetches.select("url", "error", "status", fetch_failed().alias("lost"), debate_detail(F.when(~fetch_failed(), F.col("html")), main, container, LABELS, seconds).alias("d"))
+    raw = fetches.select("url", "error", "status", fetch_failed().alias("lost"), debate_detail(F.when(~fetch_failed(), F.col("html")), main, container, LABELS, seconds, unclosed).alias("d"))
     d, none = F.col("d"), F.lit("")
 
     def items(label: str) -> Column:

@@ -128,11 +128,12 @@ def _selector(container: str) -> dict:
 
 
 def document_detail(
-    html: Column, container: str = ".field-docs-content", inline_sep: str = "", fields: Iterable[str] = tuple(DETAIL), nested: bool = True, seconds: float | None = SECONDS
+    html: Column, container: str = ".field-docs-content", inline_sep: str = "", fields: Iterable[str] = tuple(DETAIL), nested: bool = True, seconds: float | None = SECONDS,
+    unclosed: bool = True,
 ) -> Column:
     """Raw fields of a document page, of which only those asked for are computed. ``container``: 'tag', '.class' or
     'tag.class' of the body. Nested paragraphs, as unclosed ones are, stand in all that contain them, so the paragraphs can
-    grow with the square of the page; ``nested=False`` gives each its own text only."""
+    grow with the square of the page; ``nested=False`` gives each its own text only. ``unclosed``: as in ``html.parse``."""
     where, asked = _selector(container), [f for f in DETAIL if f in set(fields)]
     if unknown := set(fields) - DETAIL.keys():
         raise ValueError(f"unknown fields: {', '.join(sorted(unknown))}")
@@ -147,7 +148,7 @@ def document_detail(
     def one(page):
         # the first h1 is all that a title needs if nothing on the page can be a block of titles
         early = asked == ["title"] and page and _TITLE_BLOCK not in page and "&" not in page.partition("<h1")[0]
-        root = parse(page, until="h1" if early and "&#" not in page else None)
+        root = parse(page, until="h1" if early and "&#" not in page else None, unclosed=unclosed)
         return (*(read[f](root) for f in asked), False)
 
     @F.pandas_udf(f"struct<{','.join(f'{f}:{DETAIL[f]}' for f in asked)}{',' if asked else ''}failed:boolean>")
@@ -199,8 +200,8 @@ def _labels(content: Node, names: tuple[str, ...]) -> list[dict]:
     return out
 
 
-def _debate(page: str | None, main: dict, container: dict, names: tuple[str, ...]) -> dict:
-    root = parse(page)
+def _debate(page: str | None, main: dict, container: dict, names: tuple[str, ...], unclosed: bool = True) -> dict:
+    root = parse(page, unclosed=unclosed)
     head = root.first(**main)
     date = head and head.first("span", attr=_DATE)
     content = root.first(**container)
@@ -215,13 +216,13 @@ def _debate(page: str | None, main: dict, container: dict, names: tuple[str, ...
     }
 
 
-def debate_detail(html: Column, main: str = "div.col-sm-8", container: str = "div.field-docs-content", names: tuple[str, ...] = ("participants", "moderators"), seconds: float | None = SECONDS) -> Column:
-    """Raw fields of a debate page, with the labelled paragraphs of these names."""
+def debate_detail(html: Column, main: str = "div.col-sm-8", container: str = "div.field-docs-content", names: tuple[str, ...] = ("participants", "moderators"), seconds: float | None = SECONDS, unclosed: bool = True) -> Column:
+    """Raw fields of a debate page, with the labelled paragraphs of these names. ``unclosed``: as in ``html.parse``."""
     head, where = _selector(main), _selector(container)
 
     @F.pandas_udf(DEBATE)
     def detail(pages: pd.Series) -> pd.DataFrame:
-        rows = _each(pages, lambda page: _debate(page, head, where, names), seconds, lambda: {"failed": True})
+        rows = _each(pages, lambda page: _debate(page, head, where, names, unclosed), seconds, lambda: {"failed": True})
         return pd.DataFrame(rows, columns=["title", "date", "has_content", "inner_html", "labels", "strings", "blocks", "failed"])
 
     return detail.asNondeterministic()(html)

@@ -1,9 +1,12 @@
 """Page extraction on hand-worked snippets."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from foliospark import schemas
+from foliospark.functions import html
 from foliospark.functions.html import parse
 from foliospark.operators import extract, listing, pages, paging
 from foliospark.sources import fetch
@@ -302,3 +305,27 @@ def test_streams_are_not_dealt(spark, tmp_path):
     query = records.writeStream.format("memory").queryName("titles").trigger(availableNow=True).start()
     query.awaitTermination()
     assert [tuple(r) for r in spark.table("titles").collect()] == [("u", "x")]
+
+
+def test_plain_markup_gives_the_tree_of_the_tokenizer():
+    bits = (
+        ["<p>", "</p>", '<b class="x &amp; y">', "</b>", "<br>", "<br/>", "<i/>", "text", "a &amp b", " &lt; ", "&#39", "<script>", "</script>", '<script src="a">x<y</p></script>', "<title>t &amp; u</title>", "<title>a<b>"]
+        + ["</title>", "<!-- c -->", "<!-->", "<!--->x-->", "<!-- a --!> b -->", "<!doctype html>", "<![if x]>", '<a href="/x?a=1&copy=3">', "</a>", '<A HREF="Q" b>', "<img src=q>", " < ", "</ p>", "<h1>", "</h1>"]
+        + ["<template>", "</template>", '<iframe src="//v"></iframe>', "<iframe>x</iframe>", '<p\n a="1"\tb>', '<a a="1" a="2">', '<p a="1"b="2">', "<plaintext>", "<x-y>", "<title/>", "<script/>"]
+    )
+    r, plain = random.Random(1), 0
+    names = [c for c in html.Page.__slots__ if not c.startswith("_")]
+    for _ in range(20_000):
+        source, until = "".join(r.choices(bits, k=r.randint(1, 9))), r.choice([None, "h1", "p"])
+        if (page := html._plain(source, until)) is not None:
+            plain, other = plain + 1, html._tolerant(source, until)
+            assert all(getattr(page, c) == getattr(other, c) for c in names), source
+    assert plain > 2_000
+
+
+def test_unclosed_references():
+    source = '<a href="?x=1&amp;y&copy=2">a &amp b &lt;c&gt; &bogus; &#39;d&#39 &amp;amp &quo</a><![x]>&amp'
+    assert parse(source).text() == "a & b <c> &bogus; 'd' &amp &quo&"
+    root = parse(source, unclosed=False)
+    assert root.text() == "a &amp b <c> &bogus; 'd&#39 &amp &quo&amp"
+    assert root.first("a").attrs == {"href": "?x=1&y&copy=2"}
