@@ -23,7 +23,7 @@ def fetch_failed(error: str = "error", status: str = "status") -> Column:
 #: What of a page each column of the record is read from.
 NEEDS = {
     "Document_Title": ("title",), "Document_Date": ("date",), "Document_Content": ("paragraphs",), "Speaker": ("speaker",), "Speaker_Title": ("speaker_title",),
-    "Document_Type": ("title",), "Location": ("title",), "Video_Available": ("video",), "Word_Count": ("paragraphs",), "Extraction_Status": (),
+    "Document_Type": ("title",), "Location": ("title",), "Video_Available": ("video",), "Word_Count": ("words",), "Extraction_Status": (),
 }
 
 
@@ -60,7 +60,7 @@ def documents(
         "Document_Type": lambda: (classify.document_type(title), none),
         "Location": lambda: (classify.location(title, multiword_location), none),
         "Video_Available": lambda: (d.video, F.lit(False)),
-        "Word_Count": lambda: (text.paragraphs_words(d.paragraphs), F.lit(0).cast("bigint")),
+        "Word_Count": lambda: (d.words, F.lit(0).cast("bigint")),
     }
 
     def column(name: str) -> Column:

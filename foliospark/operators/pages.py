@@ -6,12 +6,15 @@ read at all, or not within ``seconds``, fails alone.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterable
 from urllib.parse import urljoin
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from foliospark.functions import text
 from foliospark.functions.deadline import Deadline
@@ -21,6 +24,8 @@ _DATE = ("property", "dc:date")
 BOILERPLATE = frozenset("script style nav header footer".split())
 #: A page that takes longer is given up; None waits for ever.
 SECONDS = 60.0
+#: So many pages and what is read off them are Python objects at a time.
+PIECE = 128
 
 LISTING = (
     "array<struct<has_main:boolean,has_side:boolean,has_title:boolean,has_date:boolean,date_content:string,date_text:string,heading:string,"
@@ -28,7 +33,7 @@ LISTING = (
     "link:string,related_link:string>>"
 )
 #: What can be asked of a document page, and what always comes with it.
-DETAIL = {"title": "string", "date": "string", "speaker": "string", "speaker_title": "string", "paragraphs": "array<string>", "video": "boolean"}
+DETAIL = {"title": "string", "date": "string", "speaker": "string", "speaker_title": "string", "paragraphs": "array<string>", "words": "bigint", "video": "boolean"}
 DEBATE = "struct<title:string,date:string,has_content:boolean,inner_html:string,labels:array<struct<label:string,bold:string,lines:array<string>,rest:array<string>>>,strings:array<string>,blocks:array<string>,failed:boolean>"
 PAGING = "struct<last_href:string,hrefs:array<string>,document_rows:int>"
 
@@ -37,6 +42,14 @@ def _text(n: Node | None) -> str | None:
     return None if n is None else n.text()
 
 
+#: Links that are plain paths of a site without one, for which joining is putting one behind the other.
+_PLAIN_SITE, _PLAIN_PATH = re.compile(r"https?://[a-z0-9.-]+", re.A), re.compile(r"(?:/[A-Za-z0-9_-]+)+", re.A)
+
+
+def _joined(site: str, href: str) -> str:
+    return site + href if _PLAIN_PATH.fullmatch(href) and _PLAIN_SITE.fullmatch(site) else urljoin(site, href)
+
+
 def _listing_row(row: Node, site: str) -> dict:
     main, side = row.first("div", "col-sm-8"), row.first("div", "col-sm-4")
     title = main and main.first("div", "field-title")
@@ -51,11 +64,11 @@ def _listing_row(row: Node, site: str) -> dict:
         "heading": _text(main.first("h4")) if main else None,
         "title_text": _text(link), "block_text": _text(title), "has_link": link is not None, "href": href,
         "label": _text(label), "has_related": related is not None, "related_text": _text(related), "related_href": related_href,
-        "link": None if href is None else urljoin(site, href), "related_link": None if related_href is None else urljoin(site, related_href),
+        "link": None if href is None else _joined(site, href), "related_link": None if related_href is None else _joined(site, related_href),
     }
 
 
-def _each(pages: pd.Series, one: Callable, seconds: float | None, failed: Callable) -> list:
+def _each(pages: Iterable[str | None], one: Callable, seconds: float | None, failed: Callable) -> list:
     """``one`` of every page, ``failed()`` for those that it cannot do in time."""
     out = []
     with Deadline(seconds) as limit:
@@ -69,6 +82,19 @@ def _each(pages: pd.Series, one: Callable, seconds: float | None, failed: Callab
     return out
 
 
+def _column(html: Column, kind: str, one: Callable, seconds: float | None, failed: Callable) -> Column:
+    """``one`` of every page, as values of a type. Some pages at a time are Python objects; what came of the others of a batch
+    is an Arrow array."""
+    arrow = to_arrow_type(T.DataType.fromDDL(kind))
+
+    @F.arrow_udf(kind)
+    def read(pages: pa.Array) -> pa.Array:
+        some = (pages.slice(at, PIECE).to_pylist() for at in range(0, len(pages), PIECE))
+        return pa.concat_arrays([pa.array([], arrow), *(pa.array(_each(piece, one, seconds, failed), arrow) for piece in some)])
+
+    return read.asNondeterministic()(html)
+
+
 def listing_rows(html: Column, site: str, nested: bool = True, seconds: float | None = SECONDS) -> Column:
     """Every ``div.row`` of a page in order; a row that fails to parse is left out. ``nested=False`` leaves out rows that
     contain rows."""
@@ -84,11 +110,7 @@ def listing_rows(html: Column, site: str, nested: bool = True, seconds: float |
                 continue
         return out
 
-    @F.pandas_udf(LISTING)
-    def rows(pages: pd.Series) -> pd.Series:
-        return pd.Series(_each(pages, one, seconds, list), dtype=object)
-
-    return rows.asNondeterministic()(html)
+    return _column(html, LISTING, one, seconds, list)
 
 
 def _first(root: Node, *choices) -> Node | None:
@@ -137,25 +159,20 @@ def document_detail(
     where, asked = _selector(container), [f for f in DETAIL if f in set(fields)]
     if unknown := set(fields) - DETAIL.keys():
         raise ValueError(f"unknown fields: {', '.join(sorted(unknown))}")
-    columns = [*asked, "failed"]
 
-    def paragraphs(root: Node) -> list[str] | None:
+    def paragraphs(root: Node, what: Callable = Page.paragraphs) -> list[str] | int | None:
         content = root.first(**where)
-        return None if content is None else content.page.paragraphs(content.k, BOILERPLATE, inline_sep, nested)
+        return None if content is None else what(content.page, content.k, BOILERPLATE, inline_sep, nested)
 
-    read = _READ | {"paragraphs": paragraphs, "video": lambda root: _video(root, root.first(**where))}
+    read = _READ | {"paragraphs": paragraphs, "words": lambda root: paragraphs(root, Page.words), "video": lambda root: _video(root, root.first(**where))}
 
     def one(page):
         # the first h1 is all that a title needs if nothing on the page can be a block of titles
         early = asked == ["title"] and page and _TITLE_BLOCK not in page and "&" not in page.partition("<h1")[0]
         root = parse(page, until="h1" if early and "&#" not in page else None, unclosed=unclosed)
-        return (*(read[f](root) for f in asked), False)
+        return {f: read[f](root) for f in asked} | {"failed": False}
 
-    @F.pandas_udf(f"struct<{','.join(f'{f}:{DETAIL[f]}' for f in asked)}{',' if asked else ''}failed:boolean>")
-    def detail(pages: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame(_each(pages, one, seconds, lambda: (*[None] * len(asked), True)), columns=columns)
-
-    return detail.asNondeterministic()(html)
+    return _column(html, f"struct<{','.join(f'{f}:{DETAIL[f]}' for f in asked)}{',' if asked else ''}failed:boolean>", one, seconds, lambda: {"failed": True})
 
 
 def _labelled(p: Node) -> dict:
@@ -176,12 +193,8 @@ def label_items(block: Column, label: str) -> Column:
 
 def label_block(html: Column, label: str) -> Column:
     """Inner markup of a labelled paragraph to its entries."""
-
-    @F.pandas_udf("struct<label:string,bold:string,lines:array<string>,rest:array<string>>")
-    def block(pages: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame(_each(pages, lambda p: _labelled(parse(p)), SECONDS, lambda: _labelled(Node(Page(), 0))), columns=["label", "bold", "lines", "rest"])
-
-    return label_items(block.asNondeterministic()(html), label)
+    kind = "struct<label:string,bold:string,lines:array<string>,rest:array<string>>"
+    return label_items(_column(html, kind, lambda p: _labelled(parse(p)), SECONDS, lambda: _labelled(Node(Page(), 0))), label)
 
 
 def _labels(content: Node, names: tuple[str, ...]) -> list[dict]:
@@ -219,13 +232,7 @@ def _debate(page: str | None, main: dict, container: dict, names: tuple[str, ...
 def debate_detail(html: Column, main: str = "div.col-sm-8", container: str = "div.field-docs-content", names: tuple[str, ...] = ("participants", "moderators"), seconds: float | None = SECONDS, unclosed: bool = True) -> Column:
     """Raw fields of a debate page, with the labelled paragraphs of these names. ``unclosed``: as in ``html.parse``."""
     head, where = _selector(main), _selector(container)
-
-    @F.pandas_udf(DEBATE)
-    def detail(pages: pd.Series) -> pd.DataFrame:
-        rows = _each(pages, lambda page: _debate(page, head, where, names, unclosed), seconds, lambda: {"failed": True})
-        return pd.DataFrame(rows, columns=["title", "date", "has_content", "inner_html", "labels", "strings", "blocks", "failed"])
-
-    return detail.asNondeterministic()(html)
+    return _column(html, DEBATE, lambda page: _debate(page, head, where, names, unclosed), seconds, lambda: {"failed": True})
 
 
 def _paging(page: str | None) -> dict:
@@ -239,19 +246,9 @@ def _paging(page: str | None) -> dict:
 
 def paging_links(html: Column, seconds: float | None = SECONDS) -> Column:
     """Pagination links of a listing page and how many document rows it has."""
-
-    @F.pandas_udf(PAGING)
-    def links(pages: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame(_each(pages, _paging, seconds, lambda: {"last_href": None, "hrefs": [], "document_rows": 0}), columns=["last_href", "hrefs", "document_rows"])
-
-    return links.asNondeterministic()(html)
+    return _column(html, PAGING, _paging, seconds, lambda: {"last_href": None, "hrefs": [], "document_rows": 0})
 
 
 def anchors(html: Column, seconds: float | None = SECONDS) -> Column:
     """All link targets of a page in order."""
-
-    @F.pandas_udf("array<string>")
-    def hrefs(pages: pd.Series) -> pd.Series:
-        return pd.Series(_each(pages, lambda p: [a.attrs["href"] for a in parse(p).all("a") if "href" in a.attrs], seconds, list), dtype=object)
-
-    return hrefs.asNondeterministic()(html)
+    return _column(html, "array<string>", lambda p: [a.attrs["href"] for a in parse(p).all("a") if "href" in a.attrs], seconds, list)

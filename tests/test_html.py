@@ -329,3 +329,28 @@ def test_unclosed_references():
     root = parse(source, unclosed=False)
     assert root.text() == "a &amp b <c> &bogus; 'd&#39 &amp &quo&amp"
     assert root.first("a").attrs == {"href": "?x=1&y&copy=2"}
+
+
+@pytest.mark.parametrize("nested", [True, False])
+@pytest.mark.parametrize("sep", ["", " ", " | ", "-"])
+def test_words_are_counted_without_texts(spark, sep, nested):
+    source = '<div class="c"><p>a b <b>c</b>d<p>e f<script>x y</script><nav>n n</nav> g<br>h</p><p></p> z<template>u<p>v w</p></template></div><p>out</p>'
+    box = parse(source).first(cls="c")
+    texts = box.page.paragraphs(box.k, pages.BOILERPLATE, sep, nested)
+    assert box.page.words(box.k, pages.BOILERPLATE, sep, nested) == sum(len(t.split()) for t in texts) > 5
+    rows = spark.createDataFrame([(str(i), 200, None, source * (i % 3), None) for i in range(300)], schemas.FETCH).coalesce(1)
+    options = {"container": ".c", "inline_sep": sep, "nested": nested}
+    counted = extract.documents(rows, fields=["Word_Count"], **options)
+    assert "paragraphs" not in counted._jdf.queryExecution().optimizedPlan().toString()
+    whole = extract.documents(rows, **options)
+    for r in whole.collect():
+        assert r.Word_Count == sum(len(t.split()) for t in r.Document_Content.split(r"\n\n"))
+    assert sorted(counted.collect()) == sorted(whole.select("url", "Word_Count").collect())
+
+
+def test_plain_links_are_joined_as_others():
+    from urllib.parse import urljoin
+
+    for site in (SITE, "https://site.example/a/b", "http://h:80"):
+        for href in ("/a/b-c", "/a//b", "/a/../b", "//h/x", "/", "", "/a?b", "x", "/a/", "/a;b", "/é"):
+            assert pages._joined(site, href) == urljoin(site, href)
