@@ -286,3 +286,19 @@ def test_figures_without_a_second_scan(spark, tmp_path):
     assert (got["documents"], got["successes"], got["failures"], seen.value) == (3, 2, 1, 3) and got["seconds"] > 0
     report = stats.listing_report(tables.sample_listing(spark, "https://s"), seconds=4.0).first()
     assert report.rows_per_second == 0.5 and json.loads(json.dumps(report.asDict()))["n_rows"] == 2
+
+
+def test_a_large_csv_file_is_read_in_splits(spark, tmp_path):
+    rows = spark.range(20_000).selectExpr("cast(id as string) as Title", "concat('a, \"', id, '\" ') as Date", "cast(id as int) as Page")
+    for name, table in (("plain", rows), ("broken", rows.withColumn("Date", F.when(F.col("Page") == 7, "a\n\"b\"\r\nc").otherwise(F.col("Date"))))):
+        path = published.write_csv(table, str(tmp_path / name))
+        before = {c: spark.conf.get(c) for c in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+        try:
+            for c in before:
+                spark.conf.set(c, "64k")
+            back = tables.read_csv(spark, path, table.schema)
+            assert (back.rdd.getNumPartitions() > 4) == (name == "plain")
+            assert sorted(back.collect()) == sorted(table.collect())
+        finally:
+            for c, v in before.items():
+                spark.conf.set(c, v)
