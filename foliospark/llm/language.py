@@ -24,12 +24,12 @@ from foliospark.llm._rows import fresh
 
 #: n-grams in a profile, and of a document.
 PROFILE, OWN = 400, 300
-#: At most about so many distinct texts a language are learned from, chosen by their hash; more languages are an error.
-LEARN_DOCUMENTS, LANGUAGES = 2_000, 1_000
+#: More languages are an error.
+LANGUAGES = 1_000
 UNKNOWN = "und"
-#: Floors come from so many learning documents a language at most, each cut to 4, 8, 16 ... characters. A floor needs
-#: so many pieces of one length class.
-FLOOR_DOCUMENTS, FLOOR_PIECES, LONGEST_PIECE = 1_000, 50, 1 << 12
+#: Floors come from all learning documents, each cut to 4, 8, 16 ... characters. A floor needs so many pieces of one length
+#: class. Their scores are counted in steps of one part of ``STEPS``, so that a class has a bounded number of counts.
+FLOOR_PIECES, LONGEST_PIECE, STEPS = 50, 1 << 12, 1 << 16
 #: Floors are this quantile of the pieces' scores and margins. Texts from elsewhere than the learning documents, though of
 #: the same language, score less than those: a text under its floor passes with these shares of the two floors.
 FLOOR_QUANTILE, SCORE_SHARE, MARGIN_SHARE = 0.005, 0.5, 0.25
@@ -73,23 +73,23 @@ def ranked(text: str, top: int) -> np.ndarray:
     return found[np.argsort(-counts, kind="stable")[:top]]
 
 
-def _sample(rows: DataFrame, text: str, lang: str, documents: int) -> DataFrame:
-    """(text, lang) of about so many distinct texts a language at most; all of a language with fewer."""
+def _sample(rows: DataFrame, text: str, lang: str, documents: int | None = None) -> DataFrame:
+    """(text, lang) of all distinct texts of each language, or of about so many at most if a caller asks for fewer."""
     rows = rows.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where("text is not null and lang is not null")
-    h = F.xxhash64("text")
-    found = rows.select("lang", h.alias("h")).distinct().groupBy("lang").agg(F.count("*").alias("n")).limit(LANGUAGES + 1).collect()
-    if len(found) > LANGUAGES:
+    if rows.select("lang").distinct().limit(LANGUAGES + 1).count() > LANGUAGES:
         raise ValueError(f"more than {LANGUAGES} languages to learn")
-    if not found:
-        return rows
-    share = F.create_map(*(F.lit(x) for r in found for x in (r["lang"], min(1.0, documents / r["n"]))))
-    chosen = rows.where(F.pmod(h, F.lit(1 << 40)) < F.try_element_at(share, F.col("lang")) * (1 << 40))
-    return chosen.dropDuplicates(["lang", "text"])
-
-
-def learn(rows: DataFrame, text: str = "text", lang: str = "lang", documents: int = LEARN_DOCUMENTS, size: int = PROFILE) -> dict[str, np.ndarray]:
-    """language -> its n-grams by rank, from rows whose text and language are not null. The bound on documents
-    makes this a bounded sample of each language; there may be any number of rows."""
+    if documents is not None:
+        h = F.xxhash64("text")
+        found = rows.select("lang", h.alias("h")).distinct().groupBy("lang").agg(F.count("*").alias("n")).collect()
+        if found:
+            share = F.create_map(*(F.lit(x) for r in found for x in (r["lang"], min(1.0, documents / r["n"]))))
+            rows = rows.where(F.pmod(h, F.lit(1 << 40)) < F.try_element_at(share, F.col("lang")) * (1 << 40))
+    return rows.dropDuplicates(["lang", "text"])
+
+
+def learn(rows: DataFrame, text: str = "text", lang: str = "lang", documents: int | None = None, size: int = PROFILE) -> dict[str, np.ndarray]:
+    """language -> its n-grams by rank, from all rows whose text and language are not null, a text once; from about
+    ``documents`` texts a language if a caller sets that bound."""
     chosen = _sample(rows, text, lang, documents)
 
     def count(batches):
@@ -146,7 +146,7 @@ def floors(rows: DataFrame, profiles: dict[str, np.ndarray], text: str = "text",
     classes before the first with enough ``LEAST_FLOOR`` alone."""
     if not profiles:
         return {}
-    chosen = _sample(rows, text, lang, FLOOR_DOCUMENTS)
+    chosen = _sample(rows, text, lang)
     table = _Profiles(profiles, size)
 
     def score(batches):
@@ -159,11 +159,13 @@ def floors(rows: DataFrame, profiles: dict[str, np.ndarray], text: str = "text",
                     if (c := length_class(piece)) > 0:
                         out.append((name, c, *table.nearest(piece, own)[1:]))
                     n *= 2
-            yield pd.DataFrame(out, columns=["lang", "class", "score", "margin"])
+            pieces = pd.DataFrame(out, columns=["lang", "class", "score", "margin"]).melt(["lang", "class"], var_name="of", value_name="value")
+            pieces["value"] = np.floor(pieces["value"].astype(float) * STEPS).astype(np.int64)
+            yield pieces.value_counts().rename("n").reset_index()
 
-    scores = chosen.mapInPandas(score, "lang string, class int, score double, margin double").groupBy("lang", "class")
-    low = (F.expr(f"percentile({c}, {FLOOR_QUANTILE})").alias(c) for c in ("score", "margin"))
-    found = scores.agg(F.count("*").alias("n"), *low).where(F.col("n") >= FLOOR_PIECES).collect()
+    counted = chosen.mapInPandas(score, "lang string, class int, of string, value long, n long").groupBy("lang", "class", "of", "value").agg(F.sum("n").alias("n"))
+    low = (F.expr(f"percentile(value, {FLOOR_QUANTILE}, n) filter (where of = '{c}') / {STEPS}").alias(c) for c in ("score", "margin"))
+    found = counted.groupBy("lang", "class").agg(F.sum(F.when(F.col("of") == "score", F.col("n"))).alias("pieces"), *low).where(F.col("pieces") >= FLOOR_PIECES).collect()
     told = {(r["lang"], r["class"]): (r["score"], r["margin"]) for r in found}
     out = {}
     for name in profiles:

@@ -1,6 +1,7 @@
 import unicodedata
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -75,3 +76,25 @@ def test_every_language_with_a_text_is_learned_and_copies_count_once(spark, monk
     monkeypatch.setattr(language, "LANGUAGES", 12)
     with pytest.raises(ValueError):
         language.learn(table)
+
+
+def test_profiles_and_floors_come_from_all_texts(spark):
+    """Every text of a large table counts: words that few texts have, and of each piece its score."""
+    rows = [(i, f"{'abcdefgh'[i % 8]}x{'ijklmnop'[i // 8 % 8]} y{i}" + (" zqz" * 9 if i % 50 == 0 else ""), "a") for i in range(4_000)]
+    table = spark.createDataFrame([*rows, *rows[:500], (None, "uu vv", "b")], "doc_id long, text string, lang string")
+    total = Counter()
+    for text in {r[1] for r in rows}:
+        total.update({value(g): n for g, n in plain_grams(text).items()})
+    best = [g for g, _ in sorted(total.items(), key=lambda x: (-x[1], x[0]))[: language.PROFILE]]
+    profiles = language.learn(table)
+    assert profiles["a"].tolist() == best
+    nearest, scores = language._Profiles(profiles, language.PROFILE).nearest, {}
+    for text in {r[1] for r in rows}:
+        n = 4
+        while n < 2 * len(text):
+            scores.setdefault(language.length_class(text[:n]), []).append(nearest(text[:n], language.OWN)[1:])
+            n *= 2
+    least = language.floors(table, profiles)["a"]
+    for c, found in scores.items():
+        if c and len(found) >= language.FLOOR_PIECES:
+            assert np.allclose(least[c], np.quantile(found, language.FLOOR_QUANTILE, axis=0), atol=3 / language.STEPS)
