@@ -69,6 +69,23 @@ def _tidied(df: DataFrame) -> Iterator[DataFrame]:
         conf.set(name, before)
 
 
+#: Rows of an Arrow batch where rows are whole texts: a few MB, once in the JVM and once in Python for each running task.
+TEXT_BATCH = 1_000
+
+
+@contextmanager
+def text_batches(spark: SparkSession) -> Iterator[None]:
+    """What is run inside tells Python at most ``TEXT_BATCH`` rows at a time; for plans that save what they compute."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    if not 0 < int(before) <= TEXT_BATCH:
+        spark.conf.set(name, str(TEXT_BATCH))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def saved(df: DataFrame) -> DataFrame:
     """The rows checkpointed in the shared folder: lineage ends, and a lost executor costs nothing. The files go when
     nothing refers to them and spark.cleaner.referenceTracking.cleanCheckpoints is set."""

@@ -34,7 +34,7 @@ LOWER = _lower_bytes()
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse, grown when a longer slice comes."""
     if _powers["n"] < n + 1:
-        size = max(n + 1, 1 << 20)
+        size = (1 << max(18, n.bit_length())) + 1
         ones = np.ones(size, np.uint64)
         up, down = ones.copy(), ones
         up[1:], down[1:] = _BASE, _INVERSE

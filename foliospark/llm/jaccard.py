@@ -31,8 +31,10 @@ from pyspark.sql import functions as F
 
 from foliospark.llm import _words as W
 from foliospark.llm._graph import components
-from foliospark.llm._rows import fresh, saved
+from foliospark.llm._rows import fresh, saved, text_batches
 
+#: Bytes of text that are shingled at once; the passes hold some forty times as much.
+SLICE = 1 << 18
 #: Shingles found twice within so many of a task's are counted as possibly common.
 COUNTED = 1 << 21
 #: From this count on a shingle is common; so many at most, the most frequent first, reach the tasks (2 MB).
@@ -46,7 +48,7 @@ MAP_BITS = 27
 
 def _sets(texts: pa.Array, k: int):
     """(row, sorted distinct shingle hashes) of every text."""
-    for first, _, data, offs in W.slices(texts):
+    for first, _, data, offs in W.slices(texts, SLICE):
         starts, ends, bounds = W.spans(data, offs)
         found, at = W.shingles(W.hashes(data, starts, ends), bounds, k)
         for i in range(len(at) - 1):
@@ -167,6 +169,11 @@ def _forest(linked: np.ndarray, members: np.ndarray, queries: np.ndarray) -> tup
 def components_of(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """Per row: key, n_shingles, component_id and text_hash, xxhash64 of the text. Two rows link when
     100 * intersection >= percent * union."""
+    with text_batches(docs.sparkSession):
+        return _components_of(docs, key, text, k, percent)
+
+
+def _components_of(docs: DataFrame, key: str, text: str, k: int, percent: int) -> DataFrame:
     docs = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.xxhash64(text).alias("th"))
     rows = saved(_prefixes(docs, k, percent))
     classes = rows.where("n > 0").groupBy("cid").agg(F.min("key").alias("least"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))

@@ -75,3 +75,17 @@ def test_copies_of_an_opened_class_are_read_once(spark):
     got = jaccard._tokens(table, named, 4).collect()
     assert len(got) == len({r.cid for r in got}) == 3
     check(spark, table.withColumnRenamed("key", "doc_id"), 4, 85)
+
+
+def test_texts_come_in_small_batches(spark, monkeypatch):
+    name, seen, saved = "spark.sql.execution.arrow.maxRecordsPerBatch", [], jaccard.saved
+
+    def seen_by(df):
+        seen.append(int(spark.conf.get(name)))
+        return saved(df)
+
+    before = spark.conf.get(name)
+    monkeypatch.setattr(jaccard, "saved", seen_by)
+    check(spark, docs(spark), 5, 80)
+    assert seen and max(seen) <= 1_000
+    assert spark.conf.get(name) == before
