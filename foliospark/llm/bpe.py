@@ -1,10 +1,10 @@
 """Byte-level BPE encoding and decoding.
 
-Merges are folded over the bytes of distinct words by higher-order functions, with the ranks as a constant table: the
-state is the word's pieces and the rank of every neighbouring pair, and each step joins the leftmost pair of the
-least rank and looks up its two new pairs. The most frequent words of the corpus, a bounded table, are folded once
-and told to the tasks; the distinct rarer ones are folded where they stand. Decoding looks up each id's bytes and
-concatenates them.
+Ranked merges are folded over the bytes of distinct words: the state is a word's pieces and the rank of every
+neighbouring pair, and each step joins the leftmost pair of the least rank and looks up its two new pairs. The most
+frequent words of the corpus, a bounded table, are folded once and told to the tasks; the distinct rarer ones of a batch
+are folded where they stand. Words of up to 40 bytes take each step together, in Arrow batches; longer ones are folded by
+higher-order functions with the ranks as a constant table. Decoding looks up each id's bytes and concatenates them.
 
 A word of over 256 bytes is cut at piece boundaries found inside windows of 64, and folded between the cuts, in time with
 its length. Where the two pieces at a cut are not the encoding of their bytes, as in one letter repeated, the word is folded
@@ -30,6 +30,8 @@ from foliospark.llm._rows import discard, fresh, most_frequent, stored
 
 #: So many of the most frequent words, of so many bytes at most, are folded once: under 100 MB with their ids.
 FREQUENT, LONGEST = 1 << 20, 40
+#: Stands for the rank of two pieces that no piece joins.
+NONE = 1 << 31
 #: Bytes of a window; words of more than four are folded between cuts.
 WINDOW = 64
 
@@ -166,23 +168,85 @@ def fold(word: Column, table: Column, long: bool = True) -> Column:
     return _let(table, encode)
 
 
-def frequent_words(docs: DataFrame, text: str, pattern: str, table: Column, most: int = FREQUENT) -> pa.Table:
+class Pieces:
+    """The ranks as arrays: every two pieces that join to a third, by both ids as one sorted number, with its rank."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.words = pa.array(ranks.keys(), pa.binary())
+        self.ids = np.fromiter(ranks.values(), np.int64, len(ranks))
+        self.end = max(ranks.values(), default=-1) + 1  # from here on: bytes without a rank, which have no id
+        known = {bytes([b]): self.end + b for b in range(256)} | ranks
+        self.bytes = np.array([known[bytes([b])] for b in range(256)], np.int64)
+        halves = ((known.get(piece[:i]), known.get(piece[i:]), rank) for piece, rank in ranks.items() for i in range(1, len(piece)))
+        pairs = np.array(sorted((a << 32 | b, rank) for a, b, rank in halves if a is not None and b is not None), np.int64).reshape(-1, 2)
+        self.pairs, self.joined = np.append(pairs[:, 0], -1), np.append(pairs[:, 1], NONE)  # with one that is never found
+
+    def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        pair = left << 32 | right
+        at = np.searchsorted(self.pairs[:-1], pair)
+        return np.where(self.pairs[at] == pair, self.joined[at], NONE)
+
+    def fold(self, words: pa.Array) -> pa.Array:
+        """The ids of each word (binary), as text with commas; in each step every unfinished word joins its leftmost pair of
+        the least rank. For short words, as there are as many steps as the longest one takes."""
+        whole = pc.index_in(words, value_set=self.words)
+        at_once = ~whole.is_null().to_numpy(zero_copy_only=False)
+        size = np.where(at_once, 0, pc.binary_length(words).to_numpy().astype(np.int64))
+        data = np.frombuffer(b"".join(w for w, one in zip(words.to_pylist(), at_once, strict=True) if not one), np.uint8)
+        p, owner = self.bytes[data], np.repeat(np.arange(len(words)), size)
+        done = [(np.flatnonzero(at_once), self.ids[whole.drop_null().to_numpy()])]
+        r = np.full(len(p), NONE, np.int64)
+        two = np.flatnonzero(owner[1:] == owner[:-1])
+        r[two] = self.rank(p[two], p[two + 1])
+        while len(p):
+            starts = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+            best = np.repeat(np.minimum.reduceat(r, starts), np.diff(np.append(starts, len(p))))
+            goes_on = best < NONE
+            done.append((owner[~goes_on], p[~goes_on]))
+            p, owner, r, best = p[goes_on], owner[goes_on], r[goes_on], best[goes_on]
+            at = np.flatnonzero(r == best)
+            at = at[np.diff(owner[at], prepend=-1) > 0]
+            p[at], r[at] = r[at], NONE
+            stays = np.ones(len(p), bool)
+            stays[at + 1] = False
+            p, owner, r = p[stays], owner[stays], r[stays]
+            at -= np.arange(len(at))  # one piece has gone from each word before
+            for left in (at[at > 0] - 1, at[at < len(p) - 1]):
+                left = left[owner[left] == owner[left + 1]]
+                r[left] = self.rank(p[left], p[left + 1])
+        owner, p = (np.concatenate(x) for x in zip(*done, strict=True))
+        owner, p = owner[p < self.end], p[p < self.end]
+        order = np.argsort(owner, kind="stable")
+        offsets = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(words)))]).astype(np.int32)
+        return pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets), pa.array(p[order]).cast(pa.string())), ",")
+
+
+def frequent_words(docs: DataFrame, text: str, pattern: str, pieces: Pieces, most: int = FREQUENT) -> pa.Table:
     """(word, ids) of the most frequent words of all texts."""
     words = docs.select(F.explode(split_words(F.col(text), pattern)).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
     counted = stored(words.where((F.col("n") > 1) & (F.octet_length("word") <= LONGEST)))
     top = most_frequent(counted, "n", most).select("word").repartition(docs.sparkSession.sparkContext.defaultParallelism)
-    known = top.select("word", fold(F.col("word").cast("binary"), table, long=False).alias("ids")).toArrow()
+    folded = F.arrow_udf(lambda words: pieces.fold(words.cast(pa.binary())), "string").asNondeterministic()
+    known = top.select("word", folded("word").alias("ids")).toArrow()
     discard(counted)
     return known
 
 
-def _cut(words: pa.Array, at: pa.Array, ids: pa.Array) -> pa.Array:
-    """Lists of words, each with its place in ``ids`` or null, to lists of runs."""
+def _rest(words: pa.Array, pieces: Pieces) -> pa.Array:
+    """The ids of words as text, each distinct word folded once; null for those of over ``LONGEST`` bytes."""
+    coded = words.cast(pa.binary()).dictionary_encode()
+    short = pc.less_equal(pc.binary_length(coded.dictionary), LONGEST)
+    place = pc.if_else(short, pc.subtract(pc.cumulative_sum(short.cast(pa.int32())), 1), None)
+    return pieces.fold(coded.dictionary.filter(short)).take(place.take(coded.indices))
+
+
+def _cut(words: pa.Array, ids: pa.Array) -> pa.Array:
+    """Lists of words, each with its ids as text or null, to lists of runs."""
     flat, offs = words.flatten(), words.offsets.to_numpy().astype(np.int64)
     offs = offs - offs[0]
-    unknown = at.is_null().to_numpy(zero_copy_only=False)
+    unknown = ids.is_null().to_numpy(zero_copy_only=False)
     lost = np.flatnonzero(unknown)
-    kept = ids.take(at.drop_null())
+    kept = ids.drop_null()
     # a run ends before each unknown word and at the end of each row; the unknown word itself is left out of the runs
     rows = len(offs) - 1
     row_of_lost = np.searchsorted(offs, lost, "right") - 1
@@ -199,20 +263,23 @@ def _cut(words: pa.Array, at: pa.Array, ids: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(outer.astype(np.int32)), pa.StructArray.from_arrays([pc.binary_join(lists, ","), r], names=["s", "r"]))
 
 
-def _runs(known: pa.Table, context):
-    """Words to runs: the ids of known words as text, then the unknown word that ends the run, if one does."""
-    shipped = context.broadcast((known.column("word").combine_chunks(), known.column("ids").combine_chunks()))
+def _runs(known: pa.Table, pieces: Pieces, context):
+    """Words to runs: the ids of frequent and short words as text, then the long word that ends the run, if one does."""
+    shipped = context.broadcast((known.column("word").combine_chunks(), known.column("ids").combine_chunks(), pieces))
 
     @F.arrow_udf("array<struct<s:string,r:binary>>")
     def runs(words: pa.Array) -> pa.Array:
-        table, ids = shipped.value
+        table, ids, pieces = shipped.value
         offs = words.offsets.to_numpy().astype(np.int64)
         at = pc.index_in(words.flatten(), value_set=table)
         out, first = [], 0
         while first < len(words):  # rows of about a million words at a time
             last = max(first + 1, int(np.searchsorted(offs, offs[first] + (1 << 20), "right")) - 1)
             part = words.slice(first, min(last, len(words)) - first)
-            out.append(_cut(part, at.slice(offs[first] - offs[0], len(part.flatten())), ids))
+            flat = part.flatten()
+            told = ids.take(at.slice(offs[first] - offs[0], len(flat)))
+            lost = told.is_null()
+            out.append(_cut(part, pc.replace_with_mask(told, lost, _rest(flat.filter(lost), pieces))))
             first += len(part)
         return pa.concat_arrays(out) if out else pa.array([], pa.list_(pa.struct([("s", pa.string()), ("r", pa.binary())])))
 
@@ -221,9 +288,9 @@ def _runs(known: pa.Table, context):
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", most: int = FREQUENT) -> DataFrame:
     """The rows with ``ids`` added (a numbered name if taken): the ids as text, with commas."""
-    table = rank_table(ranks)
-    known = frequent_words(docs, text, pattern, table, most)
-    runs = _runs(known, docs.sparkSession.sparkContext)(split_words(F.col(text), pattern))
+    table, pieces = rank_table(ranks), Pieces(ranks)
+    known = frequent_words(docs, text, pattern, pieces, most)
+    runs = _runs(known, pieces, docs.sparkSession.sparkContext)(split_words(F.col(text), pattern))
     name = fresh(docs, "ids")
     out = docs.withColumn(name, runs)
     whole = F.transform(F.col(name), lambda x: F.concat_ws(",", F.nullif(x["s"], F.lit("")), F.when(x["r"].isNotNull(), fold(x["r"], table))))

@@ -3,6 +3,7 @@ import hashlib
 import random
 
 import public_tokenizers
+import pyarrow as pa
 import tiktoken
 from pyspark.sql import functions as F
 
@@ -45,6 +46,18 @@ def test_long_words(spark):
     check(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8), most=4)
 
 
+def test_short_words_are_folded_together():
+    r = random.Random(5)
+    words = ["".join(r.choices(letters, k=r.randint(1, n))).encode()[:40] for letters, n in (("etaoinshr", 40), ("ab", 40), (" =\n-", 40), ("тест漢é🙂", 20)) for _ in range(500)]
+    words += [bytes([b]) for b in range(256)] + [b"", b"\xff\xfe", b"the", b"aaaa"]
+    got = bpe.Pieces(RANKS).fold(pa.array(words, pa.binary())).to_pylist()
+    assert got == [",".join(map(str, OWN._encode_single_piece(w))) if w else "" for w in words]
+    few = {b"a": 0, b"ab": 1, b"abc": 2, b"cc": 3}  # bytes without a rank have no id
+    assert bpe.Pieces(few).fold(pa.array([b"abcx", b"xa", b"bb", b"ccab"])).to_pylist() == ["2", "0", "", "3,1"]
+    assert bpe.Pieces({}).fold(pa.array([b"ab"])).to_pylist() == [""]
+    assert bpe.Pieces(RANKS).fold(pa.array([], pa.binary())).to_pylist() == []
+
+
 def test_query(spark):
     got = {r.doc_id: r for r in queries.op7_bpe(spark, SF, most=3000).collect()}
     for r in spark.read.parquet(f"{SF}/documents.parquet").collect():
