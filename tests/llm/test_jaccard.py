@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from foliospark.llm import jaccard
+from foliospark.llm import _rows, jaccard
 from tests.llm.data import SF, docs, empty, least_linked
 
 
@@ -89,3 +89,10 @@ def test_texts_come_in_small_batches(spark, monkeypatch):
     check(spark, docs(spark), 5, 80)
     assert seen and max(seen) <= 1_000
     assert spark.conf.get(name) == before
+
+
+def test_groups_of_several_batches(spark, monkeypatch):
+    monkeypatch.setattr(_rows, "TEXT_BATCH", 2)
+    words = [f"w{i}" for i in range(60)]
+    texts = [(i, " ".join([*words[:58], f"u{i}", "end"])) for i in range(40)]
+    check(spark, spark.createDataFrame(texts, "doc_id long, text string").repartition(3), 4, 85)
