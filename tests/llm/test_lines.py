@@ -66,3 +66,22 @@ def test_a_large_group_of_near_lines_makes_few_pairs(spark, monkeypatch):
     check(spark.createDataFrame(texts, "doc_id long, text string").repartition(4))
     assert made and made[0] <= 5 * 800  # the first round; 400 near lines have 79,800 pairs
     assert sum(made) < 0.5 * 79_800
+
+
+def test_sets_are_kept_in_tables_that_go(spark, monkeypatch):
+    kept, tables, saved, stored, discard = [], [], lines.saved, lines.stored, lines.discard
+
+    def note(df):
+        kept.extend(df.columns)
+        return saved(df)
+
+    def table(df):
+        tables.append(out := stored(df))
+        return out
+
+    monkeypatch.setattr(lines, "saved", note)
+    monkeypatch.setattr(lines, "stored", table)
+    monkeypatch.setattr(lines, "discard", lambda t: (discard(t), tables.remove(next(x for x in tables if x is t))))
+    check(docs(spark))
+    assert not {"x", "prefix", "w"} & set(kept)  # sets and their words are not checkpointed, which takes more disk
+    assert tables == []
