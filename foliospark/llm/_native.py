@@ -34,11 +34,21 @@ def lookup(table: Column, bucket: Column, key: Column) -> Column:
 
 def bit_test(hashes: DataFrame, value: Column, log2: int = 24) -> Column:
     """Whether ``value`` is among the hashes ``h``, give or take false positives: a constant bit map of 2**log2 bits."""
+    return bit_map(hashes, log2)(value)
+
+
+def bit_map(hashes: DataFrame, log2: int = 24) -> Callable[[Column], Column]:
+    """``bit_test`` for several values by one bit map."""
     spark = hashes.sparkSession
     at = F.pmod("h", F.lit(1 << log2))
     words = hashes.select(F.floor(at / 64).alias("b"), F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(at, F.lit(64)).cast("int")).alias("m")).groupBy("b").agg(F.bit_or("m").alias("m"))
     full = spark.range(1 << (log2 - 6)).withColumnRenamed("id", "b").join(words, "b", "left")
     one = full.agg(F.transform(F.sort_array(F.collect_list(F.struct("b", "m"))), lambda x: F.coalesce(x["m"], F.lit(0).cast("bigint"))).alias("bits"))
-    place = F.pmod(value, F.lit(1 << log2))
-    word = F.element_at(saved(one).scalar(), (F.floor(place / 64) + 1).cast("int"))
-    return F.getbit(word, F.pmod(place, F.lit(64)).cast("int")) == 1
+    table = saved(one)
+
+    def test(value: Column) -> Column:
+        place = F.pmod(value, F.lit(1 << log2))
+        word = F.element_at(table.scalar(), (F.floor(place / 64) + 1).cast("int"))
+        return F.getbit(word, F.pmod(place, F.lit(64)).cast("int")) == 1
+
+    return test

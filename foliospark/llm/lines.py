@@ -30,7 +30,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliospark.llm._native import bit_test
+from foliospark.llm._native import bit_map, bit_test
 from foliospark.llm._rows import discard, fresh, saved, small, stored
 
 #: Bits of a word's hash that choose its slot, of the counts and of the table of classes (512 KB).
@@ -177,20 +177,26 @@ def _near(left: DataFrame, right: DataFrame, order: Column) -> DataFrame:
 def _whole(wanted: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
     """(o, w): the words' hashes of the wanted sets (o, at), saved, read from their places in the texts."""
     wanted = wanted.select("o", "at.*")
-    some = docs.where(F.col(text).isNotNull())
     if wanted.limit(FEW + 1).count() <= FEW:
         rows = wanted.select(F.col("key").alias("k"), F.col("th").alias("t")).distinct()
+        some = docs.where(F.col(text).isNotNull())
         some = some.join(F.broadcast(rows), F.col(key).eqNullSafe(F.col("k")) & (F.xxhash64(F.col(text)) == F.col("t")), "left_semi")
-        spot = F.broadcast(wanted)
+        lines, spot = _split(some, key, text), F.broadcast(wanted)
     else:
-        some = some.where(bit_test(wanted.select(F.xxhash64("key", "th").alias("h")), F.xxhash64(F.col(key), F.xxhash64(F.col(text)))))
-        spot = wanted
-    lines, spot = _split(some, key, text).alias("a"), spot.alias("b")
+        lines, spot = _wanted_lines(wanted, docs, key, text), wanted
+    lines, spot = lines.alias("a"), spot.alias("b")
     same = F.col("a.key").eqNullSafe(F.col("b.key")) & (F.col("a.th") == F.col("b.th")) & (F.col("a.i") == F.col("b.i"))
     found = lines.join(spot, same).select("o", "line").dropDuplicates(["o"])
     return stored(found.select("o", _words(F.col("line")).alias("w")))
 
 
+def _wanted_lines(wanted: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, th, i, line) of the wanted places, and of few others; one bit map tells texts and lines that surely are not."""
+    known = bit_map(wanted.select(F.xxhash64("key", "th").alias("h")).union(wanted.select(F.xxhash64("key", "th", "i"))))
+    some = docs.where(F.col(text).isNotNull()).where(known(F.xxhash64(F.col(key), F.xxhash64(F.col(text)))))
+    return _split(some, key, text).where(known(F.xxhash64("key", "th", "i")))
+
+
 def _matched(pairs: DataFrame, sets: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
     """(o) of the later sets of pairs that match. A set is held against the candidate most like it, and against all of
     them only if that one does not match."""

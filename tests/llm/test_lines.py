@@ -85,3 +85,21 @@ def test_sets_are_kept_in_tables_that_go(spark, monkeypatch):
     check(docs(spark))
     assert not {"x", "prefix", "w"} & set(kept)  # sets and their words are not checkpointed, which takes more disk
     assert tables == []
+
+def test_only_wanted_lines_are_moved_for_verification(spark, monkeypatch):
+    r = random.Random(3)
+    word = lambda: f"w{r.randrange(10**9)}"
+    first = [" ".join(word() for _ in range(12)) for _ in range(20)]
+    texts = [(i, "\n".join([first[i % 20] + " " + word(), *(" ".join(word() for _ in range(12)) for _ in range(30))])) for i in range(40)]
+    table = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    moved, whole = [], lines._whole
+
+    def noted(wanted, docs, key, text):
+        out = whole(wanted, docs, key, text)
+        moved.append((wanted.count(), lines._wanted_lines(wanted.select("o", "at.*"), docs, key, text).count()))
+        return out
+
+    monkeypatch.setattr(lines, "FEW", 0)
+    monkeypatch.setattr(lines, "_whole", noted)
+    check(table)
+    assert moved and all(n <= w + 5 for w, n in moved)  # before, all 1,240 lines of those texts
